@@ -76,6 +76,13 @@ class Inputs:
         """``frames`` with ``seq``, the position of the frame in its video."""
         return index_rows(self.frames, ["video_id"], ["frame_number"], F.floor(F.col("frame_number") / 4096).cast("long"))
 
+    @cached_property
+    def frame_histograms(self) -> DataFrame:
+        """``frame_sequence`` with a 256-bin luma and a 48-bin colour histogram."""
+        return self.frame_sequence.withColumns({
+            "luma_hist": F.expr("transform(sequence(0, 255), i -> greatest(0, 40 - abs(i - peak_bin)) + (i + frame_number) % 3)"),
+            "color_hist": F.expr("transform(sequence(0, 47), i -> 1.0E0 * (greatest(0, 10 - abs(i - peak_bin % 48)) + (i * (frame_number % 7 + 1)) % 3))")})
+
     @cached_property
     def track_embeddings(self) -> DataFrame:
         return self.table("embeddings").selectExpr(
