@@ -26,22 +26,20 @@ def normalise_boxes(df: DataFrame, frame_w: int, frame_h: int) -> DataFrame:
 
 
 def expand_roi(df: DataFrame, frame_w: int, frame_h: int, scale: float = 1.5) -> DataFrame:
-    """Box grown about its centre, clamped to the frame, in whole pixels."""
-    half_w, half_h = g.width() * scale / 2, g.height() * scale / 2
-    return (df.withColumn("rx1", F.greatest(F.floor((g.cx() - half_w) * frame_w), F.lit(0)))
-            .withColumn("ry1", F.greatest(F.floor((g.cy() - half_h) * frame_h), F.lit(0)))
-            .withColumn("rx2", F.least(F.floor((g.cx() + half_w) * frame_w), F.lit(frame_w)))
-            .withColumn("ry2", F.least(F.floor((g.cy() + half_h) * frame_h), F.lit(frame_h))))
+    """Normalised box grown on all sides, clamped to the frame, in whole pixels."""
+    px1, py1, px2, py2 = (F.col(c) * size for c, size in (("x1", frame_w), ("y1", frame_h), ("x2", frame_w), ("y2", frame_h)))
+    pad_x = F.greatest(px2 - px1, F.lit(1.0)) * (scale - 1.0) / 2.0
+    pad_y = F.greatest(py2 - py1, F.lit(1.0)) * (scale - 1.0) / 2.0
+    return (df.withColumn("rx1", F.greatest((px1 - pad_x).cast("int"), F.lit(0))).withColumn("ry1", F.greatest((py1 - pad_y).cast("int"), F.lit(0)))
+            .withColumn("rx2", F.least((px2 + pad_x).cast("int"), F.lit(frame_w))).withColumn("ry2", F.least((py2 + pad_y).cast("int"), F.lit(frame_h))))
 
 
 def tile_grid(videos: DataFrame, tile: int = 640, overlap: float = 0.2) -> DataFrame:
-    """Overlapping tiles per frame size; the last tile of a row or column is shifted to the edge."""
-    step = max(1, int(tile * (1 - overlap)))
+    """Overlapping tiles per frame size, row by row until one reaches the edge; edge tiles are cut to the frame."""
+    stride = max(1, int(tile * (1 - overlap)))
 
     def starts(size: Column) -> Column:
-        last = F.greatest(size - tile, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last + F.when(last % step == 0, 0).otherwise(step), F.lit(step)),
-                                            lambda v: F.least(v, last)))
+        return F.sequence(F.lit(0), F.ceil(F.greatest(size - tile, F.lit(0)) / stride).cast("int") * stride, F.lit(stride))
 
     w, h = F.col("width").cast("int"), F.col("height").cast("int")
     return (videos.select("video_id", w.alias("width"), h.alias("height"))

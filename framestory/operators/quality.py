@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,38 +15,30 @@ from framestory.plans.sequence import BLOCK_ROWS, fill_along, index_rows, over_b
 QUALITY = ["normal", "low_light", "very_low_light", "unusable"]
 
 
-def luma_stats(frames: DataFrame, hist: str = "luma_hist") -> DataFrame:
-    """Mean, deviation, dark share and p95 - p5 of a 256-bin luma histogram."""
-    h = F.col(hist)
-
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc + v.cast("long"))
-
-    # The ranks wanted ride in the accumulator: an expression captured by the
-    # lambda would be evaluated again for every bin.
-    n = total(h)
-    places = {"lo5": F.floor(0.05 * (n - 1)), "hi5": F.ceil(0.05 * (n - 1)), "lo95": F.floor(0.95 * (n - 1)), "hi95": F.ceil(0.95 * (n - 1))}
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("c"), *[zero.alias(p) for p in places], *[r.cast("long").alias("r_" + p) for p, r in places.items()])
+def _luma(hist: pd.Series) -> pd.DataFrame:
+    h = np.stack(hist.to_numpy()).astype("int64")
+    bins = np.arange(h.shape[1])
+    n = h.sum(axis=1)
+    mean = h @ bins / n
+    spread = np.zeros(len(n))
+    cum = h.cumsum(axis=1)
+    for q, sign in ((0.95, 1.0), (0.05, -1.0)):
+        pos = q * (n - 1)
+        lo, hi = np.floor(pos), np.ceil(pos)
+        at_lo, at_hi = ((cum <= r[:, None]).sum(axis=1) for r in (lo, hi))
+        spread += sign * (at_lo + (at_hi - at_lo) * (pos - lo))
+    return pd.DataFrame({"mean_luminance": mean, "luminance_std": np.sqrt(np.maximum(h @ (bins * bins) / n - mean * mean, 0.0)),
+                         "dark_pixel_ratio": h[:, :30].sum(axis=1) / n, "histogram_spread": spread})
 
-    def advance(acc: Column, v: Column) -> Column:
-        c = acc["c"] + v.cast("long")
-        return F.struct(c.alias("c"), *[(acc[p] + (c <= acc["r_" + p]).cast("long")).alias(p) for p in places],
-                        *[acc["r_" + p].alias("r_" + p) for p in places])
 
-    d = (frames.withColumn("_n", n).withColumn("_s", total(F.transform(h, lambda v, i: v * i)))
-         .withColumn("_q", total(F.transform(h, lambda v, i: v * i * i))).withColumn("_dark", total(F.slice(h, 1, 30)))
-         .withColumn("_p", F.aggregate(h, start, advance)))
-    mean = F.col("_s") / F.col("_n")
-
-    def pct(q: float, name: str) -> Column:
-        pos = F.lit(q) * (F.col("_n") - 1)
-        lo, hi = F.col("_p.lo" + name), F.col("_p.hi" + name)
-        return lo + (hi - lo) * (pos - F.floor(pos))
+def luma_stats(frames: DataFrame, hist: str = "luma_hist") -> DataFrame:
+    """Mean, deviation, dark share and p95 - p5 of a 256-bin luma histogram.
 
-    return (d.withColumn("mean_luminance", mean).withColumn("dark_pixel_ratio", F.col("_dark") / F.col("_n"))
-            .withColumn("luminance_std", F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))))
-            .withColumn("histogram_spread", pct(0.95, "95") - pct(0.05, "5")).drop("_n", "_s", "_q", "_dark", "_p"))
+    256 steps of an interpreted array function per frame cost far more than one
+    Arrow batch through numpy, so this one is a pandas UDF.
+    """
+    udf = F.pandas_udf(_luma, "mean_luminance double, luminance_std double, dark_pixel_ratio double, histogram_spread double")
+    return frames.withColumn("_l", udf(hist)).select("*", "_l.*").drop("_l")
 
 
 def quality_class(frames: DataFrame, unusable_blur: float = 15.0, unusable_lum: float = 5.0, very_low_lum: float = 30.0,
@@ -177,7 +171,7 @@ def lighting_step(threshold: float, min_run: int):
                 f, ms, before = starts[side]
                 conf = min(0.97, 0.55 + abs(delta) / (threshold * 4) * 0.42)
                 out.append({"event_type": names[side], "frame_number": f, "timestamp_ms": ms, "brightness_before": before,
-                            "brightness_after": float(smooth), "delta": float(delta), "confidence": round(conf, 4), "fired_seq": int(seq)})
+                            "brightness_after": float(smooth), "delta": float(delta), "confidence": conf, "fired_seq": int(seq)})
                 runs[side], starts[side] = 0, None
         return [runs, starts], out
 
@@ -188,7 +182,8 @@ def lighting_events(profile: DataFrame, threshold: float = 10.0, min_run: int =
     """Raw light-on and light-off events; videos with fewer than four frames have none."""
     long_enough = profile.where(F.col("seq") == 3).select("video_id")
     d = profile.select("video_id", "seq", "frame_number", "timestamp_ms", "baseline", "smoothed", "delta").join(long_enough, "video_id", "left_semi")
-    return ordered_fold(d, ["video_id"], lighting_step(threshold, min_run), LIGHT_OUT, block=block)
+    out = ordered_fold(d, ["video_id"], lighting_step(threshold, min_run), LIGHT_OUT, block=block)
+    return out.withColumn("confidence", rounded(F.col("confidence"), 4))
 
 
 MERGED_OUT = T.StructType(LIGHT_OUT.fields)
