@@ -15,6 +15,7 @@ from framestory.operators.scenes import spaced_step
 from framestory.plans.fold import FOLD_BLOCK_ROWS, ordered_fold
 from framestory.plans.nearest import nearest
 from framestory.plans.sequence import BLOCK_ROWS, grouped_median, index_rows, over_blocks, running_sum
+from framestory.session import cut_lineage
 
 TRACK = ["video_id", "track_id"]
 
@@ -89,9 +90,11 @@ def near_object(obs: DataFrame, object_classes: Sequence[str], distance: float =
             .join(reach, ["video_id", "_gx", "_gy"]).where(F.col("px").between(F.col("_x1"), F.col("_x2")) & F.col("py").between(F.col("_y1"), F.col("_y2")))
             .select(*TRACK, "object_id", "object_class", "obs_id", "frame_number", "timestamp_ms", "px", "py")
             .withColumn("_q", F.concat_ws(":", "obs_id", "object_id")))
+    cand = cut_lineage(cand)
     hit = nearest(cand, o.select("video_id", "object_id", "frame_number", "ox", "oy"), ["video_id", "object_id"], "frame_number", ["ox", "oy"], slot_frames, "_q")
     dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
     hit = hit.withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d") <= distance)
+    hit = cut_lineage(hit)
     pair = [*TRACK, "object_id", "object_class"]
     hit = index_rows(hit, pair, ["frame_number"], F.floor(F.col("frame_number") / slot_frames).cast("long"), "_i")
     hit = over_blocks(hit, pair, lambda w: {"_pf": F.lag("frame_number").over(w)}, back=1, seq="_i", block=block)

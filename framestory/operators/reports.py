@@ -91,7 +91,9 @@ def video_summary(videos: DataFrame, manifests: DataFrame, stage_runs: DataFrame
 
     ``manifests`` has manifest_ratio and clip_count, ``stage_runs`` stage_ratio and retained_ms per job.
     """
-    s = stage_runs.groupBy("video_id").agg(F.min_by("stage_ratio", F.struct("stage_no", "job_id")).alias("stage_ratio"), F.sum("retained_ms").alias("retained_ms"))
+    s = stage_runs.groupBy("video_id").agg(
+        F.min(F.when(F.col("stage_ratio").isNotNull(), F.struct("stage_no", "job_id", "stage_ratio"))).alias("_r"), F.sum("retained_ms").alias("retained_ms")).withColumn(
+        "stage_ratio", F.col("_r.stage_ratio"))
     g = segments.groupBy("video_id").agg(F.count(F.lit(1)).alias("story_count"))
     d = videos.select("video_id", "duration_seconds").join(manifests, "video_id", "left").join(s, "video_id", "left").join(g, "video_id", "left")
     by_time = F.when(F.col("duration_seconds") > 0, F.col("retained_ms") / 1000.0 / F.col("duration_seconds"))

@@ -44,3 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, shared by all executors."""
+    import uuid
+
+    _ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir().rstrip("/")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
