@@ -54,18 +54,24 @@ def nearest_edge(x: Column, y: Column) -> Column:
     return (F.when(x == low, "left").when(1 - x == low, "right").when(y == low, "top").otherwise("bottom"))
 
 
-def point_in_polygon(x: Column, y: Column, polygon: Column) -> Column:
-    """Ray casting with the half-open rule; ``polygon`` is array<struct<x,y>>."""
+def polygon_edges(polygon: Column) -> Column:
+    """Edges of array<struct<x,y>> as array<struct<px,py,qx,qy>>, each corner with the one before it."""
     n = F.size(polygon)
     before = F.concat(F.slice(polygon, n, 1), F.slice(polygon, F.lit(1), n - 1))
+    return F.zip_with(polygon, before, lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Ray casting with the half-open rule over ``polygon_edges``."""
+    def crosses(e: Column) -> Column:
+        at = (e["qx"] - e["px"]) * (y - e["py"]) / (e["qy"] - e["py"] + F.lit(1e-12)) + e["px"]
+        return ((e["py"] > y) != (e["qy"] > y)) & (x < at)
 
-    def crosses(p: Column, q: Column) -> Column:
-        straddles = (p["y"] > y) != (q["y"] > y)
-        at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + F.lit(1e-12)) + p["x"]
-        return F.when(straddles & (x < at), 1).otherwise(0)
+    return F.size(F.filter(edges, crosses)) % 2 == 1
 
-    hits = F.aggregate(F.zip_with(polygon, before, crosses), F.lit(0), lambda acc, v: acc + v)
-    return hits % 2 == 1
+
+def point_in_polygon(x: Column, y: Column, polygon: Column) -> Column:
+    return inside_edges(x, y, polygon_edges(polygon))
 
 
 def prefixed(df, prefix: str, keep: list[str] | None = None):

@@ -13,7 +13,7 @@ def rounded(col: Column, places: int) -> Column:
     the first step such noise decides ties.
     """
     scale = float(10 ** places)
-    return F.rint(F.rint(col * 1e10) / 1e10 * scale) / scale
+    return F.rint(F.rint(col * 1e10) / 1e10 * scale) / scale + 0.0  # adding zero turns -0.0 into 0.0
 
 
 def clip01(col: Column) -> Column:

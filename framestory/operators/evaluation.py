@@ -12,7 +12,7 @@ from framestory.functions.numbers import rounded
 from framestory.operators.activity import BASE, MIN_IOP, MIN_PERSISTENCE, STAIR_THRESHOLD, TAU
 from framestory.operators.story import is_action, is_entry, is_exit
 from framestory.plans.intervals import overlap_pairs
-from framestory.plans.sequence import grouped_median, index_rows, top_slot
+from framestory.plans.sequence import grouped_median, index_rows, score_slot
 
 TRACK = ["video_id", "track_id"]
 ORDER = ["start_ms", "end_ms", "event_type", "event_id"]
@@ -31,7 +31,7 @@ def baseline_uniform(events: DataFrame, ratio: float = 0.40, slot_ms: float = 60
 
 
 def _top(events: DataFrame, score: str, ratio: float, counts: DataFrame) -> DataFrame:
-    d = index_rows(events, ["video_id"], [F.desc(score), *ORDER], top_slot(F.col(score), 0.001), "_i").join(counts, "video_id")
+    d = index_rows(events, ["video_id"], [F.desc(score), *ORDER], score_slot(F.col(score), F.floor(F.col("start_ms") / 600_000.0)), "_i").join(counts, "video_id")
     return d.where(F.col("_i") < F.col("_keep")).select("video_id", "event_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framestory.functions.text import title_case
 from framestory.operators.events import EVENT_ORDER, TRACK, ordered_events
 from framestory.plans.intervals import bucket
-from framestory.plans.sequence import BLOCK_ROWS, index_rows, over_blocks
+from framestory.plans.sequence import BLOCK_ROWS, first_n, over_blocks
 
 EDGE = ["video_id", "source", "target", "relationship", "weight"]
 
@@ -66,8 +66,7 @@ def graph_metrics(events: DataFrame, edges: DataFrame) -> DataFrame:
 def hub_events(events: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:
     """The best connected events of each video."""
     d = degrees(events, edges)
-    ranked = index_rows(d, ["video_id"], [F.desc("degree"), "event_id"], -F.col("degree").cast("long"), "hub_rank")
-    return ranked.where(F.col("hub_rank") < top_n).withColumn("hub_rank", F.col("hub_rank") + 1)
+    return first_n(d, ["video_id"], [F.desc("degree"), "event_id"], top_n, "hub_rank")
 
 
 def isolated_events(events: DataFrame, edges: DataFrame) -> DataFrame:

@@ -230,13 +230,8 @@ WALK_V, STILL_V, EDGE, CHAIR, CY_DROP = 0.08, 0.03, 0.12, 0.28, 0.04
 def seat_centroids(obs: DataFrame, classes: Sequence[str] = tuple(fixed.SEAT_CLASSES)) -> DataFrame:
     """Upper-median centre of every seat track."""
     o = obs.where(F.lower("class_name").isin(*classes)).select(*TRACK, g.cx().alias("cx"), g.cy().alias("cy"))
-    n = o.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_n"))
-    out = n.select(*TRACK)
-    for c in ("cx", "cy"):
-        # The upper median is the element at place n // 2, so drop the lower one of an even count.
-        v = index_rows(o.select(*TRACK, c), TRACK, [c], F.floor(F.col(c) / 0.01).cast("long"), "_i")
-        out = out.join(v.join(n, TRACK).where(F.col("_i") == F.floor(F.col("_n") / 2)).select(*TRACK, F.col(c).alias("seat_" + c)), TRACK)
-    return out
+    x, y = (grouped_median(o, TRACK, c, 0.01, "seat_" + c, upper=True) for c in ("cx", "cy"))
+    return x.join(y, TRACK)
 
 
 def smoothed_velocity(obs: DataFrame, window: int = 5, fps: float = 25.0, block: int = BLOCK_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framestory.functions.text import mm_ss_millis, mm_ss_tenths, title_case
 from framestory.operators.events import EVENT_ORDER, event_category
 from framestory.plans.nearest import nearest
-from framestory.plans.sequence import index_rows
+from framestory.plans.sequence import first_n, index_rows
 
 TRACK = ["video_id", "track_id"]
 
@@ -131,10 +131,10 @@ def search_inventory(inventory: DataFrame, text: str = "", category: str | None
     return d
 
 
-def milestones(events: DataFrame, n: int = 15, slot_ms: float = 600_000.0) -> DataFrame:
+def milestones(events: DataFrame, n: int = 15) -> DataFrame:
     """The first n events of each video with time, name and actor."""
-    d = index_rows(events, ["video_id"], EVENT_ORDER, F.floor(F.col("start_ms") / slot_ms).cast("long"), "_i").where(F.col("_i") < n)
-    return d.select("video_id", (F.col("_i") + 1).alias("position"), mm_ss_tenths(F.col("start_ms")).alias("time"),
+    d = first_n(events, ["video_id"], EVENT_ORDER, n, "position")
+    return d.select("video_id", "position", mm_ss_tenths(F.col("start_ms")).alias("time"),
                     title_case(F.col("event_type")).alias("event"), F.coalesce("person_label", F.lit("Scene Entity")).alias("actor"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,12 +117,31 @@ LIFECYCLE_OUT = T.StructType([
     T.StructField("action", T.StringType()), T.StructField("state", T.StringType())])
 
 
-def _overlap(p, q):
-    w = min(p[2], q[2]) - max(p[0], q[0])
-    h = min(p[3], q[3]) - max(p[1], q[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - w * h)
+def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    lo = np.maximum(a[:, None, :2], b[None, :, :2])
+    hi = np.minimum(a[:, None, 2:], b[None, :, 2:])
+    side = np.clip(hi - lo, 0.0, None)
+    inter = side[..., 0] * side[..., 1]
+    size_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+    size_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(inter > 0, inter / (size_a[:, None] + size_b[None, :] - inter), 0.0)
+
+
+def _greedy_pairs(boxes: list, dets: np.ndarray, track_keys: list, det_ids: np.ndarray, threshold: float) -> dict[int, int]:
+    """Track index to detection index, by overlap, then ids."""
+    if not boxes or not len(dets):
+        return {}
+    m = _iou_matrix(np.asarray(boxes), dets)
+    i, j = np.nonzero(m >= threshold)
+    order = np.lexsort((det_ids[j], np.asarray(track_keys)[i], -m[i, j]))
+    by_track, taken = {}, set()
+    for k in order:
+        p, q = int(i[k]), int(j[k])
+        if p not in by_track and q not in taken:
+            by_track[p] = q
+            taken.add(q)
+    return by_track
 
 
 def lifecycle_step(cfg: TrackerConfig = TrackerConfig()):
@@ -131,55 +151,60 @@ def lifecycle_step(cfg: TrackerConfig = TrackerConfig()):
     counter and forgets ended tracks; two runs that agree on the live tracks
     agree on everything after.
     """
+    def note(out, frame, key, det, action, state):
+        out.append({"frame_number": frame, "track_key": key, "det_id": det, "action": action, "state": state})
+
     def miss(t, frame, out):
         t["lost"] += 1
         limit = max(cfg.confirm, 2) if t["state"] == "tentative" else cfg.max_lost
         if t["lost"] > limit:
             t["state"] = "ended"
-            out.append({"frame_number": frame, "track_key": t["key"], "det_id": None, "action": "ended", "state": "ended"})
+            note(out, frame, t["key"], None, "ended", "ended")
         elif t["state"] != "tentative":
             t["state"] = "lost"
 
+    def one_frame(live, frame, ids, classes, confs, boxes, out):
+        match = _greedy_pairs([t["box"] for t in live], boxes, [t["key"] for t in live], ids, cfg.iou_threshold)
+        taken = set(match.values())
+        free = [j for j in range(len(ids)) if j not in taken]
+        for i, t in enumerate(live):
+            j = match.get(i)
+            if j is not None and t["cls"] == classes[j]:
+                t.update(box=boxes[j].tolist(), lost=0, matched=t["matched"] + 1)
+                if t["state"] == "lost" or (t["state"] == "tentative" and t["matched"] >= cfg.confirm):
+                    t["state"] = "active"
+                note(out, frame, t["key"], int(ids[j]), "hit", t["state"])
+                continue
+            miss(t, frame, out)
+            if j is not None:
+                free.append(j)
+        live = [t for t in live if t["state"] != "ended"]
+        for j in free:
+            if confs[j] >= cfg.min_confidence:
+                s = "active" if cfg.confirm <= 1 else "tentative"
+                live.append({"key": int(ids[j]), "cls": classes[j], "box": boxes[j].tolist(), "state": s, "lost": 0, "matched": 1})
+                note(out, frame, int(ids[j]), int(ids[j]), "opened", s)
+        return live
+
     def step(state, rows, last):
         live = state or []
-        out = []
-        for frame, part in rows.groupby("frame_number", sort=True):
-            part = part[part["det_id"].notna()].sort_values("det_id")
-            frame = int(frame)
-            dets = [{"id": int(i), "cls": str(c).lower(), "conf": float(f), "box": [float(v) for v in b]} for i, c, f, *b in zip(
-                part["det_id"], part["class_name"], part["confidence"], part["x1"], part["y1"], part["x2"], part["y2"])]
-            pairs = sorted((-_overlap(t["box"], d["box"]), t["key"], d["id"], i, j) for i, t in enumerate(live) for j, d in enumerate(dets)
-                           if _overlap(t["box"], d["box"]) >= cfg.iou_threshold)
-            by_track, taken = {}, set()
-            for _iou, _k, _d, i, j in pairs:
-                if i not in by_track and j not in taken:
-                    by_track[i] = j
-                    taken.add(j)
-            free = [j for j in range(len(dets)) if j not in taken]
-            for i, t in enumerate(live):
-                j = by_track.get(i)
-                if j is not None and t["cls"] == dets[j]["cls"]:
-                    t.update(box=dets[j]["box"], lost=0, matched=t["matched"] + 1)
-                    if t["state"] == "lost" or (t["state"] == "tentative" and t["matched"] >= cfg.confirm):
-                        t["state"] = "active"
-                    out.append({"frame_number": frame, "track_key": t["key"], "det_id": dets[j]["id"], "action": "hit", "state": t["state"]})
-                else:
-                    miss(t, frame, out)
-                    if j is not None:
-                        free.append(j)
-            live = [t for t in live if t["state"] != "ended"]
-            for j in free:
-                d = dets[j]
-                if d["conf"] < cfg.min_confidence:
-                    continue
-                s = "active" if cfg.confirm <= 1 else "tentative"
-                live.append({"key": d["id"], "cls": d["cls"], "box": d["box"], "state": s, "lost": 0, "matched": 1})
-                out.append({"frame_number": frame, "track_key": d["id"], "det_id": d["id"], "action": "opened", "state": s})
+        out: list[dict] = []
+        if len(rows):
+            frames = rows["frame_number"].to_numpy()
+            ids = rows["det_id"].to_numpy(dtype="float64")
+            order = np.lexsort((ids, frames))
+            frames, ids = frames[order], ids[order]
+            classes = [str(c).lower() for c in rows["class_name"].to_numpy()[order]]
+            confs = rows["confidence"].to_numpy()[order]
+            boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype="float64")[order]
+            cuts = np.flatnonzero(np.diff(frames)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(frames)]):
+                hi = hi if not np.isnan(ids[lo]) else lo  # a frame without detections is one row of nulls
+                live = one_frame(live, int(frames[lo]), ids[lo:hi], classes[lo:hi], confs[lo:hi], boxes[lo:hi], out)
         if last:
             for t in live:
                 closed = t["state"] in ("lost", "tentative")
-                out.append({"frame_number": None, "track_key": t["key"], "det_id": None, "action": "closed" if closed else "open",
-                            "state": "ended" if closed else t["state"]})
+                note(out, None, t["key"], None, "closed" if closed else "open", "ended" if closed else t["state"])
         return live, out
 
     return step

@@ -38,16 +38,23 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructTy
     key_fields = [df.schema[k] for k in keys]
     names = [f.name for f in out.fields]
     full = T.StructType(key_fields + list(out.fields))
+    df = cut_lineage(df)  # read at least twice: once for the longest key, once or more by the fold
     longest = df.agg(F.max(seq)).first()[0]
     if longest is None or longest < block:
         def whole(key, pdf):
             _, rows = step(None, pdf.sort_values(seq, kind="stable"), True)
             return _frame(rows, keys, key, names)
 
-        return df.groupBy(*keys).applyInPandas(whole, full)
+        return _spread(df, keys).groupBy(*keys).applyInPandas(whole, full)
     return _blockwise(df, keys, step, full, names, seq, block)
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitions by key that AQE leaves alone: Python work is heavy for its bytes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _frame(rows: list[dict], keys: list[str], key: tuple, names: list[str]) -> pd.DataFrame:
     data = {k: [v] * len(rows) for k, v in zip(keys, key)}
     for n in names:
@@ -76,7 +83,8 @@ def _blockwise(df, keys, step, full, names, seq, block):
 
     def run(entries):
         todo = d.join(entries.select(*bkeys), bkeys, "left_semi")
-        return cut_lineage(todo.groupBy(*bkeys).cogroup(entries.groupBy(*bkeys)).applyInPandas(one, raw))
+        entries = entries.select(*[F.col(c).alias(c) for c in entries.columns])  # column ids of its own for the cogroup
+        return cut_lineage(_spread(todo, bkeys).groupBy(*bkeys).cogroup(_spread(entries, bkeys).groupBy(*bkeys)).applyInPandas(one, raw))
 
     entries = cut_lineage(blocks.withColumn("_entry", F.lit(None).cast("string")))
     done = run(entries)

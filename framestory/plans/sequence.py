@@ -101,8 +101,8 @@ def fill_along(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
         "_slot", "_v", "_acc", "_carry")
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, width: float, name: str) -> DataFrame:
-    """Exact interpolated median per key.
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, width: float, name: str, upper: bool = False) -> DataFrame:
+    """Exact interpolated median per key, or the upper of the two middle values.
 
     Equal values are counted together, the slot of width ``width`` that holds
     the middle is found from slot totals, and only that slot is sorted.
@@ -122,9 +122,26 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, width: float,
          .withColumn("_to", F.col("_before") + F.sum("_c").over(in_slot)).withColumn("_from", F.col("_to") - F.col("_c")))
     low = F.max(F.when((F.col("_from") <= F.col("_lo")) & (F.col("_lo") < F.col("_to")), F.col("_v")))
     high = F.max(F.when((F.col("_from") <= F.col("_hi")) & (F.col("_hi") < F.col("_to")), F.col("_v")))
-    return d.groupBy(*keys).agg(((low + high) / 2).alias(name))
+    return d.groupBy(*keys).agg((high if upper else (low + high) / 2).alias(name))
 
 
-def top_slot(score: Column, width: float) -> Column:
-    """Slot for descending scores: larger scores get smaller slots."""
-    return -F.floor(score / width).cast("long")
+def score_slot(score: Column, tie_slot: Column, width: float = 1e-4) -> Column:
+    """Slot for rows ordered by descending score, then by whatever ``tie_slot`` is monotone in.
+
+    Rounded scores repeat a lot; rows whose score is a multiple of ``width`` are
+    split further by ``tie_slot``, so a popular score is not one slot.
+    """
+    q = score / F.lit(width)
+    exact = F.abs(q - F.rint(q)) < 1e-6
+    return F.struct(F.when(exact, -F.rint(q)).otherwise(F.floor(-q)).cast("long").alias("s"), (~exact).cast("int").alias("e"),
+                    F.when(exact, tie_slot.cast("long")).otherwise(F.lit(0)).alias("t"))
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str) -> DataFrame:
+    """The first ``n`` rows per key with their place from 1.
+
+    A row-number filter becomes a group limit that every map task applies before
+    the shuffle, so a hot key sends at most ``n`` rows per task.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n).withColumn(name, F.col(name).cast("long"))

@@ -8,7 +8,7 @@ from framestory import fixed
 def R(expr: str, places: int) -> str:
     """The library's rounding rule."""
     s = f"1e{places}"
-    return f"(round_even(round_even(({expr}) * 1e10, 0) / 1e10 * {s}, 0) / {s})"
+    return f"(round_even(round_even(({expr}) * 1e10, 0) / 1e10 * {s}, 0) / {s} + 0.0E0)"
 
 
 def IN(values) -> str:
