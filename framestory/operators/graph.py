@@ -86,11 +86,12 @@ def centrality(events: DataFrame, edges: DataFrame) -> DataFrame:
     return d.join(n, "video_id").withColumn("centrality", F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")
 
 
-def track_subgraph(events: DataFrame, edges: DataFrame, video_id, track_id) -> DataFrame:
-    """Edges among the events of one track."""
-    ids = events.where((F.col("video_id") == video_id) & (F.col("track_id") == track_id)).select("video_id", "event_id")
-    return (edges.join(ids.withColumnRenamed("event_id", "source"), ["video_id", "source"], "left_semi")
-            .join(ids.withColumnRenamed("event_id", "target"), ["video_id", "target"], "left_semi"))
+def track_subgraphs(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between events of the same track, for every track; filter on one to read its subgraph."""
+    t = events.select("video_id", "event_id", "track_id")
+    return (edges.join(t.withColumnRenamed("event_id", "source"), ["video_id", "source"])
+            .join(t.withColumnsRenamed({"event_id": "target", "track_id": "_other"}), ["video_id", "target"])
+            .where(F.col("track_id") == F.col("_other")).drop("_other"))
 
 
 def _actor(events: DataFrame) -> DataFrame:

@@ -56,16 +56,24 @@ def posture_step(drop: float, run: int = 2, recover: float = 0.80):
     return step
 
 
-def posture_transitions(obs: DataFrame, drop: float = 0.55, min_standing: float = 1.40, min_observations: int = 3,
-                        block: int = FOLD_BLOCK_ROWS) -> DataFrame:
-    """Sitting and standing-up events from the height to width ratio against the track's standing baseline."""
+def with_baseline(obs: DataFrame, min_standing: float = 1.40, min_observations: int = 3) -> DataFrame:
+    """Box rows with their height to width ratio and the standing baseline of their track; tracks without one are left out.
+
+    The baseline is the mean over the first quarter of the rows that look like standing.
+    """
     boxes = obs.where((g.width() > 0) & (g.height() > 0)).withColumn("aspect", g.height() / g.width())
     n = boxes.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_n"))
     head = F.greatest(F.floor(F.col("_n") / 4), F.lit(2))
     base = (boxes.join(n, TRACK).where((F.col("_n") >= min_observations) & (F.col("seq") < head)).groupBy(*TRACK)
             .agg(F.coalesce(F.avg(F.when(F.col("aspect") >= min_standing, F.col("aspect"))), F.avg("aspect")).alias("baseline"))
             .where(F.col("baseline") >= min_standing))
-    d = boxes.select(*TRACK, "seq", "frame_number", "timestamp_ms", "aspect").join(base, TRACK)
+    return boxes.select(*TRACK, "seq", "frame_number", "timestamp_ms", "aspect").join(base, TRACK)
+
+
+def posture_transitions(obs: DataFrame, drop: float = 0.55, min_standing: float = 1.40, min_observations: int = 3,
+                        block: int = FOLD_BLOCK_ROWS) -> DataFrame:
+    """Sitting and standing-up events from the height to width ratio against the track's standing baseline."""
+    d = with_baseline(obs, min_standing, min_observations)
     return ordered_fold(d, TRACK, posture_step(drop), POSTURE_OUT, block=block).withColumn("confidence", rounded(F.col("confidence"), 4))
 
 

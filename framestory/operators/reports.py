@@ -15,7 +15,7 @@ from framestory.plans.sequence import first_n, index_rows
 TRACK = ["video_id", "track_id"]
 
 
-def pipeline_funnel(stages: dict[str, DataFrame]) -> DataFrame:
+def stage_funnel(stages: dict[str, DataFrame]) -> DataFrame:
     """Row counts per video after every step, in long form."""
     out = None
     for i, (name, d) in enumerate(stages.items()):

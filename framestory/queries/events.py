@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framestory import fixed
-from framestory.operators import compression, events, fusion, graph, motion, ranking, story, tracks, validation
+from framestory.operators import compression, evaluation, events, fusion, graph, motion, ranking, story, tracks, validation
 from framestory.functions.numbers import rounded
 from framestory.queries.motion import camera_of, profiles_of, tracks_of
 from framestory.queries.registry import query
@@ -36,12 +36,14 @@ def named_events(s: Inputs):
 RULE_COLS = "video_id track_id class_name rule_name event_type event_id start_frame end_frame start_ms end_ms confidence"
 
 
-@query("rules_table", "SELECT * FROM (VALUES " + ", ".join(
+@query("rules_table", sql("SELECT t.*, (SELECT count(*) FROM rule_events e WHERE e.rule_name = t.rule_name) AS fired FROM (VALUES " + ", ".join(
     f"('{r[0]}', '{r[1]}', {len(r[2])}, {r[12]}E0, {r[8]}, {r[7]}E0)" for r in fixed.RULES)
-    + ") t(rule_name, event_type, n_classes, rule_confidence, min_frames, min_length_ms)")
+    + ") t(rule_name, event_type, n_classes, rule_confidence, min_frames, min_length_ms)", "rule_events"))
 def _(s):
+    """The rules with how often each fires on the data."""
+    n = rule_events_of(s).groupBy("rule_name").agg(F.count(F.lit(1)).alias("fired"))
     return fixed.rules_table(s.spark).select("rule_name", "event_type", F.size("class_names").alias("n_classes"),
-                                             "rule_confidence", "min_frames", "min_length_ms")
+                                             "rule_confidence", "min_frames", "min_length_ms").join(n, "rule_name", "left").fillna(0, ["fired"])
 
 
 @query("apply_rules", sql("SELECT " + outs(RULE_COLS) + " FROM rule_events", "rule_events"))
@@ -285,9 +287,9 @@ def _(s):
     return out(graph.centrality(s.semantic_events, graph.event_graph(s.semantic_events)), "video_id event_id", "centrality")
 
 
-@query("track_subgraph", sql("""SELECT source, target FROM st_edges WHERE source IN (SELECT event_id FROM sem WHERE track_id = 103)""", "st_edges", "sem"))
+@query("track_subgraphs", sql("SELECT video_id, track_id, source, target, relationship FROM (SELECT e.*, a.track_id, b.track_id AS other FROM edges e JOIN sem a ON a.event_id = e.source JOIN sem b ON b.event_id = e.target) WHERE track_id = other", "edges", "sem"))
 def _(s):
-    return graph.track_subgraph(s.semantic_events, graph.same_track_edges(s.semantic_events), 0, 103).select("source", "target")
+    return graph.track_subgraphs(s.semantic_events, graph.event_graph(s.semantic_events)).select("video_id", "track_id", "source", "target", "relationship")
 
 
 _KEY = "CASE WHEN person_label IS NOT NULL THEN 'person:' || person_label ELSE 'track:' || track_id END"
@@ -364,7 +366,7 @@ def _(s):
         "segment_id", "rank", "completeness", "event_count", "combined_rank", "keep", "reason")
 
 
-_ISSUES = f"""(WITH kept_ev AS (SELECT * FROM sem WHERE event_id % 7 <> 0), kept_seg AS (SELECT video_id, track_id, completeness FROM sem_seg1 WHERE track_id % 5 <> 0),
+_ISSUES = f"""(WITH kept_ev AS (SELECT s.* FROM sem s JOIN b_uni USING (video_id, event_id)), kept_seg AS (SELECT video_id, track_id, completeness FROM sem_pol WHERE keep),
  per AS (SELECT video_id, track_id, completeness, bool_or(event_type IN {IN(fixed.ENTRY_TYPES)}) AS e, bool_or(event_type IN {IN(fixed.EXIT_TYPES)}) AS x, bool_or(event_type IN {IN(fixed.ACTION_TYPES)}) AS a,
   min((start_ms, end_ms, event_type, event_id)) AS f, max((start_ms, end_ms, event_type, event_id)) AS l FROM kept_ev JOIN kept_seg USING (video_id, track_id) GROUP BY ALL)
  SELECT video_id, 'error' AS severity, 'complete_chain_integrity' AS "check", track_id, CAST(NULL AS BIGINT) AS event_id,
@@ -377,22 +379,22 @@ _ISSUES = f"""(WITH kept_ev AS (SELECT * FROM sem WHERE event_id % 7 <> 0), kept
 
 
 def _kept(s: Inputs):
-    ev = s.semantic_events
-    return (ev.where("event_id % 7 <> 0").select("video_id", "event_id"),
-            ev.where("track_id % 5 <> 0").select("video_id", "track_id").distinct())
+    """Events a uniform sample would keep against the chains the policy keeps: breaks every check."""
+    dec = s.stage("decisions", lambda: compression.compression_policy(ranked_semantic(s)))
+    return s.stage("uniform", lambda: evaluation.baseline_uniform(s.semantic_events)), dec.where("keep").select("video_id", "track_id")
 
 
-@query("validate_narrative", sql("SELECT * FROM " + _ISSUES, "sem", "sem_seg1", "st_edges"))
+@query("validate_narrative", sql("SELECT * FROM " + _ISSUES, "sem", "sem_pol", "b_uni", "st_edges"))
 def _(s):
     ke, ks = _kept(s)
     ev = s.semantic_events
-    return validation.validate_narrative(story.story_segments(ev), ev, ks, ke, graph.same_track_edges(ev))
+    return validation.validate_narrative(s.stage("segments", lambda: story.story_segments(ev)), ev, ks, ke, graph.same_track_edges(ev))
 
 
 @query("validation_report", sql(f"""SELECT video_id, chains_checked, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(orphaned_events, 0) AS orphaned_events,
  c - coalesce(b, 0) AS complete_chains_intact, coalesce(errors, 0) = 0 AS is_valid FROM (SELECT video_id, count(*) AS chains_checked, count(*) FILTER (WHERE completeness = 'complete') AS c
-  FROM sem_seg1 WHERE track_id % 5 <> 0 GROUP BY ALL) LEFT JOIN (SELECT video_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
-  count(*) FILTER (WHERE "check" = 'no_orphaned_events') AS orphaned_events, count(*) FILTER (WHERE "check" = 'complete_chain_integrity') AS b FROM {_ISSUES} GROUP BY ALL) USING (video_id)""", "sem", "sem_seg1", "st_edges"))
+  FROM sem_pol WHERE keep GROUP BY ALL) LEFT JOIN (SELECT video_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
+  count(*) FILTER (WHERE "check" = 'no_orphaned_events') AS orphaned_events, count(*) FILTER (WHERE "check" = 'complete_chain_integrity') AS b FROM {_ISSUES} GROUP BY ALL) USING (video_id)""", "sem", "sem_pol", "b_uni", "st_edges"))
 def _(s):
     ke, ks = _kept(s)
     ev = s.semantic_events
@@ -400,7 +402,7 @@ def _(s):
     return validation.validation_report(validation.validate_narrative(seg, ev, ks, ke, graph.same_track_edges(ev)), ks, seg)
 
 
-def pipeline(s: Inputs):
+def decision_chain(s: Inputs):
     """Observations to decisions: rules, fusion, stories, ranking, policy."""
     kept, _d = fusion.fusion_filter(fused_of(s))
     segments = s.stage("kept_segments", lambda: story.story_segments(kept))
@@ -408,7 +410,7 @@ def pipeline(s: Inputs):
     return kept, ranked, compression.compression_policy(ranked)
 
 
-@query("pipeline_decisions", sql("""SELECT video_id, track_id, segment_id, rank, completeness, event_count, combined_rank, keep, reason FROM fev_pol""", "fev_pol"))
+@query("budget_decisions", sql("""SELECT video_id, track_id, segment_id, rank, completeness, event_count, combined_rank, keep, reason FROM fev_pol""", "fev_pol"))
 def _(s):
-    _e, _r, d = pipeline(s)
+    _e, _r, d = decision_chain(s)
     return d.select("video_id", "track_id", "segment_id", "rank", "completeness", "event_count", "combined_rank", "keep", "reason")

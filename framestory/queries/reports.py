@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from framestory import fixed
 from framestory.functions import geometry as g
 from framestory.functions.numbers import rounded
-from framestory.operators import activity, compression, evaluation, events, interactions, posture, ranking, reports, sampling, scenes, story, tracking
-from framestory.queries.events import KINDS, named_events, pipeline, ranked_semantic, rule_events_of, fused_of, varied_events, _VARIED, _CATEGORY  # noqa: F401
-from framestory.queries.frames import bounded_of
+from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking
+from framestory.queries.events import _CATEGORY, _VARIED, decision_chain, named_events, ranked_semantic, rule_events_of, varied_events
+from framestory.queries.frames import LIGHT, bright_of
 from framestory.queries.motion import tracks_of
-from framestory.queries.people import bike_obs, bike_tracks, features_of, guarded_of, seats_of, tracker_detections, zones_of
+from framestory.queries.people import bike_tracks, features_of, seats_of, tracker_detections, zones_of
 from framestory.queries.registry import query
 from framestory.queries.shape import out, outs
-from framestory.queries.sqlviews import IN, MEDIAN, R, VIEWS, sql, view
+from framestory.queries.sqlviews import IN, MEDIAN, ORD as _ORD, R, VIEWS, sql, view
 from framestory.session import work_folder
 from framestory.sources import files
 from framestory.sources.fixtures import Inputs
@@ -22,15 +22,6 @@ from framestory.streaming import run, steps
 from framestory.streaming.fold import stream_fold
 
 # Evaluation -----------------------------------------------------------------------------
-_ORD = "start_ms, end_ms, event_type, event_id"
-view("motev", "SELECT *, (event_id * 17 % 1000) / 1000.0E0 AS motion FROM sem", "sem")
-view("nkeep", "SELECT video_id, count(*) AS n, greatest(CAST(floor(count(*) * 0.4E0) AS BIGINT), 1) AS k FROM sem GROUP BY ALL", "sem")
-view("b_uni", f"""SELECT video_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {_ORD}) - 1 AS i FROM sem) JOIN nkeep USING (video_id) WHERE i % greatest(n // k, 1) = 0 AND i // greatest(n // k, 1) < k""", "sem", "nkeep")
-view("b_mot", f"""SELECT video_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY motion DESC, {_ORD}) AS i FROM motev) JOIN nkeep USING (video_id) WHERE i <= k""", "motev", "nkeep")
-view("b_scn", f"""SELECT video_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, {_ORD}) AS i FROM (SELECT *, row_number() OVER (PARTITION BY video_id, floor(start_ms / 120000) ORDER BY confidence DESC, {_ORD}) AS r FROM sem) WHERE r = 1) JOIN nkeep USING (video_id) WHERE i <= k""", "sem", "nkeep")
-view("b_pol", "SELECT video_id, event_id FROM sem JOIN sem_pol USING (video_id, track_id) WHERE keep", "sem", "sem_pol")
-
-
 def motion_events(s: Inputs):
     return s.semantic_events.withColumn("motion", (F.col("event_id") * 17 % 1000) / F.lit(1000.0))
 
@@ -155,18 +146,19 @@ def _(s):
     return evaluation.min_observation_sweep([("default", activity.classify_activity(sig))] + [(str(m), activity.classify_activity(sig, m)) for m in (60, 68, 75)])
 
 
-view("tmatch", """SELECT p.video_id, p.event_id, t.truth_id FROM sem p JOIN truth t ON p.video_id = t.video_id AND p.event_type = t.event_type AND p.start_ms <= t.truth_end AND t.truth_start <= p.end_ms WHERE p.event_id % 3 <> 0""", "sem", "truth")
+view("tmatch", """SELECT p.video_id, p.event_id, t.truth_id FROM sem p JOIN truth t ON p.video_id = t.video_id AND p.event_type = t.event_type AND p.start_ms <= t.truth_end AND t.truth_start <= p.end_ms JOIN b_uni u ON u.event_id = p.event_id""", "sem", "truth", "b_uni")
 view("tchain", "SELECT video_id, track_id AS chain_id, event_id AS truth_id FROM sem WHERE event_id % 5 <> 0", "sem")
 
 
 @query("temporal_quality", sql(f"""SELECT video_id, predicted, relevant, matched_pred, matched_truth, chains, whole_chains, {R('matched_pred / predicted', 6)} AS precision, {R('matched_truth / relevant', 6)} AS recall, {R('2.0E0 * (matched_pred / predicted) * (matched_truth / relevant) / (matched_pred / predicted + matched_truth / relevant)', 6)} AS f1,
   {R('matched_truth / relevant', 6)} AS event_coverage, {R('1 - matched_pred / predicted', 6)} AS false_positive_rate, {R('whole_chains / chains', 6)} AS narrative_score, {R('len / outp', 6)} AS compression_ratio
- FROM (SELECT video_id, count(*) AS predicted, sum(end_ms - start_ms) AS outp, max(end_ms) AS len FROM sem WHERE event_id % 3 <> 0 GROUP BY ALL) JOIN (SELECT video_id, count(*) AS relevant FROM truth GROUP BY ALL) USING (video_id)
+ FROM (SELECT video_id, count(*) AS predicted, sum(end_ms - start_ms) AS outp, max(end_ms) AS len FROM sem JOIN b_uni USING (video_id, event_id) GROUP BY ALL) JOIN (SELECT video_id, count(*) AS relevant FROM truth GROUP BY ALL) USING (video_id)
  JOIN (SELECT video_id, count(DISTINCT event_id) AS matched_pred, count(DISTINCT truth_id) AS matched_truth FROM tmatch GROUP BY ALL) USING (video_id)
- JOIN (SELECT video_id, count(*) AS chains, count(*) FILTER (WHERE w) AS whole_chains FROM (SELECT video_id, chain_id, bool_and(truth_id IN (SELECT truth_id FROM tmatch)) AS w FROM tchain GROUP BY ALL) GROUP BY ALL) USING (video_id)""", "tmatch", "tchain", "sem", "truth"))
+ JOIN (SELECT video_id, count(*) AS chains, count(*) FILTER (WHERE w) AS whole_chains FROM (SELECT video_id, chain_id, bool_and(truth_id IN (SELECT truth_id FROM tmatch)) AS w FROM tchain GROUP BY ALL) GROUP BY ALL) USING (video_id)""", "tmatch", "tchain", "sem", "truth", "b_uni"))
 def _(s):
     chains = s.semantic_events.where("event_id % 5 <> 0").select("video_id", F.col("track_id").alias("chain_id"), F.col("event_id").alias("truth_id"))
-    return out(evaluation.temporal_quality(s.semantic_events.where("event_id % 3 <> 0"), s.truth_events, chains), "video_id predicted relevant matched_pred matched_truth chains whole_chains",
+    pred = s.stage("uniform_events", lambda: s.semantic_events.join(evaluation.baseline_uniform(s.semantic_events), ["video_id", "event_id"], "left_semi"))
+    return out(evaluation.temporal_quality(pred, s.truth_events, chains), "video_id predicted relevant matched_pred matched_truth chains whole_chains",
                "precision recall f1 event_coverage false_positive_rate narrative_score compression_ratio")
 
 
@@ -201,9 +193,11 @@ def _(s):
     return evaluation.role_coverage(varied_events(s))
 
 
-@query("event_loss", sql("SELECT video_id, count(*) AS events, count(*) FILTER (WHERE track_id % 4 <> 0) AS covered, count(*) FILTER (WHERE track_id % 4 = 0) AS lost FROM sem GROUP BY ALL", "sem"))
+@query("event_loss", sql("SELECT video_id, n AS events, c AS covered, n - c AS lost FROM (SELECT video_id, count(*) AS n, count(u.event_id) AS c FROM sem LEFT JOIN b_uni u USING (video_id, event_id) GROUP BY ALL)", "sem", "b_uni"))
 def _(s):
-    return evaluation.event_loss(s.semantic_events, story.story_segments(s.semantic_events.where("track_id % 4 <> 0")))
+    """Segments built from a uniform sample leave the other events uncovered."""
+    sample = s.semantic_events.join(evaluation.baseline_uniform(s.semantic_events), ["video_id", "event_id"], "left_semi")
+    return evaluation.event_loss(s.semantic_events, story.story_segments(sample))
 
 
 @query("confidence_histogram", sql(f"""SELECT event_type, {R('min(confidence)', 6)} AS min_confidence, {R('max(confidence)', 6)} AS max_confidence, {R('avg(confidence)', 6)} AS mean_confidence, count(*) FILTER (WHERE confidence < 0.5) AS bin_below_050,
@@ -231,17 +225,17 @@ _FUNNEL = [("observations", "obs"), ("tracks", "tracks"), ("rule_events", "rule_
 view("fev_kept", "SELECT * FROM fev_pol WHERE keep", "fev_pol")
 
 
-@query("pipeline_funnel", sql(" UNION ALL ".join(f"SELECT {i} AS step_no, '{n}' AS step, video_id, count(*) AS rows FROM {v} GROUP BY ALL" for i, (n, v) in enumerate(_FUNNEL)), *[v for _n, v in _FUNNEL]))
+@query("stage_funnel", sql(" UNION ALL ".join(f"SELECT {i} AS step_no, '{n}' AS step, video_id, count(*) AS rows FROM {v} GROUP BY ALL" for i, (n, v) in enumerate(_FUNNEL)), *[v for _n, v in _FUNNEL]))
 def _(s):
-    kept, ranked, dec = pipeline(s)
-    return reports.pipeline_funnel({"observations": s.observations, "tracks": tracks_of(s), "rule_events": rule_events_of(s), "fused_events": kept, "segments": ranked, "kept_segments": dec.where("keep")})
+    kept, ranked, dec = decision_chain(s)
+    return reports.stage_funnel({"observations": s.observations, "tracks": tracks_of(s), "rule_events": rule_events_of(s), "fused_events": kept, "segments": ranked, "kept_segments": dec.where("keep")})
 
 
 @query("trace_tracks", sql("""SELECT t.video_id, t.track_id, t.class_name, t.n_obs, coalesce(e.n, 0) AS events, coalesce(f.n, 0) AS fused_events, p.completeness, p.rank, p.keep, CASE WHEN NOT is_confirmed THEN 'not_confirmed' WHEN e.n IS NULL THEN 'no_events' WHEN f.n IS NULL THEN 'fusion_discarded'
   WHEN p.rank IS NULL THEN 'no_segment' WHEN NOT p.keep THEN 'discarded:' || reason ELSE 'exported' END AS first_break FROM tracks t LEFT JOIN (SELECT video_id, track_id, count(*) AS n FROM rule_events GROUP BY ALL) e USING (video_id, track_id)
  LEFT JOIN (SELECT video_id, track_id, count(*) AS n FROM fev GROUP BY ALL) f USING (video_id, track_id) LEFT JOIN fev_pol p USING (video_id, track_id)""", "tracks", "rule_events", "fev", "fev_pol"))
 def _(s):
-    kept, ranked, dec = pipeline(s)
+    kept, ranked, dec = decision_chain(s)
     d = reports.trace_tracks(tracks_of(s), rule_events_of(s), kept, s.stage("kept_segments", lambda: story.story_segments(kept)), ranked, dec)
     return d.select("video_id", "track_id", "class_name", "n_obs", "events", "fused_events", "completeness", "rank", "keep", "first_break")
 
@@ -463,3 +457,40 @@ def _(s):
     kept = run.run_to_table(stream_fold(st, ["video_id", "event_type"], "place", scenes.spaced_step("start_ms", 120_000.0, "event_id", strict=True),
                                         "event_id long, kept boolean"))
     return kept.where("kept").select("event_id")
+
+
+@query("read_frame_features", sql("SELECT video_id, frame_number, brightness, motion_fraction, blur_score, pixel_diff FROM frames", "frames"))
+def _(s):
+    path = work_folder(s.spark, "frames")
+    s.frames.withColumn("frame_path", F.lit(None).cast("string")).write.parquet(path)
+    return files.read_frame_features(s.spark, path).select("video_id", "frame_number", "brightness", "motion_fraction", "blur_score", "pixel_diff")
+
+
+@query("read_zones", sql("SELECT v.video_id, z.zone_id, z.zone_name, z.zone_type, len(z.polygon) AS corners FROM (SELECT DISTINCT video_id FROM obs) v, zones z", "obs", "zones"))
+def _(s):
+    path = work_folder(s.spark, "zones")
+    z = zones_of(s).select("video_id", "zone_id", F.col("zone_name").alias("name"), F.upper("zone_type").alias("zone_type"), F.transform("polygon", lambda p: F.array(p["x"], p["y"])).alias("polygon"))
+    z.write.json(path)
+    return files.read_zones(s.spark, path, multi_line=False).select("video_id", "zone_id", "zone_name", "zone_type", F.size("polygon").alias("corners"))
+
+
+@query("stream_lighting", sql(f"SELECT {outs(LIGHT)} FROM light10_raw", "light10_raw"))
+def _(s):
+    b = bright_of(s).select("video_id", "seq", "frame_number", "timestamp_ms", "baseline", "smoothed", "delta")
+    st = stream_fold(run.replay(b, "frame_number", [4000, 9000]), ["video_id"], "seq", quality.lighting_step(10.0, 2), quality.LIGHT_OUT)
+    return run.run_to_table(st.withColumn("confidence", rounded(F.col("confidence"), 4))).select(*LIGHT.split())
+
+
+@query("stream_posture", sql("SELECT video_id, track_id, event_type, ev_start AS start_frame, end_frame, ev_start * 40.0E0 AS start_ms, end_frame * 40.0E0 AS end_ms, confidence, sitting_ms FROM post WHERE event_type IS NOT NULL", "post"))
+def _(s):
+    """Transitions of a stream whose rows meet the tracks' known baselines."""
+    d = posture.with_baseline(s.observations)
+    st = stream_fold(run.replay(d, "frame_number", [120, 240]), ["video_id", "track_id"], "seq", posture.posture_step(0.99), posture.POSTURE_OUT)
+    return run.run_to_table(st.withColumn("confidence", rounded(F.col("confidence"), 4)))
+
+
+@query("stream_reid")
+def _(s):
+    """Person labels for tracks arriving in order of their start."""
+    t = s.track_embeddings.select("video_id", "track_id", "start_ms", "embedding")
+    return run.run_to_table(stream_fold(run.replay(t, "start_ms", [30_000.0, 60_000.0]), ["video_id"], "start_ms", identity.assign_step(0.45), identity.ASSIGN_OUT))

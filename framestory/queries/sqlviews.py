@@ -300,3 +300,12 @@ view("deg", """SELECT s.video_id, s.event_id, s.event_type, s.track_id, coalesce
  LEFT JOIN (SELECT video_id, source AS event_id, count(*) AS n FROM edges GROUP BY ALL) o USING (video_id, event_id)""", "sem", "edges")
 view("actors", """SELECT *, CASE WHEN track_id % 3 = 0 THEN 'Person ' || (track_id % 50) END AS person_label,
   CASE WHEN event_id % 4 = 0 THEN 'left' WHEN event_id % 4 = 1 THEN 'right' END AS direction FROM sem""", "sem")
+
+# Baseline selections ----------------------------------------------------------------
+ORD = "start_ms, end_ms, event_type, event_id"
+view("motev", "SELECT *, (event_id * 17 % 1000) / 1000.0E0 AS motion FROM sem", "sem")
+view("nkeep", "SELECT video_id, count(*) AS n, greatest(CAST(floor(count(*) * 0.4E0) AS BIGINT), 1) AS k FROM sem GROUP BY ALL", "sem")
+view("b_uni", f"""SELECT video_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {ORD}) - 1 AS i FROM sem) JOIN nkeep USING (video_id) WHERE i % greatest(n // k, 1) = 0 AND i // greatest(n // k, 1) < k""", "sem", "nkeep")
+view("b_mot", f"""SELECT video_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY motion DESC, {ORD}) AS i FROM motev) JOIN nkeep USING (video_id) WHERE i <= k""", "motev", "nkeep")
+view("b_scn", f"""SELECT video_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, {ORD}) AS i FROM (SELECT *, row_number() OVER (PARTITION BY video_id, floor(start_ms / 120000) ORDER BY confidence DESC, {ORD}) AS r FROM sem) WHERE r = 1) JOIN nkeep USING (video_id) WHERE i <= k""", "sem", "nkeep")
+view("b_pol", "SELECT video_id, event_id FROM sem JOIN sem_pol USING (video_id, track_id) WHERE keep", "sem", "sem_pol")

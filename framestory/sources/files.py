@@ -49,9 +49,9 @@ def frame_number_from_path(df: DataFrame, col: str = "frame_path", frame_skip: i
     return d.withColumn("timestamp_ms", t).drop("_n", "_i", "_last", "_files")
 
 
-def read_zones(spark: SparkSession, path: str) -> DataFrame:
+def read_zones(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Polygons with at least three corners; unknown types become ``monitor``, missing names the id."""
-    z = spark.read.schema(ZONE_SCHEMA).option("multiLine", True).json(path).where(F.size("polygon") >= 3)
+    z = spark.read.schema(ZONE_SCHEMA).option("multiLine", multi_line).json(path).where(F.size("polygon") >= 3)
     kind = F.lower("zone_type")
     return z.select("video_id", "zone_id", F.coalesce("name", "zone_id").alias("zone_name"), F.when(kind.isin(*ZONE_TYPES), kind).otherwise("monitor").alias("zone_type"),
                     F.transform("polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("polygon"))

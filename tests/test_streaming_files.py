@@ -97,3 +97,19 @@ def test_kept_and_discarded_partition_the_events(spark):
     d = entry.queries()["compression_policy"](spark, SF)
     assert d.groupBy("video_id", "track_id").count().where("count > 1").isEmpty()
     assert d.where("keep is null or reason is null").isEmpty()
+
+
+def test_idle_tracks_are_closed_by_event_time(spark):
+    """The machine's last event appears once the watermark passes the idle time."""
+    from framestory.operators import posture
+    from framestory.streaming.steps import machine_stream_step
+
+    a = [(1, 1, i, i * 5, i * 200.0, 0.5, 0.5, False, i * 0.2) for i in range(4)]
+    b = [(1, 2, i, i * 5, i * 200.0, 0.5, 0.5, False, 600 + i * 0.2) for i in range(2)]
+    c = [(1, 3, 0, 0, 0.0, 0.5, 0.5, False, 1200.0)]
+    d = spark.createDataFrame(a + b + c, "video_id long, track_id long, seq long, frame_number long, timestamp_ms double, cx double, cy double, near_seat boolean, s double")
+    d = d.withColumn("event_time", F.timestamp_millis((F.col("s") * 1000).cast("long")))
+    st = run.replay(d, "s", [500.0, 1000.0]).drop("s").withWatermark("event_time", "5 seconds")
+    got = run.run_to_table(stream_fold(st, ["video_id", "track_id"], "seq", machine_stream_step(), posture.MACHINE_OUT, event_time="event_time", idle_ms=60_000)).toPandas()
+    left = got[got["event_type"] == "person_left_scene"]
+    assert set(left["track_id"]) >= {1} and (left[left["track_id"] == 1]["frame_number"] == 15).all()
