@@ -51,7 +51,10 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructTy
 
 def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash partitions by key that AQE leaves alone: Python work is heavy for its bytes."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        n = min(n, 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
 
 
