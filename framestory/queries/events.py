@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from framestory import fixed
 from framestory.operators import compression, evaluation, events, fusion, graph, motion, ranking, story, tracks, validation
-from framestory.functions.numbers import rounded
 from framestory.queries.motion import camera_of, profiles_of, tracks_of
 from framestory.queries.registry import query
 from framestory.queries.shape import out, outs

@@ -3,7 +3,6 @@
 import pytest
 
 from framestory.operators import identity, posture, quality, sampling, scenes, tracking
-from framestory.plans.fold import ordered_fold
 from framestory.queries.frames import signals_of
 from framestory.queries.people import seats_of, squashed, tracker_detections
 from framestory.sources.fixtures import Inputs
