@@ -120,9 +120,8 @@ def event_counts(events: DataFrame) -> DataFrame:
     return (events.groupingSets([["video_id", "event_type"], ["video_id", "track_id"], ["video_id"]],
                                 "video_id", "event_type", "track_id")
             .agg(F.count(F.lit(1)).alias("events"), F.grouping_id().alias("_g"))
-            .withColumn("grain", F.when(F.col("event_type").isNotNull(), "type").when(F.col("track_id").isNotNull(), "track")
-                        .otherwise("video"))
-            .withColumn("key", F.coalesce(F.col("event_type"), F.col("track_id").cast("string"), F.lit("*")))
+            .withColumn("grain", F.when(F.col("_g") == 1, "type").when(F.col("_g") == 2, "track").otherwise("video"))
+            .withColumn("key", F.when(F.col("_g") == 1, F.col("event_type")).when(F.col("_g") == 2, F.col("track_id").cast("string")).otherwise("*"))
             .select("video_id", "grain", "key", "events"))
 
 

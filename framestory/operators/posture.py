@@ -50,7 +50,7 @@ def posture_step(drop: float, run: int = 2, recover: float = 0.80):
                 conf = min(0.90, 0.55 + (base - ar) / base * 0.35)
                 out.append({"event_type": "person_sitting", "start_frame": start[0], "end_frame": f, "start_ms": start[1], "end_ms": ms,
                             "confidence": conf, "sitting_ms": None})
-            sitting, start, n = not sitting, None, 0
+            sitting, since, start, n = not sitting, None if sitting else since, None, 0
         return [sitting, since, start, n], out
 
     return step
@@ -122,14 +122,14 @@ MIN_KEYPOINT = 0.30
 
 def _mean_point(kps: str, idx: tuple[int, ...]) -> tuple[Column, Column, Column]:
     """Mean x, y and score of the keypoints that are certain enough; zeros if none is."""
-    pts = [F.col(kps)[i] for i in idx]
-    seen = [p[2] >= MIN_KEYPOINT for p in pts]
+    pts = [F.get(F.col(kps), F.lit(i)) for i in idx]
+    seen = [F.coalesce(F.get(p, F.lit(2)) >= MIN_KEYPOINT, F.lit(False)) for p in pts]
     n = sum((s.cast("int") for s in seen[1:]), seen[0].cast("int"))
 
     def mean(k):
         total = None
         for p, s in zip(pts, seen):
-            v = F.when(s, p[k].cast("double")).otherwise(0.0)
+            v = F.when(s, F.get(p, F.lit(k)).cast("double")).otherwise(0.0)
             total = v if total is None else total + v
         return F.when(n > 0, total / n).otherwise(0.0)
 
@@ -261,7 +261,7 @@ MACHINE_OUT = T.StructType([
 
 
 def machine_step(state, rows, last):
-    """Activity state machine; state is [name, height reference, rows so far, last row]."""
+    """Activity state machine; state is [name, height reference, rows so far up to two, last row]."""
     name, ref, n, prev = state or ["start", None, 0, None]
     out = []
 
@@ -271,7 +271,7 @@ def machine_step(state, rows, last):
     for f, ms, cy, v, near, pose, edge in zip(*(rows[c] for c in ("frame_number", "timestamp_ms", "cy", "smoothed_velocity", "near_seat", "pose_label", "at_edge"))):
         here = (int(f), float(ms))
         seat = bool(near) or pose == "sitting"
-        n += 1
+        n = min(n + 1, 2)
         prev = [here[0], here[1], bool(edge)]
         if name == "start":
             emit("person_entered_scene", 0.90, here)
@@ -385,8 +385,8 @@ def temporal_pose_step(state, rows, last):
         if s["n"] >= POSE_HYSTERESIS and c != s["cur"]:
             if s["cur"] not in ("UNKNOWN", "STANDING", "WALKING") and s["start"][0] > 0 and s["sup"] > 0:
                 event = _pose_event(s["cur"], s["start"], here, s["sup"], s["pose"])
-            s.update(cur=c, start=here, sup=0, pose=0.0, n=0)
-        if c == s["cur"]:
+            s.update(cur=c, start=here if c in POSE_EVENT else [0, 0.0], sup=0, pose=0.0, n=0)
+        if c == s["cur"] and c in POSE_EVENT:
             s["sup"] += 1
             s["pose"] += conf
         if s["cur"] == "RUNNING" and c == "RUNNING":

@@ -12,11 +12,20 @@ from framestory.functions.numbers import rounded
 from framestory.plans.fold import FOLD_BLOCK_ROWS, ordered_fold
 from framestory.plans.sequence import BLOCK_ROWS, fill_along, index_rows, over_blocks
 
+LUMA_BINS = 256
 QUALITY = ["normal", "low_light", "very_low_light", "unusable"]
 
 
 def _luma(hist: pd.Series) -> pd.DataFrame:
-    h = np.stack(hist.to_numpy()).astype("int64")
+    names = ["mean_luminance", "luminance_std", "dark_pixel_ratio", "histogram_spread"]
+    out = pd.DataFrame(np.nan, index=range(len(hist)), columns=names)
+    good = [i for i, x in enumerate(hist) if x is not None and len(x) == LUMA_BINS and not pd.isna(x).any() and np.sum(x) > 0]
+    if good:
+        out.iloc[good] = _luma_of(np.stack(hist.to_numpy()[good]).astype("int64"))[names].to_numpy()
+    return out
+
+
+def _luma_of(h: np.ndarray) -> pd.DataFrame:
     bins = np.arange(h.shape[1])
     n = h.sum(axis=1)
     mean = h @ bins / n
@@ -34,11 +43,13 @@ def _luma(hist: pd.Series) -> pd.DataFrame:
 def luma_stats(frames: DataFrame, hist: str = "luma_hist") -> DataFrame:
     """Mean, deviation, dark share and p95 - p5 of a 256-bin luma histogram.
 
+    A histogram that is null, incomplete, holds nulls or is empty gives nulls.
     256 steps of an interpreted array function per frame cost far more than one
     Arrow batch through numpy, so this one is a pandas UDF.
     """
     udf = F.pandas_udf(_luma, "mean_luminance double, luminance_std double, dark_pixel_ratio double, histogram_spread double")
-    return frames.withColumn("_l", udf(hist)).select("*", "_l.*").drop("_l")
+    d = frames.withColumn("_l", udf(hist)).select("*", "_l.*").drop("_l")
+    return d.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("mean_luminance", "luminance_std", "dark_pixel_ratio", "histogram_spread")})
 
 
 def quality_class(frames: DataFrame, unusable_blur: float = 15.0, unusable_lum: float = 5.0, very_low_lum: float = 30.0,

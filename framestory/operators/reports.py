@@ -27,7 +27,7 @@ def stage_funnel(stages: dict[str, DataFrame]) -> DataFrame:
 def trace_tracks(tracks: DataFrame, events: DataFrame, fused: DataFrame, segments: DataFrame, ranked: DataFrame, decisions: DataFrame) -> DataFrame:
     """Lineage of every track through the pipeline with the first break named.
 
-    Filter the result on one track to trace it; the filter reaches the inputs.
+    Filter the result on one track to trace it.
     """
     def count(d, name):
         return d.groupBy(*TRACK).agg(F.count(F.lit(1)).alias(name))
@@ -65,7 +65,7 @@ def job_diagnostics(stage_runs: DataFrame, stages: Sequence[str]) -> DataFrame:
 
 def latest_job(jobs: DataFrame) -> DataFrame:
     """Per video the job shown to readers: completed before others, then by creation time and id."""
-    order = F.struct((F.col("status") != "completed").alias("_p"), "created_at", "job_id")
+    order = F.struct((F.col("status") != "completed").alias("_p"), "created_at", "job_id", "status")
     return jobs.groupBy("video_id").agg(F.min_by(F.struct("job_id", "status", "created_at"), order).alias("_j")).select("video_id", "_j.*")
 
 
@@ -147,13 +147,11 @@ def executive_brief(events: DataFrame, persons: DataFrame, inventory: DataFrame,
     i = inventory.groupBy("video_id").agg(F.count(F.lit(1)).alias("_o"))
     d = videos.select("video_id", "duration_seconds").join(e, "video_id", "left").join(p, "video_id", "left").join(i, "video_id", "left").fillna(0, ["_n", "_p", "_o"])
     sec = lambda c: F.format_string("%.1f", F.col(c) / 1000.0)
-    first = F.concat(F.lit("Surveillance timeline condensed into "), F.col("_n").cast("string"), F.lit(" critical events across "), F.col("_p").cast("string"),
-                     F.lit(" tracked actors and "), F.col("_o").cast("string"), F.lit(" detected object categories. The activity begins at "), sec("_a.start_ms"),
-                     F.lit("s with "), F.col("_a.actor"), F.lit(" initiating "), F.col("_a.name"), F.lit(". "))
-    last = F.when(F.col("_n") > 1, F.concat(F.lit("Milestones proceed chronologically through the sequence until "), F.col("_z.actor"), F.lit(" concludes with "),
-                                            F.col("_z.name"), F.lit(" at "), sec("_z.start_ms"), F.lit("s. "))).otherwise("")
-    end = F.concat(F.lit("Full surveillance duration spanning "), F.format_string("%.1f", "duration_seconds"), F.lit("s condensed into high-coherence security intelligence."))
-    none = F.lit("Video stream analysis completed. No anomalous disruptions or high-confidence person interactions were recorded.")
+    first = F.concat(F.col("_n").cast("string"), F.lit(" events, "), F.col("_p").cast("string"), F.lit(" persons, "), F.col("_o").cast("string"),
+                     F.lit(" kinds of objects. First: "), F.col("_a.actor"), F.lit(", "), F.col("_a.name"), F.lit(", at "), sec("_a.start_ms"), F.lit(" s. "))
+    last = F.when(F.col("_n") > 1, F.concat(F.lit("Last: "), F.col("_z.actor"), F.lit(", "), F.col("_z.name"), F.lit(", at "), sec("_z.start_ms"), F.lit(" s. "))).otherwise("")
+    end = F.concat(F.lit("Length of the footage: "), F.format_string("%.1f", "duration_seconds"), F.lit(" s."))
+    none = F.lit("No event was kept for this footage.")
     return d.select("video_id", F.col("_n").alias("events"), F.when(F.col("_n") > 0, F.concat(first, last, end)).otherwise(none).alias("narrative"))
 
 

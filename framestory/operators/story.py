@@ -128,9 +128,11 @@ def story_metrics(segments: DataFrame) -> DataFrame:
         F.avg("narrative_score").alias("avg_score"), F.max("narrative_score").alias("max_score"))
 
 
-def story_arcs(events: DataFrame) -> DataFrame:
+def story_arcs(events: DataFrame, slot_ms: float = 600_000.0) -> DataFrame:
     """One arc per actor (person label, else track, else scene) with a readable summary.
 
+    Arcs are numbered by their first event.
+
     Only the distinct event types of an arc are collected, a bounded vocabulary.
     """
     key = (F.when(F.col("person_label").isNotNull(), F.concat(F.lit("person:"), F.col("person_label")))
@@ -139,7 +141,7 @@ def story_arcs(events: DataFrame) -> DataFrame:
     e = events.withColumn("arc_key", key).withColumn("_o", F.struct("start_ms", "end_ms", "event_type", "event_id"))
     conf = F.when(F.col("confidence") > 0, F.col("confidence"))
     arcs = e.groupBy("video_id", "arc_key").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("start_ms").alias("start_ms"),
+        F.count(F.lit(1)).alias("event_count"), F.min("start_ms").alias("start_ms"), F.min("_o").alias("_begin"),
         F.max_by("end_ms", "_o").alias("end_ms"), F.avg(conf).alias("avg_confidence"),
         F.min_by("direction", "_o").alias("entry_direction"), F.max_by("direction", "_o").alias("exit_direction"))
     types = (e.groupBy("video_id", "arc_key", "event_type").agg(F.min("_o").alias("_first"))
@@ -153,5 +155,5 @@ def story_arcs(events: DataFrame) -> DataFrame:
             .withColumn("duration_ms", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0.0)))
             .withColumn("start_text", mm_ss(F.col("start_ms"))).withColumn("end_text", mm_ss(F.col("end_ms")))
             .withColumn("avg_confidence", F.coalesce("avg_confidence", F.lit(0.0))).drop("_t"))
-    numbered = index_rows(arcs, ["video_id"], ["arc_key"], F.substring("arc_key", 1, 9))
-    return numbered.withColumn("story_id", F.format_string("STORY-%03d", F.col("seq") + 1)).drop("seq")
+    numbered = index_rows(arcs, ["video_id"], ["_begin", "arc_key"], F.floor(F.col("start_ms") / slot_ms).cast("long"))
+    return numbered.withColumn("story_id", F.format_string("STORY-%03d", F.col("seq") + 1)).drop("seq", "_begin")

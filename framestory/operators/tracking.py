@@ -215,7 +215,42 @@ def track_lifecycle(det: DataFrame, frames: DataFrame | None = None, cfg: Tracke
     ranks = frame_ranks(frames if frames is not None else det)
     d = ranks.join(det.select("video_id", "frame_number", "det_id", "class_name", "confidence", "x1", "y1", "x2", "y2"),
                    ["video_id", "frame_number"], "left")
-    return ordered_fold(d, ["video_id"], lifecycle_step(cfg), LIFECYCLE_OUT, seq="frame_rank", block=block)
+    return _named_across_blocks(ordered_fold(d, ["video_id"], _block_step(cfg, block), BLOCK_OUT, seq="frame_rank", block=block))
+
+
+BLOCK_OUT = T.StructType([*LIFECYCLE_OUT.fields, T.StructField("blk", T.LongType()), T.StructField("place", T.LongType())])
+HANDED = 1 << 40
+
+
+def _block_step(cfg: TrackerConfig, block: int):
+    """``lifecycle_step`` with names of the block's own for tracks it takes over, so that its state forgets who opened them.
+
+    A track taken over is named by its place in the state, and the block notes
+    which track stands at which place of the state it hands on.
+    """
+    inner = lifecycle_step(cfg)
+
+    def step(state, rows, last):
+        live, out = inner([{**t, "key": i - HANDED} for i, t in enumerate(state or [])], rows, last)
+        blk = int(rows["frame_rank"].iloc[0]) // block
+        handed = [] if last else [{"action": "handed_on", "track_key": t["key"], "place": i} for i, t in enumerate(live)]
+        kept = [{k: min(v, cfg.confirm) if k == "matched" else v for k, v in t.items() if k != "key"} for t in live]
+        return kept, [{**r, "blk": blk} for r in [*out, *handed]]
+
+    return step
+
+
+def _named_across_blocks(rows: DataFrame) -> DataFrame:
+    """The log with every track named by the detection that opened it, whichever block that was in."""
+    rows = cut_lineage(rows)
+    key = F.col("track_key")
+    before = F.when(key < 0, F.concat_ws(":", F.col("blk") - 1, key + HANDED))
+    nodes = rows.where("action = 'handed_on'").select("video_id", F.concat_ws(":", "blk", "place").alias("id"), "track_key", before.alias("_up"))
+    roots = chain_roots(nodes.select("video_id", "id"), nodes.where("_up IS NOT NULL").select("video_id", F.col("_up").alias("a"), F.col("id").alias("b")))
+    opened = nodes.where("_up IS NULL").select("video_id", F.col("id").alias("root"), F.col("track_key").alias("_opened"))
+    named = roots.join(opened, ["video_id", "root"]).select("video_id", F.col("id").alias("_up"), "_opened")
+    log = rows.where("action <> 'handed_on'").withColumn("_up", before).join(named, ["video_id", "_up"], "left")
+    return log.withColumn("track_key", F.coalesce("_opened", "track_key")).select("video_id", *LIFECYCLE_OUT.names)
 
 
 def lifecycle_tracks(life: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ assumed entry state, and blocks whose real entry state (the exit state of the
 block before) turns out different are run again until nothing changes.  The
 result is exactly the sequential one: the first block is right after round one,
 so round n fixes at least block n, and machines that forget their past settle
-after two or three rounds.  No task holds more than one block.
+after two or three rounds.  No task holds more than one block.  What a round
+gives is written once; a block's rows are those of its last run.
 """
 
 from __future__ import annotations
@@ -34,72 +35,61 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructTy
     ``state`` is None at the start of a key and JSON-serialisable afterwards;
     ``last`` is true for the final block of a key.
     """
-    keys = list(keys)
-    key_fields = [df.schema[k] for k in keys]
+    keys, bkeys = list(keys), [*keys, "_blk"]
     names = [f.name for f in out.fields]
-    full = T.StructType(key_fields + list(out.fields))
-    df = cut_lineage(df)  # read at least twice: once for the longest key, once or more by the fold
-    longest = df.agg(F.max(seq)).first()[0]
-    if longest is None or longest < block:
-        def whole(key, pdf):
-            _, rows = step(None, pdf.sort_values(seq, kind="stable"), True)
-            return _frame(rows, keys, key, names)
-
-        return _spread(df, keys).groupBy(*keys).applyInPandas(whole, full)
-    return _blockwise(df, keys, step, full, names, seq, block)
-
-
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash partitions by key that AQE leaves alone: Python work is heavy for its bytes."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        n = min(n, 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
-
-
-def _frame(rows: list[dict], keys: list[str], key: tuple, names: list[str]) -> pd.DataFrame:
-    data = {k: [v] * len(rows) for k, v in zip(keys, key)}
-    for n in names:
-        data[n] = pd.Series([r.get(n) for r in rows], dtype=object)
-    return pd.DataFrame(data, columns=[*keys, *names])
-
-
-def _blockwise(df, keys, step, full, names, seq, block):
+    key_fields = [df.schema[k] for k in keys]
+    raw = T.StructType([*key_fields, T.StructField("_blk", T.LongType()), *out.fields, T.StructField("_exit", T.StringType())])
     d = df.withColumn("_blk", F.floor(F.col(seq) / block).cast("long"))
-    bkeys = [*keys, "_blk"]
-    along = Window.partitionBy(*keys).orderBy("_blk")
-    blocks = d.select(*bkeys).distinct().withColumn("_last", F.lead("_blk").over(along).isNull())
-    blocks = cut_lineage(blocks)
-    raw = T.StructType([*[df.schema[k] for k in keys], T.StructField("_blk", T.LongType()),
-                        *full.fields[len(keys):], T.StructField("_exit", T.StringType())])
+    ends = d.groupBy(*keys).agg(F.max("_blk").alias("_end"))
+    d = cut_lineage(d.join(ends, keys).withColumn("_last", F.col("_blk") == F.col("_end")).drop("_end"))
 
-    def one(key, rows, entry):
-        if len(rows) == 0 or len(entry) == 0:
+    def ran(key, rows, text):
+        if len(rows) == 0:
             return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in raw.fields})
-        text = entry["_entry"].iloc[0]
         state = json.loads(text) if isinstance(text, str) else None
-        state, emitted = step(state, rows.sort_values(seq, kind="stable"), bool(entry["_last"].iloc[0]))
+        state, emitted = step(state, rows.sort_values(seq, kind="stable"), bool(rows["_last"].iloc[0]))
         res = _frame([*emitted, {}], bkeys, key, names)
         res["_exit"] = [None] * len(emitted) + [json.dumps(state)]
         return res
 
-    def run(entries):
-        todo = d.join(entries.select(*bkeys), bkeys, "left_semi")
-        entries = entries.select(*[F.col(c).alias(c) for c in entries.columns])  # column ids of its own for the cogroup
-        return cut_lineage(_spread(todo, bkeys).groupBy(*bkeys).cogroup(_spread(entries, bkeys).groupBy(*bkeys)).applyInPandas(one, raw))
+    def opening(key, rows):
+        return ran(key, rows, None)
 
-    entries = cut_lineage(blocks.withColumn("_entry", F.lit(None).cast("string")))
-    done = run(entries)
+    def again(key, rows, entry):
+        return ran(key, rows, entry["_entry"].iloc[0] if len(entry) else None) if len(entry) else ran(key, rows[:0], None)
+
+    along = Window.partitionBy(*keys).orderBy("_blk")
+    runs = [cut_lineage(_spread(d, bkeys).groupBy(*bkeys).applyInPandas(opening, raw))]
+    exits = runs[0].where(F.col("_exit").isNotNull()).select(*bkeys, "_exit", F.lit(None).cast("string").alias("_entry"), F.lit(0).alias("_run"))
     while True:
-        exits = done.where(F.col("_exit").isNotNull()).select(*bkeys, "_exit")
-        real = entries.join(exits, bkeys).withColumn("_real", F.lag("_exit").over(along))
-        changed = cut_lineage(real.where(~F.col("_real").eqNullSafe(F.col("_entry")))
-                              .select(*bkeys, "_last", F.col("_real").alias("_entry")))
+        real = exits.withColumn("_real", F.lag("_exit").over(along))
+        changed = real.where(~F.col("_real").eqNullSafe(F.col("_entry"))).select(*bkeys, F.col("_real").alias("_entry"))
+        changed = cut_lineage(changed)
         if changed.isEmpty():
             break
-        kept = entries.join(changed.select(*bkeys), bkeys, "left_anti")
-        entries = cut_lineage(kept.select(*bkeys, "_last", "_entry").unionByName(changed))
-        done = cut_lineage(done.join(changed.select(*bkeys), bkeys, "left_anti").select(raw.names)
-                           .unionByName(run(changed).select(raw.names)))
-    return done.where(F.col("_exit").isNull()).select(*full.names)
+        mine = changed.select(*[F.col(c).alias(c) for c in changed.columns])  # column ids of its own for the cogroup
+        todo = d.join(changed.select(*bkeys), bkeys, "left_semi")
+        runs.append(cut_lineage(_spread(todo, bkeys).groupBy(*bkeys).cogroup(_spread(mine, bkeys).groupBy(*bkeys)).applyInPandas(again, raw)))
+        new = runs[-1].where(F.col("_exit").isNotNull()).select(*bkeys, "_exit").join(changed, bkeys).withColumn("_run", F.lit(len(runs) - 1))
+        exits = cut_lineage(exits.join(changed.select(*bkeys), bkeys, "left_anti").select(exits.columns).unionByName(new.select(exits.columns)))
+    if len(runs) == 1:
+        return runs[0].where(F.col("_exit").isNull()).select(*keys, *names)
+    final = exits.select(*bkeys, "_run")
+    kept = [r.where(F.col("_exit").isNull()).join(final.where(F.col("_run") == n).select(*bkeys), bkeys, "left_semi").select(*keys, *names)
+            for n, r in enumerate(runs)]
+    out_rows = kept[0]
+    for k in kept[1:]:
+        out_rows = out_rows.unionByName(k)
+    return out_rows
+
+
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitions by key that AQE leaves alone: Python work is heavy for its bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _frame(rows: list[dict], keys: list[str], key: tuple, names: list[str]) -> pd.DataFrame:
+    data = {k: [v] * len(rows) for k, v in zip(keys, key)}
+    for n in names:
+        data[n] = pd.Series([r.get(n) for r in rows], dtype=object)
+    return pd.DataFrame(data, columns=[*keys, *names])

@@ -12,6 +12,9 @@ def nearest(queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str,
             ident: str) -> DataFrame:
     """Queries with the payload of the fact whose ``at`` is nearest; the earlier fact wins ties.
 
+    Of facts at the same place the largest payload is taken before a query, the
+    smallest after it.
+
     Both sides are put on one line per key, cut into slots.  Inside a slot two
     windows carry the last fact before and the first fact after each query;
     across slots the first and last fact of every slot are carried, one row per
@@ -32,8 +35,8 @@ def nearest(queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str,
         F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_after"))
     slot = Window.partitionBy(*keys, "_slot")
     seen = Window.unboundedPreceding, 0
-    line = (line.withColumn("_b", F.last("_fact", ignorenulls=True).over(slot.orderBy("_pos", "_kind").rowsBetween(*seen)))
-            .withColumn("_a", F.last("_fact", ignorenulls=True).over(slot.orderBy(F.desc("_pos"), "_kind").rowsBetween(*seen)))
+    line = (line.withColumn("_b", F.last("_fact", ignorenulls=True).over(slot.orderBy("_pos", "_kind", "_fact").rowsBetween(*seen)))
+            .withColumn("_a", F.last("_fact", ignorenulls=True).over(slot.orderBy(F.desc("_pos"), "_kind", F.desc("_fact")).rowsBetween(*seen)))
             .where(F.col("_kind") == 1).join(carry, [*keys, "_slot"])
             .withColumn("_before", F.coalesce("_b", "_carry_before")).withColumn("_after", F.coalesce("_a", "_carry_after")))
     gap_b, gap_a = F.col("_pos") - F.col("_before._at"), F.col("_after._at") - F.col("_pos")

@@ -231,8 +231,8 @@ def _(s):
   format('{{:02d}}:{{:02d}}', CAST(start_ms AS BIGINT) // 60000, CAST(start_ms AS BIGINT) // 1000 % 60) AS start_text,
   CASE WHEN distinct_types <= 3 THEN array_to_string(types, ' → ') ELSE types[1] || ' → … → ' || types[-1] END AS summary,
   'STORY-' || CASE WHEN rn < 1000 THEN lpad(CAST(rn AS VARCHAR), 3, '0') ELSE CAST(rn AS VARCHAR) END AS story_id
- FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY arc_key) AS rn FROM (
-  SELECT video_id, arc_key, count(*) AS event_count, count(DISTINCT event_type) AS distinct_types, min(start_ms) AS start_ms, max_by(end_ms, n) AS end_ms,
+ FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY bo, arc_key) AS rn FROM (
+  SELECT video_id, arc_key, count(*) AS event_count, count(DISTINCT event_type) AS distinct_types, min(start_ms) AS start_ms, min({{'a': start_ms, 'b': end_ms, 'c': event_type, 'd': event_id}}) AS bo, max_by(end_ms, n) AS end_ms,
    avg(confidence) FILTER (WHERE confidence > 0) AS avg_confidence, list(direction ORDER BY n)[1] AS entry_direction, list(direction ORDER BY n)[-1] AS exit_direction
   FROM keyed GROUP BY ALL) a JOIN (SELECT video_id, arc_key, list(label ORDER BY f) AS types FROM (
    SELECT video_id, arc_key, min(n) AS f, list_reduce(list_transform(string_split(event_type, '_'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS label

@@ -345,8 +345,8 @@ _NO_BIKE = "activity = 'cycling' AND video_id NOT IN (SELECT video_id FROM btrac
 @query("cycling_sanity", sql(f"""SELECT video_id, track_id, CASE WHEN {_NO_BIKE} THEN CASE WHEN mean_speed < 0.04E0 THEN 'walking' ELSE 'running' END ELSE activity END AS activity,
  {R(f'CASE WHEN {_NO_BIKE} THEN 0.8E0 ELSE activity_conf END', 6)} AS activity_conf FROM act""", "act", "btracks"))
 def _(s):
-    half = bike_tracks(s).where("class_name <> 'bicycle' OR track_id % 24 = 0")
-    return out(activity.cycling_sanity(labelled_of(s), half), "video_id track_id activity", "activity_conf")
+    named = bike_tracks(s).withColumn("class_name", F.expr("CASE WHEN class_name = 'bicycle' AND track_id % 24 <> 0 THEN 'unicycle' ELSE class_name END"))
+    return out(activity.cycling_sanity(labelled_of(s), named), "video_id track_id activity", "activity_conf")
 
 
 _TAIL = CASE("activity", {"cycling": " is cycling across the scene", "running": " is running", "walking_upstairs": " is walking up stairs", "walking_downstairs": " is walking down stairs",
@@ -614,8 +614,8 @@ def _(s):
 @query("unattended_bag", sql(f"""SELECT video_id, track_id AS object_id, class_name AS object_class, first_frame AS start_frame, last_frame AS end_frame, {R('(last_frame - first_frame) * 5 / 25.0E0', 6)} AS duration_s, {R('least(0.88E0, 0.65E0 + (last_frame - first_frame) * 5 / 25.0E0 * 0.01E0)', 6)} AS confidence
  FROM itracks t WHERE class_name IN {IN(fixed.BAG_CLASSES)} AND n_obs >= 3 AND (last_frame - first_frame) * 5 / 25.0E0 >= 10 AND NOT EXISTS (SELECT 1 FROM bclose c WHERE c.video_id = t.video_id AND c.object_id = t.track_id AND c.person_id % 15 = 3 GROUP BY person_id HAVING count(*) >= 2)""", "itracks", "bclose"))
 def _(s):
-    few = item_obs(s).where("class_name <> 'person' OR track_id % 15 = 3")
-    return out(interactions.unattended_bag(few, item_tracks(s)), "video_id object_id object_class start_frame end_frame", "duration_s confidence")
+    named = item_obs(s).withColumn("class_name", F.expr("CASE WHEN class_name = 'person' AND track_id % 15 <> 3 THEN 'figure' ELSE class_name END"))
+    return out(interactions.unattended_bag(named, item_tracks(s)), "video_id object_id object_class start_frame end_frame", "duration_s confidence")
 
 
 view("gsamp", """SELECT video_id, frame_number AS fr FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) - 1 AS i FROM (SELECT DISTINCT video_id, frame_number FROM obs WHERE class_name = 'person')) WHERE i % 10 = 0""", "obs")

@@ -175,13 +175,13 @@ def _(s):
 
 _FAIL = """CASE {p}l_partkey % 6 WHEN 0 THEN 'missed_event' WHEN 1 THEN 'false_event' WHEN 2 THEN 'tracking_failure' WHEN 3 THEN 'story_break' WHEN 4 THEN 'compression_error' ELSE 'validator_warning' END"""
 _FAIL_COLS = [(_FAIL.format(p=""), "category"), ("CASE WHEN l_discount > 0.08 THEN 'critical' WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END", "severity"), ("'s' || l_linenumber", "stage"), ("l_suppkey", "video_id")]
-view("fails", "SELECT " + ", ".join(f"{e} AS {n}" for e, n in _FAIL_COLS) + " FROM lineitem WHERE l_returnflag = 'R'")
+view("fails", "SELECT " + ", ".join(f"{e} AS {n}" for e, n in _FAIL_COLS) + " FROM lineitem")
 
 
 @query("failure_summary", sql("SELECT grain, value, failures, videos, " + R("failures / sum(failures) OVER (PARTITION BY grain)", 6) + " AS share, row_number() OVER (PARTITION BY grain ORDER BY failures DESC, value) = 1 AS most_common FROM ("
                               + " UNION ALL ".join(f"SELECT '{c}' AS grain, {c} AS value, count(*) AS failures, count(DISTINCT video_id) AS videos FROM fails GROUP BY ALL" for c in ("category", "severity", "stage")) + ")", "fails"))
 def _(s):
-    f = s.table("lineitem").where("l_returnflag = 'R'").selectExpr(*[f"{e} AS {n}" for e, n in _FAIL_COLS])
+    f = s.table("lineitem").selectExpr(*[f"{e} AS {n}" for e, n in _FAIL_COLS])
     return out(evaluation.failure_summary(f), "grain value failures videos most_common", "share")
 
 
@@ -246,11 +246,11 @@ def _(s):
 
 
 _JOBS = "job_id, video_id, status, duration_ms, stage_no % 5 AS events, frames * 1000 AS size_bytes, created_at"
-view("jobs", f"SELECT {_JOBS} FROM stage_runs WHERE stage_no <= 3", "stage_runs")
+view("jobs", f"SELECT {_JOBS} FROM stage_runs", "stage_runs")
 
 
 def jobs_of(s: Inputs):
-    return s.stage_runs.where("stage_no <= 3").selectExpr(*[c.strip() for c in _JOBS.split(",")])
+    return s.stage_runs.selectExpr(*[c.strip() for c in _JOBS.split(",")])
 
 
 @query("job_stats", sql(f"""SELECT count(*) AS jobs, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status NOT IN ('completed', 'failed')) AS active, count(DISTINCT video_id) AS videos,
@@ -264,7 +264,7 @@ def _(s):
     return reports.job_diagnostics(s.stage_runs, STAGES)
 
 
-@query("latest_job", sql("SELECT video_id, job_id, status FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY status <> 'completed', created_at, job_id) AS r FROM jobs) WHERE r = 1", "jobs"))
+@query("latest_job", sql("SELECT video_id, job_id, status FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY status <> 'completed', created_at, job_id, status) AS r FROM jobs) WHERE r = 1", "jobs"))
 def _(s):
     return reports.latest_job(jobs_of(s)).select("video_id", "job_id", "status")
 
@@ -328,9 +328,9 @@ def _(s):
     return reports.milestones(named_events(s))
 
 
-@query("executive_brief", sql(f"""SELECT v.video_id, coalesce(n, 0) AS events, CASE WHEN n > 0 THEN 'Surveillance timeline condensed into ' || n || ' critical events across ' || coalesce(p, 0) || ' tracked actors and ' || coalesce(o, 0) || ' detected object categories. The activity begins at ' || format('{{:.1f}}', fs / 1000.0E0) || 's with ' || fa || ' initiating ' || fn || '. '
-  || CASE WHEN n > 1 THEN 'Milestones proceed chronologically through the sequence until ' || la || ' concludes with ' || ln || ' at ' || format('{{:.1f}}', ls / 1000.0E0) || 's. ' ELSE '' END || 'Full surveillance duration spanning ' || format('{{:.1f}}', (v.video_id * 7919 % 9000000) / 10.0E0) || 's condensed into high-coherence security intelligence.'
-  ELSE 'Video stream analysis completed. No anomalous disruptions or high-confidence person interactions were recorded.' END AS narrative FROM videos v LEFT JOIN (
+@query("executive_brief", sql(f"""SELECT v.video_id, coalesce(n, 0) AS events, CASE WHEN n > 0 THEN n || ' events, ' || coalesce(p, 0) || ' persons, ' || coalesce(o, 0) || ' kinds of objects. First: ' || fa || ', ' || fn || ', at ' || format('{{:.1f}}', fs / 1000.0E0) || ' s. '
+  || CASE WHEN n > 1 THEN 'Last: ' || la || ', ' || ln || ', at ' || format('{{:.1f}}', ls / 1000.0E0) || ' s. ' ELSE '' END || 'Length of the footage: ' || format('{{:.1f}}', (v.video_id * 7919 % 9000000) / 10.0E0) || ' s.'
+  ELSE 'No event was kept for this footage.' END AS narrative FROM videos v LEFT JOIN (
  SELECT video_id, count(*) AS n, min_by(start_ms, i) AS fs, max_by(start_ms, i) AS ls, min_by(replace(event_type, '_', ' '), i) AS fn, max_by(replace(event_type, '_', ' '), i) AS ln, min_by(coalesce(person_label, 'Entity'), i) AS fa, max_by(coalesce(person_label, 'Entity'), i) AS la
  FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {_ORD}) AS i FROM actors) GROUP BY ALL) e USING (video_id) LEFT JOIN (SELECT video_id, count(DISTINCT person_label) AS p FROM actors GROUP BY ALL) q USING (video_id) LEFT JOIN (
  SELECT video_id, count(DISTINCT class_name) AS o FROM tracks WHERE is_confirmed AND n_obs >= 3 AND (class_name = 'person' OR (avg_confidence >= 0.35 AND max_confidence >= 0.45)) GROUP BY ALL) w USING (video_id)""", "videos", "actors", "tracks"))
@@ -384,11 +384,12 @@ def _(s):
     return files.read_stage_metrics(s.spark, path).select("job_id", "stage", "status", "duration_ms", F.col("metrics")["frames"].alias("frames"))
 
 
-@query("write_events", sql("SELECT video_id, event_id, event_type FROM sem WHERE video_id <> 3 OR event_id % 2 = 0", "sem"))
+@query("write_events", sql("SELECT video_id, event_id, event_type FROM sem WHERE video_id <> 4 AND (video_id <> 3 OR event_id % 2 = 0)", "sem"))
 def _(s):
     path = work_folder(s.spark, "events")
     files.write_events(s.semantic_events, path)
     files.reprocess_video(s.semantic_events.where("event_id % 2 = 0"), path, 3)
+    files.reprocess_video(s.semantic_events.where("false"), path, 4)
     return files.read_events(s.spark, path).select("video_id", "event_id", "event_type")
 
 

@@ -35,10 +35,14 @@ def frame_number_from_path(df: DataFrame, col: str = "frame_path", frame_skip: i
     """Source frame number and time from names like ``frame_00000042.jpg``.
 
     When the last number of a video exceeds its number of files the names are
-    source indices; otherwise they count extracted frames from 1.
+    source indices; otherwise they count extracted frames from 1.  A name without
+    such a number counts by its place.  Files are ordered by folder, number and path.
     """
-    n = F.regexp_extract(col, r"(\d+)(?:\.[A-Za-z0-9]+)?$", 1).cast("long")
-    d = index_rows(df.withColumn("_n", n), ["video_id"], [col], F.substring(F.regexp_extract(col, r"([^/]*)$", 1), 1, 12), "_i")
+    n = F.expr(f"try_cast(regexp_extract({col}, '(?:^|/)frame_([0-9]+)[^/]*$', 1) AS BIGINT)")
+    d = df.withColumns({"_n": n, "_folder": F.regexp_extract(col, r"^(.*/)?[^/]*$", 1)})
+    place = F.coalesce("_n", F.lit(-1))
+    d = index_rows(d, ["video_id"], ["_folder", place, col], F.struct("_folder", F.floor(place / 4096).alias("_part")), "_i")
+    d = d.withColumn("_n", F.coalesce("_n", "_i")).drop("_folder")
     last = d.groupBy("video_id").agg(F.max_by("_n", "_i").alias("_last"), F.count(F.lit(1)).alias("_files"))
     source = F.col("_last") > F.col("_files")
     number = F.when(source, F.col("_n")).otherwise(F.when(F.col("_n") >= 1, (F.col("_n") - 1) * frame_skip).otherwise(F.col("_i") * frame_skip))
@@ -78,12 +82,18 @@ def read_stage_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_events(df: DataFrame, path: str) -> None:
-    """Replace the events of the videos present in ``df``, leaving other videos alone."""
-    df.repartition("video_id", F.pmod(F.xxhash64("event_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
+    """Replace the events of the videos present in ``df``, leaving other videos alone.
+
+    Each video's rows go to as many files as its size asks for.
+    """
+    df.hint("rebalance", F.col("video_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
 
 
 def reprocess_video(df: DataFrame, path: str, video_id) -> None:
-    """Delete and rewrite one video's events."""
+    """Delete one video's events and write those of ``df``, if any."""
+    jvm = df.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"video_id={video_id}")
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
     write_events(df.where(F.col("video_id") == video_id), path)
 
 
@@ -95,10 +105,11 @@ def export_manifest(path: str, summary: DataFrame, validation: DataFrame, decisi
     """Manifest as JSON lines, one folder per video and section.
 
     The lists of a manifest grow with the video, so each entry is a line of its
-    own instead of an element of one document.
+    own instead of an element of one document.  A second export replaces the
+    sections of the videos it holds.
     """
     for name, d in (("summary", summary), ("validation", validation), ("decisions", decisions), ("clips", clips)):
-        d.withColumn("section", F.lit(name)).write.mode("append").partitionBy("section", "video_id").json(path)
+        d.withColumn("section", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("section", "video_id").json(path)
 
 
 CLIP_SCHEMA = ("video_id long, clip_index long, event_id string, event_type string, track_id long, start_ms double, end_ms double, confidence double")
