@@ -17,11 +17,13 @@ def inside_zones(obs: DataFrame, zones: DataFrame) -> DataFrame:
     """Every observation against the zones of its video.  ``zones`` carries ``video_id``.
 
     A first test against the zone's bounding box spares most of the ray casting.
+    ``obs`` may be a stream; it keeps its event time, if it has one.
     """
     xs, ys = F.col("polygon.x"), F.col("polygon.y")
     z = zones.select("video_id", "zone_id", "zone_name", "zone_type", g.polygon_edges(F.col("polygon")).alias("_edges"),
                      F.array_min(xs).alias("_x1"), F.array_max(xs).alias("_x2"), F.array_min(ys).alias("_y1"), F.array_max(ys).alias("_y2"))
-    d = obs.select(*TRACK, "seq", "frame_number", "timestamp_ms", "confidence", g.cx().alias("cx"), g.cy().alias("cy"))
+    more = [c for c in ("event_time",) if c in obs.columns]
+    d = obs.select(*TRACK, "seq", "frame_number", "timestamp_ms", "confidence", *more, g.cx().alias("cx"), g.cy().alias("cy"))
     box = F.col("cx").between(F.col("_x1"), F.col("_x2")) & F.col("cy").between(F.col("_y1"), F.col("_y2"))
     inside = F.when(box, g.inside_edges(F.col("cx"), F.col("cy"), F.col("_edges"))).otherwise(False)
     return d.join(z, "video_id").withColumn("inside", inside).drop("_edges", "_x1", "_x2", "_y1", "_y2")

@@ -667,11 +667,9 @@ view("zx", """SELECT *, CASE zone_type WHEN 'restricted' THEN CASE WHEN inside T
 
 def zones_of(s: Inputs):
     """The fixed polygons for every video of the data."""
-    from pyspark.sql import functions as F
-    z = s.zones.agg(F.collect_list(F.struct("zone_id", "zone_name", "zone_type", "polygon")).alias("z")).first()["z"]
-    arr = F.array(*[F.struct(F.lit(r.zone_id).alias("zone_id"), F.lit(r.zone_name).alias("zone_name"), F.lit(r.zone_type).alias("zone_type"),
-                             F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in r.polygon]).alias("polygon")) for r in z])
-    return s.observations.select("video_id").distinct().withColumn("_z", F.explode(arr)).select("video_id", "_z.*")
+    all_zones = s.zones.agg(F.collect_list(F.struct("zone_id", "zone_name", "zone_type", "polygon")).alias("_all"))
+    d = s.observations.select("video_id").distinct().select("video_id", all_zones.scalar().alias("_all"))
+    return d.select("video_id", F.explode("_all").alias("_z")).select("video_id", "_z.*")
 
 
 @query("point_in_polygon", sql("SELECT zone_id, count(*) FILTER (WHERE inside) AS inside_rows, count(*) AS rows FROM zin GROUP BY ALL", "zin"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framestory import fixed
-from framestory.functions import geometry as g
 from framestory.functions.numbers import rounded
-from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking
+from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking, zones
 from framestory.queries.events import _CATEGORY, _VARIED, decision_chain, named_events, ranked_semantic, rule_events_of, varied_events
 from framestory.queries.frames import LIGHT, bright_of
 from framestory.queries.motion import tracks_of
@@ -426,35 +425,34 @@ def _(s):
 @query("stream_adaptive_skip", sql("SELECT video_id, frame_number, smoothed_skip, protected, selected FROM plain_adapt", "plain_adapt"))
 def _(s):
     f = s.frame_sequence.select("video_id", "seq", "frame_number", "motion_fraction")
-    n = 5000
-    st = run.replay(f, "frame_number", [n, 2 * n])
+    st = run.replay(f, "frame_number", ["video_id"])
     return run.run_to_table(stream_fold(st, ["video_id"], "seq", steps.skip_stream_step(), steps.SKIP_STREAM_OUT))
 
 
 @query("stream_zone_crossings", sql("SELECT video_id, track_id, zone_id, frame_number, event_type, direction, cold_start FROM zx", "zx"))
 def _(s):
-    o = s.observations.select("video_id", "track_id", "seq", "frame_number", g.cx().alias("cx"), g.cy().alias("cy"))
-    z = [(r.zone_id, r.zone_type, [(p.x, p.y) for p in r.polygon]) for r in s.zones.collect()]
-    return run.run_to_table(stream_fold(run.replay(o, "frame_number", [120, 240]), ["video_id", "track_id"], "seq", steps.zone_stream_step(z), steps.ZONE_STREAM_OUT))
+    key = ["video_id", "track_id", "zone_id"]
+    flags = zones.inside_zones(run.replay(s.observations, "frame_number", ["video_id", "track_id"]), zones_of(s))
+    return run.run_to_table(stream_fold(flags.select(*key, "seq", "frame_number", "zone_type", "inside"), key, "seq", steps.zone_stream_step, steps.ZONE_STREAM_OUT))
 
 
 @query("stream_activity_machine", sql("SELECT video_id, track_id, event_type, frame_number, frame_number * 40.0E0 AS timestamp_ms, confidence FROM mwalk2 WHERE event_type IS NOT NULL", "mwalk2"))
 def _(s):
     m = posture.machine_inputs(s.observations, seats_of(s)).select("video_id", "track_id", "seq", "frame_number", "timestamp_ms", "cx", "cy", "near_seat")
-    return run.run_to_table(stream_fold(run.replay(m, "frame_number", [120, 240]), ["video_id", "track_id"], "seq", steps.machine_stream_step(), posture.MACHINE_OUT))
+    return run.run_to_table(stream_fold(run.replay(m, "frame_number", ["video_id", "track_id"]), ["video_id", "track_id"], "seq", steps.machine_stream_step(), posture.MACHINE_OUT))
 
 
 @query("stream_tracker")
 def _(s):
     d = tracker_detections(s)
     r = d.join(tracking.frame_ranks(d), ["video_id", "frame_number"])
-    return run.run_to_table(stream_fold(run.replay(r, "frame_number", [120, 240]), ["video_id"], "frame_rank", tracking.lifecycle_step(), tracking.LIFECYCLE_OUT))
+    return run.run_to_table(stream_fold(run.replay(r, "frame_number", ["video_id"]), ["video_id"], "frame_rank", tracking.lifecycle_step(), tracking.LIFECYCLE_OUT))
 
 
 @query("stream_dedup", sql("SELECT event_id FROM dd_walk WHERE kept", "dd_walk"))
 def _(s):
     e = s.semantic_events.select("video_id", "event_type", "event_id", "start_ms", (F.col("start_ms") * 1e6 + F.col("event_id")).alias("place"))
-    st = run.replay(e, "place", [2e13, 5e13])
+    st = run.replay(e, "place", ["video_id", "event_type"])
     kept = run.run_to_table(stream_fold(st, ["video_id", "event_type"], "place", scenes.spaced_step("start_ms", 120_000.0, "event_id", strict=True),
                                         "event_id long, kept boolean"))
     return kept.where("kept").select("event_id")
@@ -478,7 +476,7 @@ def _(s):
 @query("stream_lighting", sql(f"SELECT {outs(LIGHT)} FROM light10_raw", "light10_raw"))
 def _(s):
     b = bright_of(s).select("video_id", "seq", "frame_number", "timestamp_ms", "baseline", "smoothed", "delta")
-    st = stream_fold(run.replay(b, "frame_number", [4000, 9000]), ["video_id"], "seq", quality.lighting_step(10.0, 2), quality.LIGHT_OUT)
+    st = stream_fold(run.replay(b, "frame_number", ["video_id"]), ["video_id"], "seq", quality.lighting_step(10.0, 2), quality.LIGHT_OUT)
     return run.run_to_table(st.withColumn("confidence", rounded(F.col("confidence"), 4))).select(*LIGHT.split())
 
 
@@ -486,7 +484,7 @@ def _(s):
 def _(s):
     """Transitions of a stream whose rows meet the tracks' known baselines."""
     d = posture.with_baseline(s.observations)
-    st = stream_fold(run.replay(d, "frame_number", [120, 240]), ["video_id", "track_id"], "seq", posture.posture_step(0.99), posture.POSTURE_OUT)
+    st = stream_fold(run.replay(d, "frame_number", ["video_id", "track_id"]), ["video_id", "track_id"], "seq", posture.posture_step(0.99), posture.POSTURE_OUT)
     return run.run_to_table(st.withColumn("confidence", rounded(F.col("confidence"), 4)))
 
 
@@ -494,4 +492,4 @@ def _(s):
 def _(s):
     """Person labels for tracks arriving in order of their start."""
     t = s.track_embeddings.select("video_id", "track_id", "start_ms", "embedding")
-    return run.run_to_table(stream_fold(run.replay(t, "start_ms", [30_000.0, 60_000.0]), ["video_id"], "start_ms", identity.assign_step(0.45), identity.ASSIGN_OUT))
+    return run.run_to_table(stream_fold(run.replay(t, "start_ms", ["video_id"]), ["video_id"], "start_ms", identity.assign_step(0.45), identity.ASSIGN_OUT))

@@ -18,8 +18,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class FoldProcessor(StatefulProcessor):
     """Keeps the fold state of a key and its last position.
 
-    Rows of a micro-batch are sorted before the step; rows at or before the last
-    position of an earlier batch are late, dropped and counted.  With an idle
+    Rows of a micro-batch are sorted before the step; rows before the last
+    position of an earlier batch are late, dropped and counted, while rows at that
+    very position are ties and are taken.  With an idle
     time the key is closed by an event-time timer: the step is told the key has
     ended and its state is removed.
     """
@@ -42,7 +43,7 @@ class FoldProcessor(StatefulProcessor):
             text, position, late = self.state.get()
             state = json.loads(text)
         if position is not None:
-            old = pdf[self.order].astype("float64") <= position
+            old = pdf[self.order].astype("float64") < position
             late += int(old.sum())
             pdf = pdf[~old]
         if len(pdf) == 0:

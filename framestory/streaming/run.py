@@ -7,22 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framestory.session import work_folder
+from framestory.session import cut_lineage, work_folder
 
 
-def replay(df: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
-    """A stream of ``df`` in files cut by ``column``, one file set per micro-batch."""
+def replay(df: DataFrame, column: str, keys: Sequence[str], parts: int = 3) -> DataFrame:
+    """A stream of ``df`` in ``parts`` pieces along ``column``, each dealt to files by ``keys``.
+
+    The pieces hold about equally many rows, whatever the size of ``df``.  A
+    key's rows of one piece are in one file and the pieces' files come one piece
+    after the other, so every key sees its rows in order; a micro-batch takes as
+    many files as a piece has at most, and they are read in parallel.
+    """
     spark = df.sparkSession
     path = work_folder(spark, "replay")
-    bounds = [None, *cuts, None]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = cut_lineage(df)
+    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)])).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
     for lo, hi in zip(bounds, bounds[1:]):
         part = df
         if lo is not None:
             part = part.where(F.col(column) >= lo)
         if hi is not None:
             part = part.where(F.col(column) < hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(n, *keys).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import types as T
 
 from framestory.operators.posture import EDGE, machine_step
@@ -53,40 +51,27 @@ def skip_stream_step(cfg: SkipConfig = SkipConfig()):
 
 
 ZONE_STREAM_OUT = T.StructType([
-    T.StructField("zone_id", T.StringType()), T.StructField("frame_number", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("frame_number", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("direction", T.StringType()), T.StructField("cold_start", T.BooleanType())])
 
 
-def _inside(x: float, y: float, polygon: Sequence[tuple[float, float]]) -> bool:
-    hits = 0
-    for i, (px, py) in enumerate(polygon):
-        qx, qy = polygon[i - 1]
-        if (py > y) != (qy > y) and x < (qx - px) * (y - py) / (qy - py + 1e-12) + px:
-            hits += 1
-    return hits % 2 == 1
-
+def zone_stream_step(state, rows, last):
+    """Crossings of one zone by one track; the state is the last membership.
 
-def zone_stream_step(zones: Sequence[tuple[str, str, Sequence[tuple[float, float]]]]):
-    """Crossings of (zone_id, zone_type, polygon) by a track; state is the membership per zone."""
+    Rows carry ``inside`` and ``zone_type``; the geometry is done in columns before.
+    """
     entering = {"restricted": "restricted_zone_entry", "entry": "zone_entry", "exit": "zone_exit"}
     leaving = {"restricted": "restricted_zone_exit", "entry": "zone_exit", "exit": "zone_entry"}
     cold = {"restricted": "restricted_zone_entry", "entry": "zone_entry", "exit": "zone_entry"}
-
-    def step(state, rows, last):
-        member = dict(state or {})
-        out = []
-        for frame, cx, cy in zip(rows["frame_number"], rows["cx"], rows["cy"]):
-            for zone_id, kind, polygon in zones:
-                now, was = _inside(cx, cy, polygon), member.get(zone_id)
-                member[zone_id] = now
-                if now == was or (was is None and not now):
-                    continue
-                names = cold if was is None else entering if now else leaving
-                out.append({"zone_id": zone_id, "frame_number": int(frame), "event_type": names.get(kind, "zone_crossing"),
-                            "direction": "entering" if now else "exiting", "cold_start": was is None})
-        return member, out
-
-    return step
+    was, out = state, []
+    for frame, kind, now in zip(rows["frame_number"], rows["zone_type"], rows["inside"]):
+        now = bool(now)
+        if now != was and (was is not None or now):
+            names = cold if was is None else entering if now else leaving
+            out.append({"frame_number": int(frame), "event_type": names.get(kind, "zone_crossing"),
+                        "direction": "entering" if now else "exiting", "cold_start": was is None})
+        was = now
+    return was, out
 
 
 def machine_stream_step(fps: float = 25.0, window: int = 5):

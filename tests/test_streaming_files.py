@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from framestory.functions import geometry as g
 from framestory.operators import tracking, zones
 from framestory.queries.people import tracker_detections, zones_of
 from framestory.sources import files
@@ -30,17 +29,17 @@ def rows(df):
 def test_stream_tracker_equals_batch(inputs):
     d = tracker_detections(inputs)
     r = d.join(tracking.frame_ranks(d), ["video_id", "frame_number"])
-    s = run.run_to_table(stream_fold(run.replay(r, "frame_number", [100, 200]), ["video_id"], "frame_rank", tracking.lifecycle_step(), tracking.LIFECYCLE_OUT))
+    s = run.run_to_table(stream_fold(run.replay(r, "frame_number", ["video_id"]), ["video_id"], "frame_rank", tracking.lifecycle_step(), tracking.LIFECYCLE_OUT))
     b = tracking.track_lifecycle(d).where(~F.col("action").isin("closed", "open"))
     assert rows(s) == rows(b.select(s.columns))
 
 
 def test_stream_zones_equal_batch_and_late_rows_are_dropped(inputs):
-    o = inputs.observations.select("video_id", "track_id", "seq", "frame_number", g.cx().alias("cx"), g.cy().alias("cy"))
-    z = [(r.zone_id, r.zone_type, [(p.x, p.y) for p in r.polygon]) for r in inputs.zones.collect()]
-    # The last file repeats the first 20 rows of every track: they are late.
-    late = o.withColumn("part", F.lit(0)).unionByName(o.where("seq < 20").withColumn("part", F.lit(1)))
-    s = run.run_to_table(stream_fold(run.replay(late, "part", [1]).drop("part"), ["video_id", "track_id"], "seq", steps.zone_stream_step(z), steps.ZONE_STREAM_OUT))
+    o, key = inputs.observations, ["video_id", "track_id", "zone_id"]
+    # The last piece repeats the first 20 rows of every track: they are late.
+    again = o.withColumn("part", F.lit(0)).unionByName(o.where("seq < 20").withColumn("part", F.lit(1)))
+    st = zones.inside_zones(run.replay(again, "part", ["video_id", "track_id"], parts=20).drop("part"), zones_of(inputs))
+    s = run.run_to_table(stream_fold(st.select(*key, "seq", "frame_number", "zone_type", "inside"), key, "seq", steps.zone_stream_step, steps.ZONE_STREAM_OUT))
     b = zones.zone_crossings(inputs.observations, zones_of(inputs)).select(s.columns)
     assert rows(s) == rows(b)
 
@@ -109,7 +108,7 @@ def test_idle_tracks_are_closed_by_event_time(spark):
     c = [(1, 3, 0, 0, 0.0, 0.5, 0.5, False, 1200.0)]
     d = spark.createDataFrame(a + b + c, "video_id long, track_id long, seq long, frame_number long, timestamp_ms double, cx double, cy double, near_seat boolean, s double")
     d = d.withColumn("event_time", F.timestamp_millis((F.col("s") * 1000).cast("long")))
-    st = run.replay(d, "s", [500.0, 1000.0]).drop("s").withWatermark("event_time", "5 seconds")
+    st = run.replay(d, "s", ["video_id", "track_id"]).drop("s").withWatermark("event_time", "5 seconds")
     got = run.run_to_table(stream_fold(st, ["video_id", "track_id"], "seq", machine_stream_step(), posture.MACHINE_OUT, event_time="event_time", idle_ms=60_000)).toPandas()
     left = got[got["event_type"] == "person_left_scene"]
     assert set(left["track_id"]) >= {1} and (left[left["track_id"] == 1]["frame_number"] == 15).all()
