@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framestory.llm.common import strings
 
-MAX_ROWS, MAX_WORDS, LEAST_TEXTS, FOLDS, PENALTY = 16_000, 256, 3, 5, 1.0
+MAX_ROWS, MAX_WORDS, LEAST_TEXTS, FOLDS, PENALTY, THRESHOLD = 16_000, 256, 3, 5, 0.3, 0.35
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -145,7 +145,7 @@ def score_notes(notes: DataFrame, chain: ToxicityChain, text: str = "notes", pre
 
 
 def toxic_notes(notes: DataFrame, labels: DataFrame, categories: list[str], decide: str, key: str = "failure_id", text: str = "notes",
-                threshold: float = 0.5) -> DataFrame:
+                threshold: float = THRESHOLD) -> DataFrame:
     """Toxicity per note: ``key``, a probability per category and the decision ``rejected``.
 
     The project has no toxicity labels of its own: the operator is general and
