@@ -114,6 +114,23 @@ CATEGORY_MEMBERS = {
     "security": ["safe", "vault", "safe box", "security camera", "cctv camera", "padlock", "keycard"],
     "safety": ["fire extinguisher"],
 }
+# Category of a detector's class number, taken before the names above.
+CLASS_ID_CATEGORY = {
+    "people": [0],
+    "vehicle": [1, 2, 3, 5, 7],
+    "outdoor": [9, 10, 11],
+    "furniture": [13, 56, 57, 59, 60],
+    "animal": [14, 15, 16],
+    "bag": [24, 25, 26, 28],
+    "clothing": [27],
+    "sport": [32, 38],
+    "drinkware": [39, 40, 41, 45],
+    "utensil": [42, 43, 44],
+    "food": [46, 47, 48, 53, 55],
+    "home": [58, 74, 75, 76, 77, 78, 79],
+    "electronics": [62, 63, 64, 65, 66, 67],
+    "documents": [73],
+}
 # Tried in this order when the class is in no list above.
 CATEGORY_KEYWORDS = [
     ("people", ["person", "man", "woman", "child", "human"]),

@@ -125,8 +125,13 @@ def detection_summary(det: DataFrame) -> DataFrame:
             .withColumn("rate", F.col("frames_with") / F.col("video_frames")))
 
 
-def category_of(cls: Column) -> Column:
-    """Display category: exact name, then the first keyword list with a hit, then ``object``."""
+def category_of(cls: Column, class_id: Column | None = None) -> Column:
+    """Display category: the class number's, if given and known, else by exact name, by the first keyword list with a hit, or ``object``."""
+    if class_id is not None:
+        known = F.lit(None).cast("string")
+        for cat, ids in fixed.CLASS_ID_CATEGORY.items():
+            known = F.when(class_id.isin(*ids), cat).otherwise(known)
+        return F.coalesce(known, category_of(cls))
     key = F.trim(F.lower(cls))
     exact = None
     for cat, names in fixed.CATEGORY_MEMBERS.items():

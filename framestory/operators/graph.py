@@ -86,6 +86,11 @@ def centrality(events: DataFrame, edges: DataFrame) -> DataFrame:
     return d.join(n, "video_id").withColumn("centrality", F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")
 
 
+def track_nodes(events: DataFrame) -> DataFrame:
+    """Nodes of every track's subgraph in event order; filter on one track to read its own."""
+    return ordered_events(events).select(*TRACK, "event_id", "event_type", F.col("seq").alias("position"))
+
+
 def track_subgraphs(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between events of the same track, for every track; filter on one to read its subgraph."""
     t = events.select("video_id", "event_id", "track_id")

@@ -43,23 +43,24 @@ def assign_step(threshold: float):
     """
     def step(state, rows, last):
         gallery, plain, nxt = state or [[], [], 1]
-        means = [np.asarray(e[1]) for e in gallery]
+        means = np.array([e[1] for e in gallery], dtype="float64")
+        used, free = {e[0] for e in gallery} | set(plain), 1
         out = []
         for track, emb in zip(rows["track_id"], rows["embedding"]):
             if emb is None:
-                used = {e[0] for e in gallery} | set(plain)
-                k = 1
-                while k in used:
-                    k += 1
-                plain.append(k)
-                out.append({"track_id": int(track), "person_label": f"Person {k}", "similarity": None, "is_new": True})
+                while free in used:  # labels are never given back, so the smallest free one only grows
+                    free += 1
+                plain.append(free)
+                used.add(free)
+                out.append({"track_id": int(track), "person_label": f"Person {free}", "similarity": None, "is_new": True})
                 continue
             v = np.asarray(emb, dtype="float64")
             best, sim = None, 0.0
-            for i, m in enumerate(means):
-                s = float(v @ m)
-                if s > sim:
-                    best, sim = i, s
+            if len(gallery):
+                near = means[:len(gallery)] @ v
+                i = int(near.argmax())
+                if near[i] > 0.0:
+                    best, sim = i, float(near[i])
             if best is not None and sim >= threshold:
                 n = gallery[best][2]
                 means[best] = _unit((means[best] * n + v) / (n + 1))
@@ -69,7 +70,10 @@ def assign_step(threshold: float):
                 label, new = nxt, True
                 nxt += 1
                 gallery.append([label, None, 1])
-                means.append(v)
+                used.add(label)
+                if len(gallery) > len(means):
+                    means = np.vstack([means.reshape(-1, len(v)), np.zeros((max(64, len(means)), len(v)))])
+                means[len(gallery) - 1] = v
             out.append({"track_id": int(track), "person_label": f"Person {label}", "similarity": sim, "is_new": new})
         for e, m in zip(gallery, means):
             e[1] = [float(x) for x in m]

@@ -62,9 +62,10 @@ def with_baseline(obs: DataFrame, min_standing: float = 1.40, min_observations:
     The baseline is the mean over the first quarter of the rows that look like standing.
     """
     boxes = obs.where((g.width() > 0) & (g.height() > 0)).withColumn("aspect", g.height() / g.width())
+    boxes = index_rows(boxes, TRACK, ["seq"], F.floor(F.col("seq") / BLOCK_ROWS).cast("long"), "_place")
     n = boxes.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_n"))
     head = F.greatest(F.floor(F.col("_n") / 4), F.lit(2))
-    base = (boxes.join(n, TRACK).where((F.col("_n") >= min_observations) & (F.col("seq") < head)).groupBy(*TRACK)
+    base = (boxes.join(n, TRACK).where((F.col("_n") >= min_observations) & (F.col("_place") < head)).groupBy(*TRACK)
             .agg(F.coalesce(F.avg(F.when(F.col("aspect") >= min_standing, F.col("aspect"))), F.avg("aspect")).alias("baseline"))
             .where(F.col("baseline") >= min_standing))
     return boxes.select(*TRACK, "seq", "frame_number", "timestamp_ms", "aspect").join(base, TRACK)

@@ -288,7 +288,13 @@ def _(s):
 
 @query("track_subgraphs", sql("SELECT video_id, track_id, source, target, relationship FROM (SELECT e.*, a.track_id, b.track_id AS other FROM edges e JOIN sem a ON a.event_id = e.source JOIN sem b ON b.event_id = e.target) WHERE track_id = other", "edges", "sem"))
 def _(s):
-    return graph.track_subgraphs(s.semantic_events, graph.event_graph(s.semantic_events)).select("video_id", "track_id", "source", "target", "relationship")
+    """Edges of co-occurrence join different tracks, so only those along a track can count."""
+    return graph.track_subgraphs(s.semantic_events, graph.same_track_edges(s.semantic_events)).select("video_id", "track_id", "source", "target", "relationship")
+
+
+@query("track_subgraph", sql("SELECT video_id, track_id, event_id, event_type, row_number() OVER (PARTITION BY video_id, track_id ORDER BY start_ms, end_ms, event_type, event_id) - 1 AS position FROM sem", "sem"))
+def _(s):
+    return graph.track_nodes(s.semantic_events)
 
 
 _KEY = "CASE WHEN person_label IS NOT NULL THEN 'person:' || person_label ELSE 'track:' || track_id END"

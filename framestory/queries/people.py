@@ -132,6 +132,15 @@ def _(s):
     return det_of(s).groupBy("class_name", detections.category_of(F.col("class_name")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_ID_CAT = "CASE " + " ".join(f"WHEN class_id IN ({', '.join(map(str, ids))}) THEN '{c}'" for c, ids in fixed.CLASS_ID_CATEGORY.items()) + " END"
+
+
+@query("display_category_by_number", sql(f"SELECT class_id, coalesce({_ID_CAT}, {_CAT}) AS category, count(*) AS n FROM (SELECT det_id % 85 AS class_id, trim(lower(class_name)) AS k FROM det) GROUP BY ALL", "det"))
+def _(s):
+    d = det_of(s).withColumn("class_id", F.col("det_id") % 85)
+    return d.groupBy("class_id", detections.category_of(F.col("class_name"), F.col("class_id")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Tracking -------------------------------------------------------------------------------
 view("trk_det", """SELECT obs_id AS det_id, video_id, frame_number, class_name, confidence, x1, y1, x2, y2, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_number) - 1 AS frame_rank FROM obs""", "obs")
 _CAND = f"SELECT a.video_id, a.det_id AS a, b.det_id AS b, {IOU('a.', 'b.')} AS iou FROM trk_det a JOIN trk_det b ON a.video_id = b.video_id AND a.class_name = b.class_name AND b.frame_rank = a.frame_rank + 1"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framestory import fixed
 from framestory.functions.numbers import rounded
-from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking, zones
+from framestory.operators import activity, compression, evaluation, graph, identity, interactions, posture, quality, reports, scenes, story, tracking, validation, zones
 from framestory.queries.events import _CATEGORY, _VARIED, decision_chain, named_events, ranked_semantic, rule_events_of, varied_events
 from framestory.queries.frames import LIGHT, bright_of
 from framestory.queries.motion import tracks_of
@@ -76,14 +76,13 @@ _SCORES = ", ".join(f"{R(e, 6)} AS {n}" for n, e in (
     ("precision", "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0E0 END"), ("recall", "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0E0 END"),
     ("f1", "CASE WHEN 2 * tp + fp + fn > 0 AND tp > 0 THEN 2.0E0 * tp / (2 * tp + fp + fn) ELSE 0.0E0 END"), ("accuracy", "CASE WHEN tp + fp + tn + fn > 0 THEN (tp + tn) / (tp + fp + tn + fn) ELSE 0.0E0 END")))
 _CONF = "count(*) FILTER (WHERE truth AND fired) AS tp, count(*) FILTER (WHERE NOT truth AND fired) AS fp, count(*) FILTER (WHERE NOT truth AND NOT fired) AS tn, count(*) FILTER (WHERE truth AND NOT fired) AS fn"
-_STAIR = """SELECT CASE d.event_id % 4 WHEN 0 THEN 'ASCENDING_STAIRS' WHEN 1 THEN 'DESCENDING_STAIRS' WHEN 2 THEN 'ESCALATOR' ELSE 'FLAT_WALK' END AS label, d.event_id % 4 < 2 AS truth, (500 + d.event_id * 37 % 450) / 1000.0E0 AS c_vel,
- (d.event_id * 53 % 80) / 1000.0E0 AS c_scene, d.event_id * 29 % 12 AS p_scene, (d.event_id * 71 % 400) / 1000.0E0 AS iop FROM events d"""
-view("items", _STAIR)
+_STAIR_COLS = """CASE event_id % 4 WHEN 0 THEN 'ASCENDING_STAIRS' WHEN 1 THEN 'DESCENDING_STAIRS' WHEN 2 THEN 'ESCALATOR' ELSE 'FLAT_WALK' END AS label; event_id % 4 < 2 AS truth; (500 + event_id * 37 % 450) / 1000.0E0 AS c_vel;
+ (event_id * 53 % 80) / 1000.0E0 AS c_scene; event_id * 29 % 12 AS p_scene; (event_id * 71 % 400) / 1000.0E0 AS iop""".split(";")
+view("items", "SELECT " + ", ".join(_STAIR_COLS) + " FROM events")
 
 
 def stair_items(s: Inputs):
-    s.table("events").createOrReplaceTempView("framestory_events")
-    return s.spark.sql(_STAIR.replace("FROM events d", "FROM framestory_events d"))
+    return s.table("events").selectExpr(*_STAIR_COLS)
 
 
 @query("binary_metrics", sql(f"SELECT label, tp, fp, tn, fn, {_SCORES} FROM (SELECT label, {_CONF} FROM (SELECT *, c_vel >= 0.7E0 AS fired FROM items) GROUP BY ALL UNION ALL SELECT '*', {_CONF} FROM (SELECT *, c_vel >= 0.7E0 AS fired FROM items))", "items"))
@@ -403,6 +402,43 @@ def _(s):
     return files.events_from_manifest(s.spark, path).select("video_id", "event_id", "event_type", "confidence", "description", "direction", "person_label")
 
 
+@query("export_manifest", sql("""SELECT 'summary' AS section, video_id, count(DISTINCT video_id) AS entries FROM sem_pol GROUP BY ALL UNION ALL SELECT 'validation', video_id, 1 FROM sem_pol WHERE keep GROUP BY ALL
+ UNION ALL SELECT 'decisions', video_id, count(*) FROM sem_pol GROUP BY ALL UNION ALL SELECT 'clips', video_id, count(*) FROM sem JOIN sem_pol USING (video_id, track_id) WHERE keep GROUP BY ALL""", "sem", "sem_pol"))
+def _(s):
+    """Entries per section and video of a manifest that is written twice and read back."""
+    r, ev = ranked_semantic(s), s.semantic_events
+    dec = s.stage("decisions", lambda: compression.compression_policy(r))
+    kept = compression.summary_events(ev, dec)
+    chains, seg = dec.where("keep").select("video_id", "track_id"), s.stage("segments", lambda: story.story_segments(ev))
+    report = validation.validation_report(validation.validate_narrative(seg, ev, chains, kept.select("video_id", "event_id"), graph.same_track_edges(ev)), chains, seg)
+    sections = compression.compression_metrics(dec), report, compression.decision_manifest(r, dec), reports.clip_specs(kept)
+    path = work_folder(s.spark, "manifest")
+    for _ in range(2):
+        files.export_manifest(path, *sections)
+    return s.spark.read.schema("section string, video_id long").json(path).groupBy("section", "video_id").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("export_evaluation_json", sql("SELECT label, count(*) AS total_items, count(*) FILTER (WHERE c_scene > 0) AS nonzero_items FROM items GROUP BY ALL", "items"))
+def _(s):
+    path = work_folder(s.spark, "json")
+    files.export_evaluation_json(evaluation.distribution_by_category(stair_items(s), "label", "c_scene").select("label", "total_items", "nonzero_items"), path)
+    return s.spark.read.schema("label string, total_items long, nonzero_items long").json(path)
+
+
+@query("read_ground_truth", sql("SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(truth_id AS VARCHAR) AS event_id, event_type, round_even(truth_start, 4) AS start_s, round_even(truth_end, 4) AS end_s, truth_id % 7 = 0 AS is_irrelevant FROM truth", "truth"))
+def _(s):
+    """Truth documents of an hour each are written as nested JSON and read back, one row per event."""
+    name = F.col("truth_id").cast("string")
+    docs = s.truth_events.withColumn("_hour", F.floor(F.col("truth_start") / 3_600_000.0)).groupBy(F.col("video_id").cast("string").alias("video_id"), "_hour").agg(
+        F.collect_list(F.struct(name.alias("event_id"), F.col("event_type").alias("type"), F.col("truth_start").alias("start"), F.col("truth_end").alias("end"),
+                                F.array().cast("array<string>").alias("entities"))).alias("events"),
+        F.array(F.collect_list(name)).alias("narrative_chains"), F.collect_list(F.when(F.col("truth_id") % 7 == 0, name)).alias("irrelevant_events"))
+    path = work_folder(s.spark, "truth")
+    docs.drop("_hour").write.json(path)
+    ev, _chains = files.read_ground_truth(s.spark, path, multi_line=False)
+    return ev.select("video_id", "event_id", "event_type", rounded(F.col("start_s"), 4).alias("start_s"), rounded(F.col("end_s"), 4).alias("end_s"), "is_irrelevant")
+
+
 @query("export_evaluation_csv", sql("SELECT CAST(label AS VARCHAR) AS label, CAST(total_items AS VARCHAR) AS \"counts.total\", CAST(nonzero_items AS VARCHAR) AS \"counts.nonzero\", label || ';x' AS tags FROM (SELECT label, count(*) AS total_items, count(*) FILTER (WHERE c_scene > 0) AS nonzero_items FROM items GROUP BY ALL)", "items"))
 def _(s):
     d = evaluation.distribution_by_category(stair_items(s), "label", "c_scene").select(

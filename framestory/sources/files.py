@@ -61,9 +61,9 @@ def read_zones(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
                     F.transform("polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("polygon"))
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, chain members) of nested ground-truth files."""
-    t = spark.read.schema(TRUTH_SCHEMA).option("multiLine", True).json(path)
+def read_ground_truth(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(events, chain members) of nested ground-truth files, one document a file or one a line."""
+    t = spark.read.schema(TRUTH_SCHEMA).option("multiLine", multi_line).json(path)
     events = t.select("video_id", "irrelevant_events", F.explode("events").alias("_e")).select(
         "video_id", "_e.event_id", F.col("_e.type").alias("event_type"), F.col("_e.start").alias("start_s"), F.col("_e.end").alias("end_s"), "_e.entities",
         F.coalesce(F.array_contains("irrelevant_events", F.col("_e.event_id")), F.lit(False)).alias("is_irrelevant"))
