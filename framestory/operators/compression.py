@@ -23,7 +23,8 @@ def compression_policy(ranked: DataFrame, target_ratio: float = 0.40, keep_compl
     round drops candidates larger than the remaining budget, keeps the longest
     prefix that fits, and the next round starts behind the first that did not.
     The largest remaining size shrinks every round, so rounds are few and no
-    video passes through one task.
+    video passes through one task.  Running totals grow with the rank, so what
+    fits is what stands before the first that does not.
     """
     r = cut_lineage(ranked.select(*TRACK, "segment_id", "event_count", "completeness", "narrative_score", "combined_rank", "rank"))
     group = (F.when(F.col("narrative_score") < min_narrative, "low")
@@ -66,13 +67,13 @@ def _fit_in_order(cand: DataFrame, block: int) -> DataFrame:
         d = cut_lineage(running_sum(todo, ["video_id"], F.col("event_count"), "_cum", seq="rank", block=block))
         if d.isEmpty():
             break
-        stop = d.where(F.col("_cum") > F.col("_left")).groupBy("video_id").agg(F.min("rank").alias("_stop"))
-        d = cut_lineage(d.join(stop, "video_id", "left"))
-        now = d.where(F.col("_stop").isNull() | (F.col("rank") < F.col("_stop")))
-        kept = now.select(*TRACK) if kept is None else kept.unionByName(now.select(*TRACK))
-        used = now.groupBy("video_id").agg(F.max("_cum").alias("_used"))
-        todo = cut_lineage(d.where(F.col("rank") > F.col("_stop")).join(used, "video_id").select(
-            *TRACK, "event_count", "rank", (F.col("_left") - F.col("_used")).alias("_left")))
+        stop = d.groupBy("video_id").agg(F.min(F.when(F.col("_cum") > F.col("_left"), F.col("rank"))).alias("_stop"),
+                                         F.max(F.when(F.col("_cum") <= F.col("_left"), F.col("_cum"))).alias("_used"))
+        d = d.join(stop, "video_id")
+        now = d.where(F.col("_cum") <= F.col("_left")).select(*TRACK)
+        kept = now if kept is None else kept.unionByName(now)
+        todo = d.where(F.col("rank") > F.col("_stop")).select(
+            *TRACK, "event_count", "rank", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"))
     return kept if kept is not None else cand.select(*TRACK)
 
 

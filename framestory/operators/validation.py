@@ -5,50 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framestory.operators.events import ordered_events
 from framestory.operators.story import is_action, is_entry, is_exit
+from framestory.plans.sequence import BLOCK_ROWS, over_blocks
+from framestory.session import cut_lineage
 
 TRACK = ["video_id", "track_id"]
-ISSUE = ["video_id", "severity", "check", "track_id", "event_id", "detail"]
 
 
-def validate_narrative(segments: DataFrame, events: DataFrame, kept_segments: DataFrame, kept_events: DataFrame,
-                       edges: DataFrame, compat: bool = False) -> DataFrame:
+def validate_narrative(segments: DataFrame, events: DataFrame, kept_segments: DataFrame, kept_events: DataFrame, compat: bool = False,
+                       block: int = BLOCK_ROWS) -> DataFrame:
     """All issues of the five checks.
 
     ``kept_segments`` holds (video_id, track_id), ``kept_events`` (video_id,
-    event_id), ``edges`` the same-track edges.
+    event_id).  An event's predecessor is the one before it on its track, so no
+    edge table is needed: events carry a kept flag, their own and their
+    predecessor's, and are written once for the checks by event and by chain.
     """
-    ev = events.select(*TRACK, "event_id", "event_type", "start_ms", "end_ms")
-    kept = ev.join(kept_events.select("video_id", "event_id"), ["video_id", "event_id"], "left_semi")
-    in_kept = kept.join(kept_segments.select(*TRACK), TRACK, "left_semi").join(
-        segments.select(*TRACK, "completeness"), TRACK)
+    flag = kept_events.select("video_id", "event_id").distinct().withColumn("_k", F.lit(True))
+    chains = kept_segments.select(*TRACK).distinct().withColumn("_s", F.lit(True))
+    d = ordered_events(events.select(*TRACK, "event_id", "event_type", "start_ms", "end_ms")).join(flag, ["video_id", "event_id"], "left")
+    d = over_blocks(d, TRACK, lambda w: {"_pe": F.lag("event_id").over(w), "_pk": F.lag("_k").over(w)}, back=1, block=block)
+    d = d.where("_k").join(chains, TRACK, "left").join(segments.select(*TRACK, "completeness", F.lit(True).alias("_g")), TRACK, "left")
+    d = cut_lineage(d.select(*TRACK, "event_id", "event_type", "start_ms", "end_ms", "_pe", "_pk", "_s", "_g", "completeness"))
+
+    def issue(when, severity, check, event_id, detail):
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), event_id.cast("long").alias("event_id"), detail.alias("detail")))
+
+    def listed(df, *issues):
+        return df.select("video_id", "track_id", F.explode(F.array_compact(F.array(*issues))).alias("i")).select(
+            "video_id", "i.severity", "i.check", "track_id", "i.event_id", "i.detail")
+
+    by_event = listed(d, issue(F.col("_s").isNull(), "error", "no_orphaned_events", F.col("event_id"), F.col("event_type")),
+                      issue(F.col("_pe").isNotNull() & F.col("_pk").isNull(), "warning", "graph_connectivity", F.col("event_id"), F.col("_pe").cast("string")))
     t, o = F.col("event_type"), F.struct("start_ms", "end_ms", "event_type", "event_id")
-    per = in_kept.groupBy(*TRACK, "completeness").agg(
+    per = d.where("_s AND _g").groupBy(*TRACK, "completeness").agg(
         F.bool_or(is_entry(t)).alias("e"), F.bool_or(is_exit(t)).alias("x"), F.bool_or(is_action(t, compat)).alias("a"),
         F.min(o).alias("first"), F.max(o).alias("last"))
-    missing = F.array_join(F.array_compact(F.array(F.when(~F.col("e"), "entry"), F.when(~F.col("a"), "action"),
-                                                   F.when(~F.col("x"), "exit"))), ", ")
-
-    def issue(df, severity, check, event_id, detail):
-        return df.select("video_id", F.lit(severity).alias("severity"), F.lit(check).alias("check"), "track_id",
-                         event_id.alias("event_id"), detail.alias("detail"))
-
-    none = F.lit(None).cast("long")
-    broken = issue(per.where((F.col("completeness") == "complete") & ~(F.col("e") & F.col("x") & F.col("a"))),
-                   "error", "complete_chain_integrity", none, missing)
-    starts = issue(per.where(is_exit(F.col("first.event_type"))), "warning", "no_chain_starts_with_exit",
-                   F.col("first.event_id"), F.col("first.event_type"))
-    ends = issue(per.where(is_entry(F.col("last.event_type"))), "warning", "no_chain_ends_with_entry",
-                 F.col("last.event_id"), F.col("last.event_type"))
-    orphans = issue(kept.join(kept_segments.select(*TRACK), TRACK, "left_anti"), "error", "no_orphaned_events",
-                    F.col("event_id"), F.col("event_type"))
-    k = kept_events.select("video_id", "event_id")
-    cut = (edges.where(F.col("relationship") == "same_track_temporal")
-           .join(k.withColumnRenamed("event_id", "target"), ["video_id", "target"], "left_semi")
-           .join(k.withColumnRenamed("event_id", "source"), ["video_id", "source"], "left_anti")
-           .join(ev.select("video_id", F.col("event_id").alias("target"), "track_id"), ["video_id", "target"]))
-    gaps = issue(cut, "warning", "graph_connectivity", F.col("target"), F.col("source").cast("string"))
-    return broken.unionByName(starts).unionByName(ends).unionByName(orphans).unionByName(gaps)
+    missing = F.array_join(F.array_compact(F.array(F.when(~F.col("e"), "entry"), F.when(~F.col("a"), "action"), F.when(~F.col("x"), "exit"))), ", ")
+    by_chain = listed(
+        per, issue((F.col("completeness") == "complete") & ~(F.col("e") & F.col("x") & F.col("a")), "error", "complete_chain_integrity", F.lit(None), missing),
+        issue(is_exit(F.col("first.event_type")), "warning", "no_chain_starts_with_exit", F.col("first.event_id"), F.col("first.event_type")),
+        issue(is_entry(F.col("last.event_type")), "warning", "no_chain_ends_with_entry", F.col("last.event_id"), F.col("last.event_type")))
+    return by_event.unionByName(by_chain)
 
 
 def validation_report(issues: DataFrame, kept_segments: DataFrame, segments: DataFrame) -> DataFrame:

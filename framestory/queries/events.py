@@ -393,7 +393,7 @@ def _kept(s: Inputs):
 def _(s):
     ke, ks = _kept(s)
     ev = s.semantic_events
-    return validation.validate_narrative(s.stage("segments", lambda: story.story_segments(ev)), ev, ks, ke, graph.same_track_edges(ev))
+    return validation.validate_narrative(s.stage("segments", lambda: story.story_segments(ev)), ev, ks, ke)
 
 
 @query("validation_report", sql(f"""SELECT video_id, chains_checked, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(orphaned_events, 0) AS orphaned_events,
@@ -404,7 +404,7 @@ def _(s):
     ke, ks = _kept(s)
     ev = s.semantic_events
     seg = s.stage("segments", lambda: story.story_segments(ev))
-    return validation.validation_report(validation.validate_narrative(seg, ev, ks, ke, graph.same_track_edges(ev)), ks, seg)
+    return validation.validation_report(validation.validate_narrative(seg, ev, ks, ke), ks, seg)
 
 
 def decision_chain(s: Inputs):

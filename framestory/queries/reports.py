@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framestory import fixed
 from framestory.functions.numbers import rounded
-from framestory.operators import activity, compression, evaluation, graph, identity, interactions, posture, quality, reports, scenes, story, tracking, validation, zones
+from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking, validation, zones
 from framestory.queries.events import _CATEGORY, _VARIED, decision_chain, named_events, ranked_semantic, rule_events_of, varied_events
 from framestory.queries.frames import LIGHT, bright_of
 from framestory.queries.motion import tracks_of
@@ -410,7 +410,7 @@ def _(s):
     dec = s.stage("decisions", lambda: compression.compression_policy(r))
     kept = compression.summary_events(ev, dec)
     chains, seg = dec.where("keep").select("video_id", "track_id"), s.stage("segments", lambda: story.story_segments(ev))
-    report = validation.validation_report(validation.validate_narrative(seg, ev, chains, kept.select("video_id", "event_id"), graph.same_track_edges(ev)), chains, seg)
+    report = validation.validation_report(validation.validate_narrative(seg, ev, chains, kept.select("video_id", "event_id")), chains, seg)
     sections = compression.compression_metrics(dec), report, compression.decision_manifest(r, dec), reports.clip_specs(kept)
     path = work_folder(s.spark, "manifest")
     for _ in range(2):
