@@ -182,3 +182,18 @@ def rules_table(spark: SparkSession) -> DataFrame:
               "min_frames long, require_new boolean, require_ended boolean, min_motion_confidence double, "
               "rule_confidence double")
     return spark.createDataFrame(RULES, schema)
+
+# Activities, sampling and poses --------------------------------------------------
+ACTIVITY_TAILS = {
+    "cycling": " is cycling across the scene", "running": " is running", "walking_upstairs": " is walking up stairs",
+    "walking_downstairs": " is walking down stairs", "loitering": " is loitering (stationary for >12s)", "walking": " is walking"}
+# Name, warm-up frames, largest skip, smoothing, protection threshold and window.
+SWEEP_VARIANTS = [
+    ("baseline", 25, 10, 0.25, 0.08, 15),
+    ("conservative", 10, 8, 0.30, 0.05, 25),
+    ("aggressive", 5, 15, 0.20, 0.12, 10),
+]
+# Minimum supporting frames per state and the event each state maps to.
+POSE_MINIMUM = {"CRAWLING": 3, "CROUCHING": 3, "RUNNING": 3, "FALLEN": 2, "SITTING": 8, "WALKING": 2, "STANDING": 1}
+POSE_EVENT = {"CRAWLING": "person_crawling", "CROUCHING": "person_crouching_sustained", "FALLEN": "person_falling_likely",
+              "RUNNING": "person_running", "SITTING": "person_loitering"}

@@ -100,13 +100,6 @@ def classify_activity(signals: DataFrame, min_observations: int = 3) -> DataFram
     return signals.withColumn("activity", label.otherwise("walking")).withColumn("activity_conf", conf.otherwise(0.55))
 
 
-def activities(obs: DataFrame, tracks: DataFrame, require_bicycle: bool = True, require_overlap: bool = False,
-               cycle_threshold: float = CYCLE, min_observations: int = 3) -> DataFrame:
-    """Features, signals, activity and edge directions of every track."""
-    f = stair_signal(cycling_signal(track_features(obs), tracks, cycle_threshold, require_overlap, require_bicycle))
-    return classify_activity(f, min_observations).join(edge_directions(obs), TRACK)
-
-
 # Stair evidence -----------------------------------------------------------------------
 # Reference confidence, persistence and overlap; base weight and threshold.
 TAU, P_REF, IOP_REF, MIN_PERSISTENCE, MIN_IOP, BASE, STAIR_THRESHOLD = 0.05, 5.0, 0.20, 2, 0.15, 0.30, 0.55
@@ -171,12 +164,10 @@ def narrative_events(labelled: DataFrame, persons: DataFrame | None = None) -> D
     else:
         d = d.withColumn("person_label", F.lit(None).cast("string"))
     label = F.coalesce(F.col("person_label"), F.concat(F.lit("Track-"), F.col("track_id").cast("string")))
-    tails = {"cycling": " is cycling across the scene", "running": " is running", "walking_upstairs": " is walking up stairs",
-             "walking_downstairs": " is walking down stairs", "loitering": " is loitering (stationary for >12s)", "walking": " is walking"}
     return d.select(*TRACK, F.lit("person").alias("class_name"), F.col("activity").alias("event_type"), F.lit("narrative_builder").alias("rule_name"),
                     F.col("activity_conf").alias("confidence"), F.col("first_frame").alias("start_frame"), F.col("last_frame").alias("end_frame"),
                     F.col("first_ms").alias("start_ms"), F.col("last_ms").alias("end_ms"), label.alias("person_label"),
-                    F.concat(label, fixed.lookup(F.col("activity"), tails, "")).alias("description"),
+                    F.concat(label, fixed.lookup(F.col("activity"), fixed.ACTIVITY_TAILS, "")).alias("description"),
                     F.concat_ws("-", "video_id", "track_id", F.lit("narrative")).alias("event_id"))
 
 

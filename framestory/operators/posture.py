@@ -333,10 +333,7 @@ def activity_state_machine(inputs: DataFrame, block: int = FOLD_BLOCK_ROWS) -> D
 
 
 # Temporal pose machine ----------------------------------------------------------------------------
-# Minimum supporting frames per state and the event each state maps to.
-POSE_MINIMUM = {"CRAWLING": 3, "CROUCHING": 3, "RUNNING": 3, "FALLEN": 2, "SITTING": 8, "WALKING": 2, "STANDING": 1}
-POSE_EVENT = {"CRAWLING": "person_crawling", "CROUCHING": "person_crouching_sustained", "FALLEN": "person_falling_likely",
-              "RUNNING": "person_running", "SITTING": "person_loitering"}
+POSE_MINIMUM, POSE_EVENT = fixed.POSE_MINIMUM, fixed.POSE_EVENT
 POSE_WINDOW, POSE_HYSTERESIS = 20, 2
 POSE_OUT = T.StructType([
     T.StructField("event_type", T.StringType()), T.StructField("start_frame", T.LongType()), T.StructField("end_frame", T.LongType()),

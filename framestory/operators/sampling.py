@@ -233,11 +233,7 @@ class SweepVariant:
     high_skip: int = 1
 
 
-SWEEP_VARIANTS = (
-    SweepVariant("baseline", 25, 10, 0.25, 0.08, 15),
-    SweepVariant("conservative", 10, 8, 0.30, 0.05, 25),
-    SweepVariant("aggressive", 5, 15, 0.20, 0.12, 10),
-)
+SWEEP_VARIANTS = tuple(SweepVariant(*v) for v in fixed.SWEEP_VARIANTS)
 
 
 def sweep_step(v: SweepVariant):

@@ -358,8 +358,7 @@ def _(s):
     return out(activity.cycling_sanity(labelled_of(s), named), "video_id track_id activity", "activity_conf")
 
 
-_TAIL = CASE("activity", {"cycling": " is cycling across the scene", "running": " is running", "walking_upstairs": " is walking up stairs", "walking_downstairs": " is walking down stairs",
-                          "loitering": " is loitering (stationary for >12s)", "walking": " is walking"}, "")
+_TAIL = CASE("activity", fixed.ACTIVITY_TAILS, "")
 
 
 @query("narrative_events", sql(f"""SELECT video_id, track_id, activity AS event_type, {R('activity_conf', 6)} AS confidence, first_frame AS start_frame, last_frame AS end_frame, 'Track-' || track_id || {_TAIL} AS description FROM act
