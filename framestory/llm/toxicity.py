@@ -144,6 +144,16 @@ def score_notes(notes: DataFrame, chain: ToxicityChain, text: str = "notes", pre
     return d.drop("_fs_words", "_fs_shape", "_fs_hits", "_fs_each")
 
 
+def without_toxic(notes: DataFrame, chain: ToxicityChain, decide: str, text: str = "notes", threshold: float = THRESHOLD) -> DataFrame:
+    """``notes`` (all columns) without those that the chain rejects.
+
+    The row number beside the probability keeps the optimizer from pushing the
+    condition below the scoring, where the words would be split anew for every term.
+    """
+    d = score_notes(notes, chain, text, "_fs_p_").select(*notes.columns, f"_fs_p_{decide}", F.monotonically_increasing_id().alias("_fs_row"))
+    return d.where((F.col(f"_fs_p_{decide}") < threshold) & (F.col("_fs_row") >= 0)).select(*notes.columns)
+
+
 def toxic_notes(notes: DataFrame, labels: DataFrame, categories: list[str], decide: str, key: str = "failure_id", text: str = "notes",
                 threshold: float = THRESHOLD) -> DataFrame:
     """Toxicity per note: ``key``, a probability per category and the decision ``rejected``.
