@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framestory.functions.text import title_case
 from framestory.operators.events import EVENT_ORDER, TRACK, ordered_events
 from framestory.plans.intervals import bucket
-from framestory.plans.sequence import BLOCK_ROWS, first_n, over_blocks
+from framestory.plans.sequence import BLOCK_ROWS, first_n, index_rows, over_blocks, running_sum
 
 EDGE = ["video_id", "source", "target", "relationship", "weight"]
 
@@ -42,47 +42,65 @@ def event_graph(events: DataFrame, gap_ms: float = 2000.0) -> DataFrame:
     return same_track_edges(events).unionByName(co_occurrence_edges(events, gap_ms))
 
 
-def degrees(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """In, out and total degree of every event, zeros included."""
-    ends = edges.select("video_id", F.col("source").alias("event_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
-        edges.select("video_id", F.col("target").alias("event_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    d = ends.groupBy("video_id", "event_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    return (events.select("video_id", "event_id", "event_type", "track_id").join(d, ["video_id", "event_id"], "left")
-            .fillna(0, ["in_degree", "out_degree"]).withColumn("degree", F.col("in_degree") + F.col("out_degree")))
+def degrees(events: DataFrame, gap_ms: float = 2000.0, slot_ms: float = 60_000.0, block: int = BLOCK_ROWS) -> DataFrame:
+    """In, out and total degree of every event in ``event_graph``, zeros included, without building an edge.
 
-
-def graph_metrics(events: DataFrame, edges: DataFrame) -> DataFrame:
+    An event points at those after it that start by its end plus the gap: all
+    starts up to there less the events up to itself.  Those before it whose end
+    plus gap has not passed at its start point at it.  Both are running counts
+    over starts and ends; counted once per video and once per track, their
+    difference is the co-occurrence with other tracks.
+    """
+    e = events.select(*TRACK, "event_type", "event_id", "start_ms", "end_ms")
+    e = e.withColumn("_of", F.explode(F.array(F.lit("video"), F.concat(F.lit("track:"), F.coalesce(F.col("track_id").cast("string"), F.lit(""))))))
+    mark = F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(0).alias("kind")), F.struct((F.col("end_ms") + gap_ms).alias("at"), F.lit(1).alias("kind"))))
+    m = e.withColumn("_m", mark).select("*", "_m.at", "_m.kind").drop("_m")
+    key = ["video_id", "_of"]
+    m = index_rows(m, key, ["at", "kind", "end_ms", "event_type", "event_id"], F.floor(F.col("at") / slot_ms).cast("long"))
+    m = running_sum(m, key, 1 - F.col("kind"), "_starts", block=block)
+    start = F.col("kind") == 0
+    n = m.groupBy(*key, *TRACK[1:], "event_id", "event_type").agg(
+        F.max(F.when(start, F.col("_starts") - 1)).alias("_before"), F.max(F.when(start, F.col("seq") + 1 - F.col("_starts"))).alias("_over"),
+        F.max(F.when(~start, F.col("_starts"))).alias("_reached"))
+    after = F.greatest(F.col("_reached") - F.col("_before") - 1, F.lit(0))
+    whole = F.col("_of") == "video"
+    sign = F.when(whole, 1).otherwise(-1)
+    last = n.where(~whole).groupBy(*TRACK).agg(F.max("_before").alias("_last"))
+    d = n.groupBy(*TRACK, "event_id", "event_type").agg(
+        F.sum(sign * after).alias("_co_out"), F.sum(sign * (F.col("_before") - F.col("_over"))).alias("_co_in"),
+        F.max(F.when(~whole, F.col("_before"))).alias("_place"))
+    d = d.join(last, TRACK).withColumn("same_track_edges", (F.col("_place") < F.col("_last")).cast("long"))
+    return d.select("video_id", "event_id", "event_type", "track_id", (F.col("_co_in") + (F.col("_place") > 0).cast("long")).alias("in_degree"),
+                    (F.col("_co_out") + F.col("same_track_edges")).alias("out_degree"), "same_track_edges", F.col("_co_out").alias("co_occurrence_edges")).withColumn(
+        "degree", F.col("in_degree") + F.col("out_degree"))
+
+
+def graph_metrics(events: DataFrame, gap_ms: float = 2000.0) -> DataFrame:
     """Nodes, edges by kind, isolated nodes and mean degree per video."""
-    v = degrees(events, edges).groupBy("video_id").agg(
+    return degrees(events, gap_ms).groupBy("video_id").agg(
         F.count(F.lit(1)).alias("nodes"), F.count(F.when(F.col("degree") == 0, 1)).alias("isolated_nodes"),
-        F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"))
-    e = edges.groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("edges"),
-        F.count(F.when(F.col("relationship") == "same_track_temporal", 1)).alias("same_track_edges"),
-        F.count(F.when(F.col("relationship") == "co_occurrence", 1)).alias("co_occurrence_edges"))
-    return v.join(e, "video_id", "left").fillna(0, ["edges", "same_track_edges", "co_occurrence_edges"])
+        F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"), F.sum("out_degree").alias("edges"),
+        F.sum("same_track_edges").alias("same_track_edges"), F.sum("co_occurrence_edges").alias("co_occurrence_edges"))
 
 
-def hub_events(events: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:
+def hub_events(events: DataFrame, top_n: int = 5, gap_ms: float = 2000.0) -> DataFrame:
     """The best connected events of each video."""
-    d = degrees(events, edges)
-    return first_n(d, ["video_id"], [F.desc("degree"), "event_id"], top_n, "hub_rank")
+    return first_n(degrees(events, gap_ms), ["video_id"], [F.desc("degree"), "event_id"], top_n, "hub_rank")
 
 
-def isolated_events(events: DataFrame, edges: DataFrame) -> DataFrame:
-    return degrees(events, edges).where(F.col("degree") == 0)
+def isolated_events(events: DataFrame, gap_ms: float = 2000.0) -> DataFrame:
+    return degrees(events, gap_ms).where(F.col("degree") == 0)
 
 
-def root_events(events: DataFrame, edges: DataFrame) -> DataFrame:
+def root_events(events: DataFrame, gap_ms: float = 2000.0) -> DataFrame:
     """Events no edge points at."""
-    targets = edges.select("video_id", F.col("target").alias("event_id")).distinct()
-    return events.join(targets, ["video_id", "event_id"], "left_anti")
+    return degrees(events, gap_ms).where(F.col("in_degree") == 0)
 
 
-def centrality(events: DataFrame, edges: DataFrame) -> DataFrame:
+def centrality(events: DataFrame, gap_ms: float = 2000.0) -> DataFrame:
     """Degree centrality: degree over the number of other events of the video."""
-    d = degrees(events, edges)
-    n = d.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
+    d = degrees(events, gap_ms)
+    n = events.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
     return d.join(n, "video_id").withColumn("centrality", F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")
 
 

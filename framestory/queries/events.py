@@ -261,29 +261,29 @@ def _(s):
  LEFT JOIN (SELECT video_id, count(*) AS edges, count(*) FILTER (WHERE relationship = 'same_track_temporal') AS same_track_edges,
   count(*) FILTER (WHERE relationship = 'co_occurrence') AS co_occurrence_edges FROM edges GROUP BY ALL) USING (video_id)""", "deg", "edges"))
 def _(s):
-    return out(graph.graph_metrics(s.semantic_events, graph.event_graph(s.semantic_events)),
+    return out(graph.graph_metrics(s.semantic_events),
                "video_id nodes isolated_nodes max_degree edges same_track_edges co_occurrence_edges", "mean_degree")
 
 
 @query("hub_events", sql("""SELECT video_id, event_id, degree, r AS hub_rank FROM (SELECT *, row_number() OVER (
  PARTITION BY video_id ORDER BY degree DESC, event_id) AS r FROM deg) WHERE r <= 5""", "deg"))
 def _(s):
-    return graph.hub_events(s.semantic_events, graph.event_graph(s.semantic_events)).select("video_id", "event_id", "degree", "hub_rank")
+    return graph.hub_events(s.semantic_events).select("video_id", "event_id", "degree", "hub_rank")
 
 
 @query("isolated_events", sql("SELECT video_id, event_id FROM deg WHERE degree = 0", "deg"))
 def _(s):
-    return graph.isolated_events(s.semantic_events, graph.event_graph(s.semantic_events)).select("video_id", "event_id")
+    return graph.isolated_events(s.semantic_events).select("video_id", "event_id")
 
 
 @query("root_events", sql("SELECT video_id, event_id, event_type FROM deg WHERE in_degree = 0", "deg"))
 def _(s):
-    return graph.root_events(s.semantic_events, graph.event_graph(s.semantic_events)).select("video_id", "event_id", "event_type")
+    return graph.root_events(s.semantic_events).select("video_id", "event_id", "event_type")
 
 
 @query("centrality", sql(f"SELECT video_id, event_id, {R('degree / (count(*) OVER (PARTITION BY video_id) - 1)', 6)} AS centrality FROM deg", "deg"))
 def _(s):
-    return out(graph.centrality(s.semantic_events, graph.event_graph(s.semantic_events)), "video_id event_id", "centrality")
+    return out(graph.centrality(s.semantic_events), "video_id event_id", "centrality")
 
 
 @query("track_subgraphs", sql("SELECT video_id, track_id, source, target, relationship FROM (SELECT e.*, a.track_id, b.track_id AS other FROM edges e JOIN sem a ON a.event_id = e.source JOIN sem b ON b.event_id = e.target) WHERE track_id = other", "edges", "sem"))
