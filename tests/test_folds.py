@@ -53,3 +53,33 @@ def test_lifecycle(inputs):
 def test_reid(inputs):
     t = inputs.track_embeddings
     same(identity.reid_assign(t, 0.45), identity.reid_assign(t, 0.45, block=45))
+
+
+def rounds_of(monkeypatch, build):
+    """Rows of a fold and how many rounds it took: one exchange in the first round, two in each further one."""
+    from framestory.plans import fold
+
+    calls = []
+    spread = fold._spread
+    monkeypatch.setattr(fold, "_spread", lambda *a: calls.append(1) or spread(*a))
+    got = build().collect()
+    return got, 1 + (len(calls) - 1) // 2
+
+
+def test_standing_box_settles_in_three_rounds(spark, monkeypatch):
+    from framestory.operators import tracking
+
+    d = spark.createDataFrame([(1, 5 * i, i, "person", 0.9, 0.1, 0.1, 0.2, 0.4) for i in range(320)],
+                              "video_id long, frame_number long, det_id long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got, rounds = rounds_of(monkeypatch, lambda: tracking.track_lifecycle(d, block=20))
+    assert rounds <= 3 and {r["track_key"] for r in got} == {0} and len(got) == 321
+
+
+def test_walking_person_settles_in_three_rounds(spark, monkeypatch):
+    from framestory.operators import posture
+
+    d = spark.createDataFrame([(1, 1, i, 5 * i, 200.0 * i, 0.5, 0.2, False, None, False) for i in range(320)],
+                              "video_id long, track_id long, seq long, frame_number long, timestamp_ms double, cy double, smoothed_velocity double, near_seat boolean, "
+                              "pose_label string, at_edge boolean")
+    got, rounds = rounds_of(monkeypatch, lambda: posture.activity_state_machine(d, block=20))
+    assert rounds <= 3 and sorted(r["event_type"] for r in got) == ["person_entered_scene", "person_left_scene"]

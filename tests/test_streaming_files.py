@@ -112,3 +112,35 @@ def test_idle_tracks_are_closed_by_event_time(spark):
     got = run.run_to_table(stream_fold(st, ["video_id", "track_id"], "seq", machine_stream_step(), posture.MACHINE_OUT, event_time="event_time", idle_ms=60_000)).toPandas()
     left = got[got["event_type"] == "person_left_scene"]
     assert set(left["track_id"]) >= {1} and (left[left["track_id"] == 1]["frame_number"] == 15).all()
+
+
+def test_frame_names_in_folders_and_foreign_names(spark):
+    names = [f"c1/frame_{n:08d}.jpg" for n in (100, 200)] + [f"c2/frame_{n:08d}.jpg" for n in (1, 2)] + ["c2/thumb.jpg"]
+    d = spark.createDataFrame([(1, n) for n in names] + [(2, f"x/frame_{n:04d}.jpg") for n in (1, 2, 900)] + [(3, "cover.png"), (3, "frame_0002.jpg")], "video_id long, frame_path string")
+    got = {(r["video_id"], r["frame_path"]): r["frame_number"] for r in files.frame_number_from_path(d).collect()}
+    assert [got[1, n] for n in names] == [495, 995, 0, 5, 5]  # names count frames; a foreign name takes its place, here the third
+    assert [got[2, f"x/frame_{n:04d}.jpg"] for n in (1, 2, 900)] == [1, 2, 900]
+    assert got[3, "frame_0002.jpg"] == 5 and got[3, "cover.png"] == 0
+
+
+def test_reprocessing_and_exporting_again(spark, tmp_path):
+    path, manifest = str(tmp_path / "ev"), str(tmp_path / "man")
+    d = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "video_id long, event_id long")
+    files.write_events(d, path)
+    files.reprocess_video(d.where("false"), path, 1)
+    assert sorted(map(tuple, files.read_events(spark, path).select("video_id", "event_id").collect())) == [(2, 20)]
+    files.reprocess_video(d.where("event_id = 11"), path, 1)
+    assert sorted(map(tuple, files.read_events(spark, path).select("video_id", "event_id").collect())) == [(1, 11), (2, 20)]
+    for _ in range(2):
+        files.export_manifest(manifest, d, d, d, d)
+    assert spark.read.json(manifest).count() == 12
+
+
+def test_odd_histograms_and_keypoints(spark):
+    from framestory.operators import posture, quality
+
+    d = spark.createDataFrame([(1, [1] * 256), (2, None), (3, [0] * 256), (4, [1, 2])], "frame_number long, luma_hist array<long>")
+    got = {r["frame_number"]: r["mean_luminance"] for r in quality.luma_stats(d).collect()}
+    assert got == {1: 127.5, 2: None, 3: None, 4: None}
+    poses = spark.createDataFrame([(1, [[0.5, 0.5, 0.9]] * 5), (2, None), (3, [])], "pose_id long, keypoints array<array<double>>")
+    assert posture.classify_pose(poses).count() == 3
