@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from framestory.functions.numbers import rounded
 from framestory.operators.activity import BASE, MIN_IOP, MIN_PERSISTENCE, STAIR_THRESHOLD, TAU
 from framestory.operators.story import is_action, is_entry, is_exit
-from framestory.plans.intervals import overlap_pairs
+from framestory.plans.intervals import overlap_counts
 from framestory.plans.sequence import grouped_median, index_rows, score_slot
+from framestory.session import cut_lineage
 
 TRACK = ["video_id", "track_id"]
 ORDER = ["start_ms", "end_ms", "event_type", "event_id"]
@@ -182,12 +183,14 @@ def temporal_quality(pred: DataFrame, truth: DataFrame, chains: DataFrame, width
     in time.  ``truth`` has truth_id, event_type, truth_start, truth_end;
     ``chains`` has video_id, chain_id, truth_id.
     """
-    m = overlap_pairs(pred.select("video_id", "event_type", "event_id", "start_ms", "end_ms"),
-                      truth.select("video_id", "event_type", "truth_id", "truth_start", "truth_end"), ["video_id", "event_type"],
-                      ("start_ms", "end_ms"), ("truth_start", "truth_end"), width)
-    hit_p = m.groupBy("video_id", "event_id").agg(F.lit(1).alias("_h")).groupBy("video_id").agg(F.count(F.lit(1)).alias("matched_pred"))
-    hit_ids = m.groupBy("video_id", "truth_id").agg(F.lit(1).alias("_h"))
-    hit_t = hit_ids.groupBy("video_id").agg(F.count(F.lit(1)).alias("matched_truth"))
+    at = ["video_id", "event_type"]
+    m = overlap_counts(pred.select(*at, F.col("event_id").alias("id"), "start_ms", "end_ms"),
+                       truth.select(*at, F.col("truth_id").alias("id"), F.col("truth_start").alias("start_ms"), F.col("truth_end").alias("end_ms")),
+                       at, "id", "start_ms", "end_ms", width)
+    m = cut_lineage(m.where(F.col("others") > 0).select("video_id", "side", "id"))
+    hit_p = m.where(F.col("side") == 0).groupBy("video_id").agg(F.count_distinct("id").alias("matched_pred"))
+    hit_ids = m.where(F.col("side") == 1).select("video_id", F.col("id").alias("truth_id"), F.lit(1).alias("_h"))
+    hit_t = hit_ids.groupBy("video_id").agg(F.count_distinct("truth_id").alias("matched_truth"))
     whole = (chains.join(hit_ids, ["video_id", "truth_id"], "left").groupBy("video_id", "chain_id").agg((F.count(F.lit(1)) == F.count("_h")).alias("_w"))
              .groupBy("video_id").agg(F.count(F.lit(1)).alias("chains"), F.count(F.when(F.col("_w"), 1)).alias("whole_chains")))
     n_p = pred.groupBy("video_id").agg(F.count(F.lit(1)).alias("predicted"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("_out"), F.max("end_ms").alias("_len"))

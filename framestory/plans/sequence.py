@@ -71,15 +71,20 @@ def over_blocks(df: DataFrame, keys: Sequence[str], exprs: Callable[[WindowSpec]
 def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, seq: str = "seq",
                 block: int = BLOCK_ROWS) -> DataFrame:
     """Inclusive running total of ``value`` per key in ``seq`` order."""
-    keys = list(keys)
-    d = df.withColumn("_blk", F.floor(F.col(seq) / block).cast("long")).withColumn("_v", value)
-    sums = d.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_s"))
+    return running_sums(df, keys, {name: value}, seq, block)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], values: dict[str, Column], seq: str = "seq", block: int = BLOCK_ROWS) -> DataFrame:
+    """Inclusive running totals of several values per key in ``seq`` order, by one window and one table of blocks."""
+    keys, names = list(keys), list(values)
+    d = df.withColumn("_blk", F.floor(F.col(seq) / block).cast("long")).withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
+    sums = d.groupBy(*keys, "_blk").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry"))
+    carry = sums.select(*keys, "_blk", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_c{i}") for i in range(len(names))])
     here = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_acc", F.sum("_v").over(here))
-    return d.join(carry, [*keys, "_blk"]).withColumn(name, F.col("_carry") + F.col("_acc")).drop(
-        "_blk", "_v", "_acc", "_carry")
+    d = d.withColumns({f"_a{i}": F.sum(f"_v{i}").over(here) for i in range(len(names))}).join(carry, [*keys, "_blk"])
+    d = d.withColumns({n: F.col(f"_c{i}") + F.col(f"_a{i}") for i, n in enumerate(names)})
+    return d.drop("_blk", *[f"_{k}{i}" for k in "vac" for i in range(len(names))])
 
 
 def fill_along(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slot: Column,
