@@ -130,10 +130,10 @@ def gallery_topk(tracks: DataFrame, queries: DataFrame, k: int = 5, key: str = "
     """
     part = lambda d: d.select(F.col(key).cast("long").alias("_id"), whole_numbers(F.col(embedding), scale).alias("_v")).where("_id IS NOT NULL AND _v IS NOT NULL AND size(_v) > 0")
     blocks, batches = gallery_blocks(part(tracks)), query_batches(part(queries))
-    spark = tracks.sparkSession
-    numbered = blocks.select("block_id", "high", "low").withColumn("_chunk", F.pmod(F.xxhash64("block_id"), F.lit(_chunks(blocks))))
+    n_chunks = max(1, -(-blocks.count() // CHUNK_BLOCKS))
+    numbered = blocks.select("block_id", "high", "low").withColumn("_chunk", F.pmod(F.xxhash64("block_id"), F.lit(n_chunks)))
     chunks = numbered.groupBy("_chunk").agg(F.collect_list(F.struct("block_id", "high", "low")).alias("blocks"))
-    spread = batches.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_chunks(blocks) - 1).cast("long"))))
+    spread = batches.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
     met = spread.join(chunks, "_chunk")
 
     def summaries(rows):
@@ -185,11 +185,6 @@ def gallery_topk(tracks: DataFrame, queries: DataFrame, k: int = 5, key: str = "
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("found").alias(key), "score")
 
 
-def _chunks(blocks: DataFrame) -> int:
-    """Number of chunks of about ``CHUNK_BLOCKS`` block summaries."""
-    return max(1, -(-blocks.count() // CHUNK_BLOCKS))
-
-
 def _score(wanted: DataFrame, batches: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Each wanted query's ``k`` best of a block, for rows ``(batch_id, block_id, wanted)``."""
     asked = wanted.join(batches, "batch_id").select("block_id", "batch_id", "wanted", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
