@@ -13,37 +13,53 @@ from framestory.llm.common import text_rows
 
 CACHED_WORDS = 150_000
 BYTES = 4
+#: A-Z in lower case, other bytes as they are.
+LOWER = bytes(range(256)).lower()
 
 
 class WordEncoder:
     """Ids (little-endian, 32 bit) of a text, word by word.
 
     The tokenizer cuts at blanks and drops them, so a text's ids are its words'
-    ids in a row.  Words are remembered in two generations of bounded size.
+    ids in a row.  It lowers case, so words are remembered with A-Z in lower case
+    (unless a text holds the mark of a special token, which is case-sensitive),
+    and it parts letters from marks, so a word with a full stop or comma behind a
+    letter is the word and the mark.  Words are kept in two generations of
+    bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        t = Tokenizer.from_file(path)
+        self.encode = getattr(t, "encode_batch_fast", t.encode_batch)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self.new) > CACHED_WORDS:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
+    def _learn(self, words: set[bytes]) -> None:
         missing = []
-        for w in set(words):
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
+        for w in words:
+            if w not in self.new:
+                if w in self.old:
+                    self.new[w] = self.old[w]
                 else:
                     missing.append(w)
-        if missing:
-            for w, e in zip(missing, self.encode(missing, add_special_tokens=False)):
-                new[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, e in zip(missing, self.encode([w.decode() for w in missing], add_special_tokens=False) if missing else []):
+            self.new[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        raw = text.encode("utf-8", "replace")
+        if b"<|" not in raw:
+            raw = raw.translate(LOWER)
+        words = raw.replace(b"\n", b" ").split(b" ")
+        if len(self.new) > CACHED_WORDS:
+            self.old, self.new = self.new, {}
+        whole = {w for w in set(words) if w not in self.new}
+        marked = {w for w in whole if w[-1:] in (b".", b",") and b"a" <= w[-2:-1] <= b"z"}
+        self._learn((whole - marked) | {w[:-1] for w in marked} | {w[-1:] for w in marked})
+        new = self.new
+        for w in marked:
+            new[w] = new[w[:-1]] + new[w[-1:]]
         return b"".join(map(new.__getitem__, words))
 
 
