@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framestory.llm.common import ranked, same, text_rows
+from framestory.llm.common import ranked, text_rows
 from framestory.plans.sequence import over_blocks
+from framestory.session import cut_lineage
 
 #: A paragraph longer than this is several leaves, so an edit inside it is located too.
 LEAF_CHARS = 64
@@ -34,12 +35,15 @@ def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     return df.withColumn(f"{prefix}root", _hash(sections))
 
 
-def likeness(a_root: Column, a_parts: Column, b_root: Column, b_parts: Column) -> Column:
+def leaf_marks(parts: Column) -> Column:
+    """The distinct leaves of a tree as 64-bit numbers, an eighth of their hashes' length."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(parts)), lambda h: F.xxhash64(h)))
+
+
+def likeness(a_root: Column, a_marks: Column, b_root: Column, b_marks: Column) -> Column:
     """1 if the roots agree, else twice the shared distinct leaves over both trees' distinct leaves."""
-    leaves = lambda parts: F.array_distinct(F.flatten(F.flatten(parts)))
-    x, y = leaves(a_parts), leaves(b_parts)
-    both = F.size(x) + F.size(y)
-    shared = 2 * F.size(F.array_intersect(x, y)) / F.greatest(both, F.lit(1))
+    both = F.size(a_marks) + F.size(b_marks)
+    shared = 2 * F.size(F.array_intersect(a_marks, b_marks)) / F.greatest(both, F.lit(1))
     return F.when(a_root == b_root, F.lit(1.0)).otherwise(F.least(shared, F.lit(1.0)))
 
 
@@ -61,8 +65,6 @@ def neighbours(briefs: DataFrame) -> DataFrame:
     order = [F.col("_id").asc_nulls_first(), F.col("_h")]
     seq = ranked(briefs.select("_id", "_h", "_n").distinct(), order)
     near = over_blocks(seq, [], lambda w: {"_prev": F.lag(F.struct("_id", "_h", "_n")).over(w)}, back=1)
-    from framestory.session import cut_lineage
-
     near = cut_lineage(near)
     last = near.orderBy(F.col("seq").desc()).limit(1).select(F.struct("_id", "_h", "_n").alias("_end"))
     first = near.where("seq = 0").join(last.withColumn("_zero", F.lit(0)), F.col("seq") == F.col("_zero")).withColumn("_prev", F.col("_end"))
@@ -86,21 +88,23 @@ def fingerprint_briefs(briefs: DataFrame, key: str = "video_id", text: str = "br
     briefs, ordered by hash.  A single brief is its own next.  Other columns
     don't pass; an empty table gives an empty result.
     """
-    d = text_rows(briefs, key, text).withColumns({"_h": F.xxhash64("_text"), "_n": F.length("_text")})
-    links = neighbours(d)
-    once = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    d = d.withColumn("_again", F.lag(F.lit(1)).over(once)).where("_again IS NULL").drop("_again")
-    m = links.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_prev_id", "_prev_h", "_prev_n")
-    d = d.join(m, same(d, m, [("_id", "_i"), ("_h", "_g")])).drop("_i", "_g")
-    nxt = d.withColumn("_head", F.expr("substring(_text, 1, _prev_n DIV 4)"))
-    nxt = with_tree(nxt, "_text", "next_").select(F.col("_prev_id").alias("_i"), F.col("_prev_h").alias("_g"), "_head", "next_root", "next_parts")
-    own = d.select("_id", "_h", "_text", "_n")
-    both = own.join(nxt, same(own, nxt, [("_id", "_i"), ("_h", "_g")]))
+    d = text_rows(briefs, key, text).withColumn("_h", F.xxhash64("_text"))
+    links = neighbours(d.withColumn("_n", F.length("_text")))
+    name = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_i"), F.col(c).isNull().alias("_z")]
+    own = ["_i", "_z", "_h"]  # never null, so one exchange of the texts serves the window and both joins
+    d = d.select("*", *name("_id"))
+    d = d.withColumn("_again", F.lag(F.lit(1)).over(Window.partitionBy(*own).orderBy("_id"))).where("_again IS NULL").drop("_again")
+    m = links.select(*name("_id"), "_h", *[c.alias(a) for c, a in zip(name("_prev_id"), ("_pi", "_pz"))], "_prev_h", "_prev_n")
+    nxt = d.join(m, own).select(F.col("_pi").alias("_i"), F.col("_pz").alias("_z"), F.col("_prev_h").alias("_h"), "_text",
+                                F.expr("substring(_text, 1, _prev_n DIV 4)").alias("_head"))
+    nxt = with_tree(nxt, "_text", "next_").select(*own, "_head", "next_root", leaf_marks(F.col("next_parts")).alias("next_marks"))
+    both = d.join(nxt, own).withColumn("_n", F.length("_text"))
     both = both.withColumn("_edited", F.expr("concat(substring(_text, 1, _n - _n DIV 4), _head)"))
     both = with_tree(with_tree(both, "_text", "own_"), "_edited", "new_")
-    own_tree, new_tree, next_tree = [(F.col(f"{p}_root"), F.col(f"{p}_parts")) for p in ("own", "new", "next")]
+    both = both.withColumns({"own_marks": leaf_marks(F.col("own_parts")), "new_marks": leaf_marks(F.col("new_parts"))})
+    own_tree, new_tree, next_tree = [(F.col(f"{p}_root"), F.col(f"{p}_marks")) for p in ("own", "new", "next")]
     return both.select(
         F.col("_id").alias(key), F.col("_n").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
         F.col("own_root").alias("fingerprint"), F.col("new_root").alias("edited_fingerprint"),
         likeness(*own_tree, *new_tree).alias("near_edited"), likeness(*own_tree, *next_tree).alias("near_next"),
-        first_difference(own_tree[1], new_tree[1]).alias("edited_at"))
+        first_difference(F.col("own_parts"), F.col("new_parts")).alias("edited_at"))
