@@ -108,27 +108,30 @@ def _forest(raw: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def _block_pairs(lists: DataFrame) -> DataFrame:
+    """Lists of over ``LIST_RUN`` members cut into blocks of half of that by hash, each pair of blocks a list of its own."""
+    size = lists.groupBy(F.col("posting").alias("_p")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > LIST_RUN)
+    size = size.select("_p", F.ceil(2 * F.col("_m") / LIST_RUN).alias("_n"))
+    d = lists.join(size, F.col("posting") == F.col("_p"), "left").withColumn("_b", F.pmod(F.xxhash64("fingerprint"), F.col("_n")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda c: F.xxhash64("posting", F.least("_b", c), F.greatest("_b", c)))
+    return d.select(F.explode(F.coalesce(pairs, F.array("posting"))).alias("posting"), "fingerprint")
+
+
 def near_links(distinct: DataFrame, bits: int, max_bits: int) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, enough to connect all near pairs of each posting list.
 
     A posting list holds the fingerprints that share the guaranteed number of
     positional bytes, so the count filter is met by being on one; members are
     verified by their differing bits.  With full sets a list has at most
-    256^max_bits members, whatever the input.  Lists stream by in sorted order;
-    a list of partial sets is taken in runs that overlap by half.
+    256^max_bits members, whatever the input.  A longer list of partial sets is
+    dealt to groups that hold two of its blocks each, so every pair is compared.
     """
     sets = position_sets(bits, max_bits)
     exact = bits // 8 - max_bits >= 4
-    cap = 256 ** max_bits if exact else LIST_RUN
 
     def run(frames):
         held_k, held_f = np.zeros(0, np.int64), np.zeros((0, bits // 8), np.uint8)
 
-        def links(lo, hi, keys, raw):
-            part = np.ascontiguousarray(raw[lo:hi])
-            found = _forest(part, max_bits)
-            return [(part[i].tobytes(), part[j].tobytes()) for i, j in found]
-
         def drain(keys, raw, final):
             cuts = np.flatnonzero(np.diff(keys)) + 1
             starts, stops = np.r_[0, cuts], np.r_[cuts, len(keys)]
@@ -136,13 +139,10 @@ def near_links(distinct: DataFrame, bits: int, max_bits: int) -> DataFrame:
             rows = []
             for lo, hi in zip(starts[:whole], stops[:whole]):
                 if hi - lo > 1:
-                    rows += links(lo, hi, keys, raw)
+                    part = np.ascontiguousarray(raw[lo:hi])
+                    rows += [(part[i].tobytes(), part[j].tobytes()) for i, j in _forest(part, max_bits)]
             keep = len(keys) if final else starts[-1]
-            keys, raw = keys[keep:], raw[keep:]
-            while len(keys) > cap:
-                rows += links(0, cap, keys, raw)
-                keys, raw = keys[cap // 2:], raw[cap // 2:]
-            return rows, keys, raw
+            return rows, keys[keep:], raw[keep:]
 
         for pdf in frames:
             if not len(pdf):
@@ -157,7 +157,10 @@ def near_links(distinct: DataFrame, bits: int, max_bits: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["a", "b"])
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = posting_lists(distinct, sets).repartition(n, "posting").sortWithinPartitions("posting", "fingerprint")
+    lists = posting_lists(distinct, sets)
+    if not exact:
+        lists = _block_pairs(lists)
+    lists = lists.repartition(n, "posting").sortWithinPartitions("posting", "fingerprint")
     return lists.mapInPandas(run, "a binary, b binary").distinct()
 
 
