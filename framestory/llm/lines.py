@@ -9,8 +9,8 @@ from framestory.llm.common import same, text_rows
 from framestory.llm.graph import components
 from framestory.session import cut_lineage
 
-#: One edit, so a line has two segments.  Shorter lines are never compared: they are no repetition worth removing.
-EDITS, MIN_CHARS = 1, 24
+#: One edit, so a line has two segments, and shorter lines than two characters have an empty one: they link where equal.
+EDITS, MIN_CHARS = 1, 2
 SHORT_LIST = 64
 UID = ["_h1", "_h2"]
 
@@ -136,17 +136,18 @@ def line_classes(logs: DataFrame, key: str = "job_id", text: str = "log", min_ch
     class's first place by key and line) and ``kept``, true at that place.
 
     Null text is empty, and an empty text is one empty line.  Lines of fewer than
-    ``min_chars`` characters are always kept and are classes of their own.  Null
+    ``min_chars`` characters are linked only where they are equal; empty lines
+    are always kept and are classes of their own.  Null
     keys come first and are kept as keys; rows repeated under one key stand at
     the same place and are kept or dropped together; other columns don't pass;
     an empty table gives an empty result.
     """
     lines = _hashed(log_lines(logs, key, text))
-    long = lines.where(F.col("_len") >= min_chars)
+    some = lines.where("_len > 0")
     once = ["_len", "_i1", "_i2", "_p1", "_p2"]
-    distinct = cut_lineage(long.groupBy(*UID).agg(
+    distinct = cut_lineage(some.groupBy(*UID).agg(
         F.min(F.struct("_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("_places"), *[F.first(c).alias(c) for c in once]))
-    roots = components(line_links(logs, distinct, key, text))
+    roots = components(line_links(logs, distinct.where(F.col("_len") >= min_chars), key, text))
     d = distinct.withColumn("_u", _uid())
     named = cut_lineage(d.join(roots, d["_u"] == roots["node"]).select(*UID, "first", "root"))
     heads = named.groupBy("root").agg(F.min("first").alias("_head"))
@@ -157,7 +158,7 @@ def line_classes(logs: DataFrame, key: str = "job_id", text: str = "log", min_ch
         F.col("_n1").alias("_c1"), F.col("_n2").alias("_c2"), F.col("_head").alias("_class"))
     classes = classes.unionByName(single)
     o = lines.select("_id", "line_no", "_len", *UID)
-    o = o.join(classes, (F.col("_h1") == F.col("_c1")) & (F.col("_h2") == F.col("_c2")) & (F.col("_len") >= min_chars), "left")
+    o = o.join(classes, (F.col("_h1") == F.col("_c1")) & (F.col("_h2") == F.col("_c2")) & (F.col("_len") > 0), "left")
     own = F.struct("_id", "line_no")
     return o.withColumn("_class", F.coalesce("_class", own)).select(
         F.col("_id").alias(key), "line_no", F.col("_len").alias("n_chars"), F.col("_class._id").alias("class_key"),
