@@ -16,8 +16,11 @@ UID = ["_h1", "_h2"]
 
 
 def log_lines(logs: DataFrame, key: str = "job_id", text: str = "log") -> DataFrame:
-    """``(_id, line_no, _line)`` for every line of every whole text, from 0."""
-    return text_rows(logs, key, text).select("_id", F.posexplode(F.split("_text", "\n", -1)).alias("line_no", "_line"))
+    """``(_id, _t, line_no, _line)`` for every line of every whole text, from 0.
+
+    ``_t`` is a hash of the text: rows that share a key are told by it.
+    """
+    return text_rows(logs, key, text).select("_id", F.xxhash64("_text").alias("_t"), F.posexplode(F.split("_text", "\n", -1)).alias("line_no", "_line"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -51,11 +54,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _texts(logs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``(first, _line)`` for the wanted places; only texts that hold one are cut into lines."""
-    at = wanted.select("first").distinct().groupBy(F.col("first._id").alias("_w")).agg(F.collect_list("first.line_no").alias("_at"))
-    d = text_rows(logs, key, text)
-    held = d.join(at, same(d, at, [("_id", "_w")])).select("_id", "_at", F.split("_text", "\n", -1).alias("_lines"))
-    picked = held.select("_id", "_lines", F.explode("_at").alias("line_no")).select(
-        F.struct("_id", "line_no").alias("first"), F.get("_lines", F.col("line_no")).alias("_line"))
+    at = wanted.select("first").distinct().groupBy(F.col("first._id").alias("_w"), F.col("first._t").alias("_wt")).agg(F.collect_list("first.line_no").alias("_at"))
+    d = text_rows(logs, key, text).withColumn("_t", F.xxhash64("_text"))
+    held = d.join(at, same(d, at, [("_id", "_w")]) & (F.col("_t") == F.col("_wt"))).select("_id", "_t", "_at", F.split("_text", "\n", -1).alias("_lines"))
+    picked = held.select("_id", "_t", "_lines", F.explode("_at").alias("line_no")).select(
+        F.struct("_id", "_t", "line_no").alias("first"), F.get("_lines", F.col("line_no")).alias("_line"))
     return picked.where("_line IS NOT NULL").dropDuplicates(["first"])
 
 
@@ -127,26 +130,13 @@ def line_links(logs: DataFrame, distinct: DataFrame, key: str, text: str) -> Dat
     return empty if known is None else known
 
 
-def line_classes(logs: DataFrame, key: str = "job_id", text: str = "log", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Classes of equal and nearly equal log lines; one row per line.
-
-    Lines are linked where one edit (a character inserted, deleted or replaced)
-    or none makes them equal; a class is what links connect.  Returns ``key``,
-    ``line_no`` (from 0), ``n_chars``, ``class_key`` and ``class_line`` (the
-    class's first place by key and line) and ``kept``, true at that place.
-
-    Null text is empty, and an empty text is one empty line.  Lines of fewer than
-    ``min_chars`` characters are linked only where they are equal; empty lines
-    are always kept and are classes of their own.  Null
-    keys come first and are kept as keys; rows repeated under one key stand at
-    the same place and are kept or dropped together; other columns don't pass;
-    an empty table gives an empty result.
-    """
+def _line_places(logs: DataFrame, key: str = "job_id", text: str = "log", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``line_classes`` with ``_fs_text``, the hash of the row's text."""
     lines = _hashed(log_lines(logs, key, text))
     some = lines.where("_len > 0")
     once = ["_len", "_i1", "_i2", "_p1", "_p2"]
     distinct = cut_lineage(some.groupBy(*UID).agg(
-        F.min(F.struct("_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("_places"), *[F.first(c).alias(c) for c in once]))
+        F.min(F.struct("_id", "_t", "line_no")).alias("first"), F.count(F.lit(1)).alias("_places"), *[F.first(c).alias(c) for c in once]))
     roots = components(line_links(logs, distinct.where(F.col("_len") >= min_chars), key, text))
     d = distinct.withColumn("_u", _uid())
     named = cut_lineage(d.join(roots, d["_u"] == roots["node"]).select(*UID, "first", "root"))
@@ -157,14 +147,33 @@ def line_classes(logs: DataFrame, key: str = "job_id", text: str = "log", min_ch
     single = linked.join(distinct.where("_places = 1").select(*UID), (F.col("_h1") == F.col("_n1")) & (F.col("_h2") == F.col("_n2"))).select(
         F.col("_n1").alias("_c1"), F.col("_n2").alias("_c2"), F.col("_head").alias("_class"))
     classes = classes.unionByName(single)
-    o = lines.select("_id", "line_no", "_len", *UID)
+    o = lines.select("_id", "_t", "line_no", "_len", *UID)
     o = o.join(classes, (F.col("_h1") == F.col("_c1")) & (F.col("_h2") == F.col("_c2")) & (F.col("_len") > 0), "left")
-    own = F.struct("_id", "line_no")
+    own = F.struct("_id", "_t", "line_no")
     return o.withColumn("_class", F.coalesce("_class", own)).select(
-        F.col("_id").alias(key), "line_no", F.col("_len").alias("n_chars"), F.col("_class._id").alias("class_key"),
+        F.col("_id").alias(key), F.col("_t").alias("_fs_text"), "line_no", F.col("_len").alias("n_chars"), F.col("_class._id").alias("class_key"),
         F.col("_class.line_no").alias("class_line"), F.col("_class").eqNullSafe(own).alias("kept"))
 
 
+def line_classes(logs: DataFrame, key: str = "job_id", text: str = "log", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Classes of equal and nearly equal log lines; one row per line.
+
+    Lines are linked where one edit (a character inserted, deleted or replaced)
+    or none makes them equal; a class is what links connect.  Returns ``key``,
+    ``line_no`` (from 0), ``n_chars``, ``class_key`` and ``class_line`` (the
+    class's first place by key, text's hash and line) and ``kept``, true at that place.
+
+    Null text is empty, and an empty text is one empty line.  Lines of fewer than
+    ``min_chars`` characters are linked only where they are equal; empty lines
+    are always kept and are classes of their own.  Null
+    keys come first and are kept as keys; rows with one key and different
+    texts have places of their own, equal rows stand at the same place and are kept
+    or dropped together; other columns don't pass; an empty table gives an empty
+    result.
+    """
+    return _line_places(logs, key, text, min_chars).drop("_fs_text")
+
+
 def dedup_lines(logs: DataFrame, key: str = "job_id", text: str = "log", min_chars: int = MIN_CHARS) -> DataFrame:
     """``logs`` with every line removed that has an equal or nearly equal one at an earlier place.
 
@@ -172,9 +181,10 @@ def dedup_lines(logs: DataFrame, key: str = "job_id", text: str = "log", min_cha
     whose every line stands elsewhere is a copy and goes; one whose text was null or
     empty stays as it is.
     """
-    dropped = (line_classes(logs, key, text, min_chars).where("NOT kept").groupBy(F.col(key).alias("_fs_key"))
+    dropped = (_line_places(logs, key, text, min_chars).where("NOT kept").groupBy(F.col(key).alias("_fs_key"), "_fs_text")
                .agg(F.collect_set("line_no").alias("_fs_drop")))
-    d = logs.join(dropped, logs[key].eqNullSafe(dropped["_fs_key"]), "left")
+    here = F.xxhash64(F.coalesce(logs[text].cast("string"), F.lit("")))
+    d = logs.join(dropped, logs[key].eqNullSafe(dropped["_fs_key"]) & (here == dropped["_fs_text"]), "left")
     d = d.withColumn("_fs_lines", F.when(F.col("_fs_drop").isNotNull(), F.split(text, "\n", -1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_fs_lines") - 1), "_fs_drop")
     d = d.withColumn("_fs_keep", F.when(F.col("_fs_drop").isNotNull(), kept)).where("_fs_keep IS NULL OR size(_fs_keep) > 0")
