@@ -56,12 +56,14 @@ def fit_language(notes: DataFrame, text: str = "notes", lang: str = "lang", key:
 
     The kernel of two texts is the number of n-grams present in both over the
     geometric mean of the numbers present.  Landmarks are taken in turn over
-    the languages.  Rows without language or without any letter are left out.
+    the languages.  Rows without language or without any letter are left out; of
+    several rows per key and language the one with the smallest text hash counts.
     """
     d = notes.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    d = d.where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64(F.col("_id").cast("string")))
-    few = first_n(d.select("_lang", "_h", "_id"), ["_lang"], ["_h", "_id"], max_per_lang, "_n").orderBy("_n", "_h").limit(max_rows)
-    few = few.select(F.col("_lang").alias("_l"), F.col("_id").alias("_i"), "_n")
+    d = d.where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).withColumns({"_h": F.xxhash64(F.col("_id").cast("string")), "_th": F.xxhash64("_text")})
+    keys = d.groupBy("_lang", "_h", "_id").agg(F.min("_th").alias("_th"))
+    few = first_n(keys, ["_lang"], ["_h", "_id"], max_per_lang, "_n").orderBy("_n", "_h").limit(max_rows)
+    few = few.select(F.col("_lang").alias("_l"), F.col("_id").alias("_i"), F.col("_th").alias("_t"), "_n")
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -72,7 +74,8 @@ def fit_language(notes: DataFrame, text: str = "notes", lang: str = "lang", key:
                 bits.append(np.packbits(x).tobytes())
             yield pd.DataFrame({"n": pdf["_n"], "lang": pdf["_lang"], "bits": bits})
 
-    picked = d.join(F.broadcast(few), (d["_id"] == few["_i"]) & (d["_lang"] == few["_l"])).select("_n", "_lang", "_text")
+    picked = d.join(F.broadcast(few), (d["_id"] == few["_i"]) & (d["_lang"] == few["_l"]) & (d["_th"] == few["_t"]))
+    picked = picked.groupBy("_lang", "_id").agg(F.first("_n").alias("_n"), F.first("_text").alias("_text"))
     rows = sorted(picked.mapInPandas(packed, "n long, lang string, bits binary").collect())
     langs = sorted({r["lang"] for r in rows})
     if not rows:

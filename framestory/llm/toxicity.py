@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framestory.llm.common import strings
+from framestory.session import cut_lineage
 
 MAX_ROWS, MAX_WORDS, LEAST_TEXTS, FOLDS, PENALTY, THRESHOLD = 16_000, 256, 3, 5, 0.3, 0.35
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -60,7 +61,8 @@ def fit_chain(notes: DataFrame, labels: DataFrame, categories: list[str], key: s
     """Fits the chain on a bounded sample: the first ``max_rows`` labelled keys by hash.
 
     Labels are 0 or 1 per category; rows with a null among them are left out; of
-    several rows per key the largest label counts.  Words are chosen among those
+    several rows per key the largest label counts, and of several texts the one
+    with the smallest hash.  Words are chosen among those
     in three texts or more by how far their texts' labels are from the average.
     Later categories are trained with the earlier ones' out-of-fold
     probabilities over five folds by hash.  No usable labels: a chain that says 0.
@@ -70,6 +72,8 @@ def fit_chain(notes: DataFrame, labels: DataFrame, categories: list[str], key: s
     sample = clean.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_rows)  # a bound of the fit, see above
     texts = notes.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     rows = texts.join(F.broadcast(sample), F.col("_k") == F.col("_id"))
+    rows = rows.groupBy("_id", *[f"_y{i}" for i in range(len(categories))]).agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
+    rows = cut_lineage(rows)  # max_rows rows at most
     rows = rows.select("_id", *[f"_y{i}" for i in range(len(categories))], note_words(F.col("_t")).alias("_w"), "_t")
     n_all = F.count(F.lit(1))
     totals = rows.agg(n_all.alias("n"), *[F.sum(f"_y{i}").alias(f"_y{i}") for i in range(len(categories))]).first()
