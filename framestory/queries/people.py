@@ -222,7 +222,7 @@ def _(s):
 
 @query("consolidate_gallery")
 def _(s):
-    d = s.track_embeddings.join(assigned_of(s).select("video_id", "track_id", "person_label"), ["video_id", "track_id"]).where("track_id % 13 <> 0")
+    d = s.track_embeddings.join(assigned_of(s).select("video_id", "track_id", "person_label"), ["video_id", "track_id"])
     gal = identity.mean_gallery(d, "person_label", 64).withColumn("person_no", F.regexp_extract("person_label", "([0-9]+)", 1).cast("long"))
     return identity.consolidate_gallery(gal, 0.30)
 

@@ -328,3 +328,11 @@ def test_binary_metrics_totals(spark):
     rows = [("a", True, True), ("a", False, True), ("b", True, False), ("b", False, False)]
     got = {x.label: (x.tp, x.fp, x.tn, x.fn) for x in evaluation.binary_metrics(spark.createDataFrame(rows, "label string, truth boolean, fired boolean")).collect()}
     assert got["*"] == (1, 1, 1, 1) and got["a"] == (1, 1, 0, 0)
+
+
+def test_consolidated_gallery_names_every_person(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    named = {(r["video_id"], r["person_label"]) for r in entry.queries()["reid_assign"](spark, sf).collect()}
+    assert {(r["video_id"], r["person_label"]) for r in entry.queries()["consolidate_gallery"](spark, sf).collect()} == named
