@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framestory.llm import credentials, gallery, language, licenses, lines, merkle, mixing, packing, simhash, tokens, toxicity
+from framestory.llm import credentials, gallery, language, licenses, lines, merkle, mixing, packing, simhash, tokens, toxicity, trie, whitening
+from framestory.llm.common import ranked
 from framestory.sources.fixtures import Inputs
 
 #: Fixed value: a run of anything but blanks and the control characters 9 to 13.
@@ -79,6 +80,31 @@ def op10_packing(t: Inputs) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("reel_id").alias("sequence_id"), "offset")
 
 
+def rebuilt_turns(conversations: DataFrame) -> DataFrame:
+    """Turns of every conversation c, the first h of them taken from conversation c - c % 100; ``place`` keeps their order."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    c = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", text("role"), text("text"))
+    c = ranked(c, [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")])
+    first = c.groupBy(F.col("conv_id").alias("_c")).agg(F.min("seq").alias("_from")).withColumn("_h", F.crc32(F.col("_c").cast("string")) % 6)
+    d = c.join(first, F.col("conv_id") == F.col("_c")).withColumn("place", F.col("seq") - F.col("_from"))
+    own = d.where("place >= _h").select("conv_id", "place", "role", "text")
+    heads = d.where("place < 5").select(F.col("conv_id").alias("_base"), "place", "role", "text")
+    taken = first.where("_h > 0").select("_c", "_h", (F.col("_c") - F.col("_c") % 100).alias("_b"))
+    taken = taken.join(heads, (F.col("_b") == F.col("_base")) & (F.col("place") < F.col("_h")))
+    return own.unionByName(taken.select(F.col("_c").alias("conv_id"), "place", "role", "text"))
+
+
+def op12_prefix_trie(t: Inputs) -> DataFrame:
+    c = t.table("conversations")
+    m = trie.story_trie(rebuilt_turns(c), c, key="conv_id", place="place", kind="role", detail="text")
+    return m.select("conv_id", F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("n_segments").alias("n_convs"), "n_children",
+                    "n_leaves", F.col("saved_chars").alias("saved_tokens"), "ends_sha256")
+
+
+def op13_whitening(t: Inputs) -> DataFrame:
+    return whitening.whiten_tracks(t.table("embeddings"), 8, key="vec_id", embedding="embedding")
+
+
 def _quoted(s: str) -> str:
     return s.replace("'", "''")
 
@@ -151,6 +177,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
+#: crc32 of a decimal number, byte by byte and bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda b, y: xor(b >> 1, 3988292384::BIGINT * (b & 1)))))"""
+
+TRIE_SQL = f"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+  coalesce(role, '') AS a, coalesce(text, '') AS b FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, {_CRC_SQL.format('c')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, a, b FROM (
+  SELECT v.c, t.pos, t.a, t.b FROM v JOIN t ON t.c = v.c - v.c % 100 AND t.pos < v.h UNION ALL SELECT v.c, t.pos, t.a, t.b FROM v JOIN t USING (c) WHERE t.pos >= v.h)),
+n(c, d, node, par, len) AS (
+  SELECT c, 0::BIGINT, min(c) OVER (), NULL::BIGINT, 0::BIGINT FROM v
+  UNION ALL SELECT r.c, r.d, min(r.c) OVER (PARTITION BY n.node, r.a, r.b), n.node, length(r.b) FROM n JOIN r ON r.c = n.c AND r.d = n.d + 1),
+g AS (SELECT d, node, min(par) AS par, count(*) AS k, min(len) AS len FROM n GROUP BY d, node),
+ch AS (SELECT d - 1 AS d, par AS node, count(*) AS k FROM g WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT n.d, n.node, sum((g.k - 1) * g.len) AS saved, count(*) FILTER (ch.k IS NULL) AS leaves
+  FROM g LEFT JOIN ch USING (d, node) JOIN n ON n.c = g.node AND n.d <= g.d GROUP BY ALL),
+e AS (SELECT d, node, string_agg(CAST(n.c AS VARCHAR), ',' ORDER BY n.c) AS ids FROM n JOIN (SELECT c, max(d) AS d FROM n GROUP BY c) m USING (c, d) GROUP BY ALL)
+SELECT g.node AS conv_id, g.d AS depth, g.par AS parent_conv_id, g.k AS n_convs, coalesce(ch.k, 0) AS n_children, sub.leaves AS n_leaves,
+  CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM g LEFT JOIN ch USING (d, node) JOIN sub USING (d, node) LEFT JOIN e USING (d, node)"""
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_mix_sources, op4_fingerprints, op5_topk, op6_toxicity,
-                                   op7_simhash, op8_line_dedup, op9_language, op10_packing)}
-ORACLES = {"op1_secret_scan": _secret_sql(), "op2_license_scan": _license_sql(), "op4_fingerprints": _merkle_sql(), "op5_topk": TOPK_SQL}
+                                   op7_simhash, op8_line_dedup, op9_language, op10_packing, op12_prefix_trie, op13_whitening)}
+ORACLES = {"op1_secret_scan": _secret_sql(), "op2_license_scan": _license_sql(), "op4_fingerprints": _merkle_sql(), "op5_topk": TOPK_SQL,
+           "op12_prefix_trie": TRIE_SQL}
