@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framestory.llm import credentials, gallery, language, licenses, lines, merkle, mixing, packing, simhash, tokens, toxicity, trie, whitening
+from framestory.llm import credentials, gallery, language, licenses, lines, merkle, mixing, packing, pigeonhole, simhash, tokens, toxicity, trie, whitening
 from framestory.llm.common import ranked
 from framestory.sources.fixtures import Inputs
 
@@ -80,6 +80,11 @@ def op10_packing(t: Inputs) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("reel_id").alias("sequence_id"), "offset")
 
 
+def op11_jaccard_join(t: Inputs) -> DataFrame:
+    m = pigeonhole.similar_briefs(t.table("documents"), key="doc_id", text="text", words=3, percent=90)
+    return m.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def rebuilt_turns(conversations: DataFrame) -> DataFrame:
     """Turns of every conversation c, the first h of them taken from conversation c - c % 100; ``place`` keeps their order."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -199,7 +204,22 @@ SELECT g.node AS conv_id, g.d AS depth, g.par AS parent_conv_id, g.k AS n_convs,
   CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM g LEFT JOIN ch USING (d, node) JOIN sub USING (d, node) LEFT JOIN e USING (d, node)"""
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) END AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN 'doc ' || doc_id ELSE sha256(array_to_string(s, chr(10))) END AS v, s FROM s),
+u AS (SELECT v, min(doc_id) AS least, any_value(n) AS n, any_value(s) AS s FROM k GROUP BY v),
+g AS (SELECT v, n, hash(unnest(s)) AS g FROM u),
+p AS (SELECT a.v AS a, b.v AS b FROM g a JOIN g b ON a.g = b.g AND a.v < b.v AND 90 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+  GROUP BY a.v, b.v HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c(v, r) AS (SELECT a, a FROM l UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.v),
+m AS (SELECT c.v, min(u.least) AS least FROM c JOIN u ON u.v = c.r GROUP BY c.v)
+SELECT doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(m.least, u.least) AS component_id FROM k JOIN u USING (v) LEFT JOIN m USING (v)"""
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_mix_sources, op4_fingerprints, op5_topk, op6_toxicity,
-                                   op7_simhash, op8_line_dedup, op9_language, op10_packing, op12_prefix_trie, op13_whitening)}
+                                   op7_simhash, op8_line_dedup, op9_language, op10_packing, op11_jaccard_join, op12_prefix_trie, op13_whitening)}
 ORACLES = {"op1_secret_scan": _secret_sql(), "op2_license_scan": _license_sql(), "op4_fingerprints": _merkle_sql(), "op5_topk": TOPK_SQL,
-           "op12_prefix_trie": TRIE_SQL}
+           "op11_jaccard_join": JACCARD_SQL, "op12_prefix_trie": TRIE_SQL}

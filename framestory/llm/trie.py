@@ -14,7 +14,7 @@ from framestory.llm.common import ranked
 from framestory.session import cut_lineage
 
 #: A prefix with more distinct continuations than this is shared by shards; a shard's task holds about so many events.
-PREFIX_PATHS, SHARD_EVENTS = 2_000, 100_000
+PREFIX_PATHS, SHARD_EVENTS = 2_000, 20_000
 RUN_EVENTS = 10_000
 FIT_TRIES = 64
 BLOB_IDS = 4_096
