@@ -12,7 +12,7 @@ from framestory import fixed
 from framestory.functions import geometry as g
 from framestory.functions.numbers import rounded
 from framestory.operators.scenes import spaced_step
-from framestory.plans.fold import FOLD_BLOCK_ROWS, ordered_fold
+from framestory.plans.fold import FOLD_BLOCK_ROWS, Machine, ordered_fold, passed_tokens
 from framestory.plans.nearest import nearest
 from framestory.plans.sequence import BLOCK_ROWS, grouped_median, index_rows, over_blocks, running_sum
 from framestory.session import cut_lineage
@@ -26,34 +26,50 @@ POSTURE_OUT = T.StructType([
     T.StructField("sitting_ms", T.DoubleType())])
 
 
-def posture_step(drop: float, run: int = 2, recover: float = 0.80):
-    """Two-row hysteresis between standing and sitting; state is [sitting, sat down at, run start, run length]."""
-    def step(state, rows, last):
-        sitting, since, start, n = state or [False, None, None, 0]
-        out = []
-        for f, ms, ar, base in zip(rows["frame_number"], rows["timestamp_ms"], rows["aspect"], rows["baseline"]):
-            f, ms = int(f), float(ms)
-            moving = ar >= base * recover if sitting else ar < base * drop
-            if not moving:
-                start, n = None, 0
-                continue
-            if n == 0:
-                start = [f, ms]
-            n += 1
-            if n < run:
-                continue
+HELD = "held"  # stands for a value of the entry state in a block map
+
+
+def posture_machine(drop: float, run: int = 2, recover: float = 0.80) -> Machine:
+    """Two-row hysteresis between standing and sitting; state is [sitting, sat down at, run start, run length].
+
+    Only the first and last part decide what happens next, so a block map has an
+    exit for each of their values; the times are passed on or replaced.
+    """
+    columns = ("frame_number", "timestamp_ms", "aspect", "baseline")
+
+    def move(state, row, out):
+        sitting, since, start, n = state
+        f, ms, ar, base = row
+        if not (ar >= base * recover if sitting else ar < base * drop):
+            return sitting, since, None, 0
+        if n == 0:
+            start = (int(f), float(ms))
+        if n + 1 < run:
+            return sitting, since, start, n + 1
+        if out is not None:
+            ends = {"start_frame": start[0], "end_frame": int(f), "start_ms": start[1], "end_ms": float(ms)}
             if sitting:
-                out.append({"event_type": "person_standing_up", "start_frame": start[0], "end_frame": f, "start_ms": start[1], "end_ms": ms,
-                            "confidence": 0.80, "sitting_ms": round(start[1] - since, 1)})
+                out.append({"event_type": "person_standing_up", **ends, "confidence": 0.80, "sitting_ms": round(start[1] - since, 1)})
             else:
-                since = start[1]
-                conf = min(0.90, 0.55 + (base - ar) / base * 0.35)
-                out.append({"event_type": "person_sitting", "start_frame": start[0], "end_frame": f, "start_ms": start[1], "end_ms": ms,
-                            "confidence": conf, "sitting_ms": None})
-            sitting, since, start, n = not sitting, None if sitting else since, None, 0
-        return [sitting, since, start, n], out
+                out.append({"event_type": "person_sitting", **ends, "confidence": min(0.90, 0.55 + (base - ar) / base * 0.35), "sitting_ms": None})
+        return not sitting, None if sitting else start[1], None, 0
+
+    def step(state, rows, last):
+        state, out = tuple(state or (False, None, None, 0)), []
+        for row in zip(*(rows[c] for c in columns)):
+            state = move(state, row, out)
+        return list(state), out
+
+    def survey(rows):
+        tokens = {(s, "since" if s else None, (HELD, HELD) if n else None, n): [[s, n]] for s in (False, True) for n in range(run)}
+        return passed_tokens(list(zip(*(rows[c] for c in columns))), tokens, lambda state, row: [(move(state, row, None), None)])
+
+    def advance(state, exits):
+        sitting, since, start, n = state or [False, None, None, 0]
+        s, at, begun, k = next(e for label, e in exits if label == [sitting, n])
+        return [s, since if at == "since" else start[1] if at == HELD else at, start if begun and begun[0] == HELD else begun, k]
 
-    return step
+    return Machine(step, survey, advance)
 
 
 def with_baseline(obs: DataFrame, min_standing: float = 1.40, min_observations: int = 3) -> DataFrame:
@@ -75,7 +91,7 @@ def posture_transitions(obs: DataFrame, drop: float = 0.55, min_standing: float
                         block: int = FOLD_BLOCK_ROWS) -> DataFrame:
     """Sitting and standing-up events from the height to width ratio against the track's standing baseline."""
     d = with_baseline(obs, min_standing, min_observations)
-    return ordered_fold(d, TRACK, posture_step(drop), POSTURE_OUT, block=block).withColumn("confidence", rounded(F.col("confidence"), 4))
+    return ordered_fold(d, TRACK, posture_machine(drop), POSTURE_OUT, block=block).withColumn("confidence", rounded(F.col("confidence"), 4))
 
 
 def near_object(obs: DataFrame, object_classes: Sequence[str], distance: float = 0.25, max_gap: int = 10, slot_frames: float = 4096.0,
@@ -261,51 +277,100 @@ MACHINE_OUT = T.StructType([
     T.StructField("confidence", T.DoubleType())])
 
 
-def machine_step(state, rows, last):
-    """Activity state machine; state is [name, height reference, rows so far up to two, last row]."""
+MACHINE_COLUMNS = ("frame_number", "timestamp_ms", "cy", "smoothed_velocity", "near_seat", "pose_label", "at_edge")
+
+
+def _machine_move(name, ref, row, out):
+    """The activity after a row, and the height reference while sitting; appends events to ``out``, if given."""
+    f, ms, cy, v, near, pose, edge = row
+    seat = bool(near) or pose == "sitting"
+
+    def emit(kind, conf):
+        if out is not None:
+            out.append({"event_type": kind, "frame_number": int(f), "timestamp_ms": float(ms), "confidence": conf})
+
+    if name == "start":
+        emit("person_entered_scene", 0.90)
+        return "entering", None
+    if name in ("entering", "walking"):
+        if name == "entering" and v >= WALK_V:
+            return "walking", None
+        if v < STILL_V:
+            if seat:
+                emit("person_sitting", 0.80 if name == "entering" else 0.85)
+                return "sitting", float(cy - CY_DROP)
+            if name == "walking":
+                emit("person_standing", 0.75)
+            return "standing", None
+    elif name == "standing":
+        if v >= WALK_V:
+            if edge:
+                return "exiting", None
+            emit("person_walking", 0.75)
+            return "walking", None
+        if seat:
+            emit("person_sitting", 0.88)
+            return "sitting", float(cy - CY_DROP)
+    elif name == "sitting":
+        rose = cy < ref - CY_DROP
+        if rose or _leaves_seat(row):
+            emit("person_standing_up", 0.85 if rose else 0.82)
+            return ("walking" if v >= WALK_V else "standing"), None
+    elif name == "exiting" and not edge and v > STILL_V:
+        return "walking", None
+    return name, ref
+
+
+def _leaves_seat(row) -> bool:
+    """Whether a sitting person gets up whatever the height they sat down at."""
+    return row[3] >= WALK_V or (not row[4] and row[5] in ("standing", "walking"))
+
+
+def _machine_step(state, rows, last):
     name, ref, n, prev = state or ["start", None, 0, None]
     out = []
-
-    def emit(kind, conf, at):
-        out.append({"event_type": kind, "frame_number": at[0], "timestamp_ms": at[1], "confidence": conf})
-
-    for f, ms, cy, v, near, pose, edge in zip(*(rows[c] for c in ("frame_number", "timestamp_ms", "cy", "smoothed_velocity", "near_seat", "pose_label", "at_edge"))):
-        here = (int(f), float(ms))
-        seat = bool(near) or pose == "sitting"
-        n = min(n + 1, 2)
-        prev = [here[0], here[1], bool(edge)]
-        if name == "start":
-            emit("person_entered_scene", 0.90, here)
-            name = "entering"
-        elif name in ("entering", "walking"):
-            if name == "entering" and v >= WALK_V:
-                name = "walking"
-            elif v < STILL_V:
-                if seat:
-                    emit("person_sitting", 0.80 if name == "entering" else 0.85, here)
-                    name, ref = "sitting", cy - CY_DROP
-                else:
-                    if name == "walking":
-                        emit("person_standing", 0.75, here)
-                    name = "standing"
-        elif name == "standing":
-            if v >= WALK_V:
-                name = "exiting" if edge else "walking"
-                if not edge:
-                    emit("person_walking", 0.75, here)
-            elif seat:
-                emit("person_sitting", 0.88, here)
-                name, ref = "sitting", cy - CY_DROP
-        elif name == "sitting":
-            rose = cy < ref - CY_DROP
-            if v >= WALK_V or rose or (not near and pose in ("standing", "walking")):
-                emit("person_standing_up", 0.85 if rose else 0.82, here)
-                name, ref = ("walking" if v >= WALK_V else "standing"), None
-        elif name == "exiting" and not edge and v > STILL_V:
-            name = "walking"
+    for row in zip(*(rows[c] for c in MACHINE_COLUMNS)):
+        name, ref = _machine_move(name, ref, row, out)
+        n, prev = min(n + 1, 2), [int(row[0]), float(row[1]), bool(row[6])]
     if last and n >= 2:
-        emit("person_left_scene", 0.90 if prev[2] else 0.75, (prev[0], prev[1]))
-    return [name, None if ref is None else float(ref), n, prev], out
+        out.append({"event_type": "person_left_scene", "frame_number": prev[0], "timestamp_ms": prev[1], "confidence": 0.90 if prev[2] else 0.75})
+    return [name, ref, n, prev], out
+
+
+def _machine_survey(rows):
+    """Exits from every activity.  Sitting down earlier leaves the reference open: every new least height of the
+    block is a branch, taken by references above it; ``sitting`` alone is who stays below all of them."""
+    def move(state, row):
+        name, ref = state
+        if name != "sitting" or not isinstance(ref, tuple):
+            return [(_machine_move(name, ref, row, None), None)]
+        if _leaves_seat(row):
+            return [(("walking" if row[3] >= WALK_V else "standing", None), None)]
+        if row[2] < ref[1]:
+            return [(("standing", None), ["sitting", float(row[2])]), (("sitting", (HELD, float(row[2]))), None)]
+        return [(state, None)]
+
+    listed = list(zip(*(rows[c] for c in MACHINE_COLUMNS)))
+    tokens = {(name, None): [[name, None]] for name in ("start", "entering", "walking", "standing", "exiting")}
+    tokens["sitting", (HELD, float("inf"))] = [["sitting", None]]
+    end = listed[-1]
+    return {"exits": passed_tokens(listed, tokens, move), "n": min(len(listed), 2), "prev": [int(end[0]), float(end[1]), bool(end[6])]}
+
+
+def _machine_advance(state, block):
+    name, ref, n, _ = state or ["start", None, 0, None]
+    exits = block["exits"]
+    if name == "sitting":
+        risen = sorted((e for e in exits if e[0][0] == "sitting" and e[0][1] is not None and e[0][1] < ref - CY_DROP), key=lambda e: -e[0][1])
+        name, at = risen[0][1] if risen else next(e for label, e in exits if label == ["sitting", None])
+        ref = ref if isinstance(at, list) else at
+    else:
+        name, ref = next(e for label, e in exits if label == [name, None])
+    return [name, ref, min(n + block["n"], 2), block["prev"]]
+
+
+#: Activity state machine; state is [name, height reference, rows so far up to two, last row].
+activity_machine = Machine(_machine_step, _machine_survey, _machine_advance)
 
 
 def machine_inputs(obs: DataFrame, seats: DataFrame, poses: DataFrame | None = None, fps: float = 25.0, block: int = BLOCK_ROWS) -> DataFrame:
@@ -329,7 +394,7 @@ def machine_inputs(obs: DataFrame, seats: DataFrame, poses: DataFrame | None = N
 
 def activity_state_machine(inputs: DataFrame, block: int = FOLD_BLOCK_ROWS) -> DataFrame:
     d = inputs.select(*TRACK, "seq", "frame_number", "timestamp_ms", "cy", "smoothed_velocity", "near_seat", "pose_label", "at_edge")
-    return ordered_fold(d, TRACK, machine_step, MACHINE_OUT, block=block)
+    return ordered_fold(d, TRACK, activity_machine, MACHINE_OUT, block=block)
 
 
 # Temporal pose machine ----------------------------------------------------------------------------
@@ -364,37 +429,83 @@ def _pose_event(kind, start, end, n, pose):
             "confidence": conf, "supporting": n}
 
 
-def temporal_pose_step(state, rows, last):
-    """Hysteresis over candidates; the state keeps the open state's support and the running rows of the window."""
-    s = state or {"cur": "UNKNOWN", "cand": "UNKNOWN", "n": 0, "start": [0, 0.0], "sup": 0, "pose": 0.0, "win": [], "end": None}
-    out = []
+#: Confidences add up as whole multiples of this, so that a sum doesn't depend on where blocks part.
+POSE_UNIT = 2.0 ** -40
+POSE_COLUMNS = ("frame_number", "timestamp_ms", "candidate", "pose_confidence")
+POSE_STATES = ("UNKNOWN", "STANDING", "WALKING", "RUNNING", "LOWERING", "CROUCHING", "CRAWLING", "FALLEN")
+
+
+def _pose_move(state, row):
+    """Next state and, if the row closes an open one, the state it closed.
 
-    def emit(e):
-        if e:
-            out.append(e)
-
-    for f, ms, c, conf in zip(rows["frame_number"], rows["timestamp_ms"], rows["candidate"], rows["pose_confidence"]):
-        here, conf = [int(f), float(ms)], float(conf)
-        s["end"] = here
-        s["win"] = (s["win"] + [[here[0], here[1], c, conf]])[-POSE_WINDOW:]
-        s["n"] = s["n"] + 1 if c == s["cand"] else 1
-        s["cand"] = c
-        event = None
-        if s["n"] >= POSE_HYSTERESIS and c != s["cur"]:
-            if s["cur"] not in ("UNKNOWN", "STANDING", "WALKING") and s["start"][0] > 0 and s["sup"] > 0:
-                event = _pose_event(s["cur"], s["start"], here, s["sup"], s["pose"])
-            s.update(cur=c, start=here if c in POSE_EVENT else [0, 0.0], sup=0, pose=0.0, n=0)
-        if c == s["cur"] and c in POSE_EVENT:
-            s["sup"] += 1
-            s["pose"] += conf
-        if s["cur"] == "RUNNING" and c == "RUNNING":
-            run = [r for r in s["win"] if r[2] == "RUNNING"]
+    A state is (current, candidate, times in a row up to the hysteresis, start,
+    whether start and sums go on from the entry of the block, support, confidence sum).
+    """
+    cur, cand, n, start, held, sup, pose = state
+    f, ms, c, conf = row
+    n = min(n + 1, POSE_HYSTERESIS) if c == cand else 1
+    closed = None
+    if n >= POSE_HYSTERESIS and c != cur:
+        closed = (cur, start, sup, pose)
+        cur, start, held, sup, pose, n = c, (int(f), float(ms)) if c in POSE_EVENT else (0, 0.0), False, 0, 0, 0
+    if c == cur and c in POSE_EVENT:
+        sup, pose = sup + 1, pose + round(float(conf) / POSE_UNIT)
+    return (cur, c, n, start, held, sup, pose), closed
+
+
+def _closing(cur, start, sup, pose, end):
+    """The event of an open state, if it is one that ends with an event."""
+    if cur in ("UNKNOWN", "STANDING", "WALKING") or start[0] <= 0 or sup <= 0:
+        return None
+    return _pose_event(cur, start, end, sup, pose * POSE_UNIT)
+
+
+def _pose_step(state, rows, last):
+    open_, win, end = state or [("UNKNOWN", "UNKNOWN", 0, (0, 0.0), False, 0, 0), [], None]
+    open_, out = tuple(open_), []
+    for row in zip(*(rows[c] for c in POSE_COLUMNS)):
+        end = [int(row[0]), float(row[1])]
+        win = (win + [[*end, row[2], float(row[3])]])[-POSE_WINDOW:]
+        open_, closed = _pose_move(open_, row)
+        event = _closing(*closed, end) if closed else None
+        if open_[0] == "RUNNING" and row[2] == "RUNNING":
+            run = [r for r in win if r[2] == "RUNNING"]
             if len(run) == POSE_MINIMUM["RUNNING"]:
                 event = _pose_event("RUNNING", run[0], run[-1], len(run), sum(r[3] for r in run))
-        emit(event)
-    if last and s["cur"] not in ("UNKNOWN", "STANDING", "WALKING") and s["start"][0] > 0 and s["sup"] > 0:
-        emit(_pose_event(s["cur"], s["start"], s["end"], s["sup"], s["pose"]))
-    return s, out
+        if event:
+            out.append(event)
+    if last and end is not None:
+        event = _closing(open_[0], open_[3], open_[5], open_[6], end)
+        if event:
+            out.append(event)
+    return [list(open_), win, end], out
+
+
+def _pose_survey(rows):
+    """Exits by current state and, where the candidate goes on, by its count; starts and sums go on from the entry until a switch."""
+    listed = list(zip(*(rows[c] for c in POSE_COLUMNS)))
+    first = listed[0][2]
+    tokens = {}
+    for cur in POSE_STATES:
+        for n in range(POSE_HYSTERESIS + 1):
+            tokens[cur, first, n, None, True, 0, 0] = [[cur, n]]
+        tokens[cur, None, 0, None, True, 0, 0] = [[cur, None]]
+    exits = passed_tokens(listed, tokens, lambda state, row: [(_pose_move(state, row)[0], None)])
+    return {"first": first, "exits": exits, "win": [[int(f), float(ms), c, float(p)] for f, ms, c, p in listed[-POSE_WINDOW:]]}
+
+
+def _pose_advance(state, block):
+    open_, win, _ = state or [["UNKNOWN", "UNKNOWN", 0, [0, 0.0], False, 0, 0], [], None]
+    cur, cand, n, start, held, sup, pose = open_
+    after = next(e for label, e in block["exits"] if label == [cur, n if cand == block["first"] else None])
+    if after[4]:
+        after = [*after[:3], start, held, sup + after[5], pose + after[6]]
+    win = (win + block["win"])[-POSE_WINDOW:]
+    return [after, win, win[-1][:2]]
+
+
+#: Hysteresis over candidates; state is the open state, the rows of the window, and the last row.
+pose_machine = Machine(_pose_step, _pose_survey, _pose_advance)
 
 
 def temporal_pose_fsm(obs: DataFrame, pose_confidence: Column | float = 0.5, min_observations: int = 3, block: int = FOLD_BLOCK_ROWS) -> DataFrame:
@@ -405,4 +516,4 @@ def temporal_pose_fsm(obs: DataFrame, pose_confidence: Column | float = 0.5, min
     long_enough = obs.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_observations).select(*TRACK)
     pc = pose_confidence if isinstance(pose_confidence, Column) else F.lit(float(pose_confidence))
     d = pose_candidates(obs).withColumn("pose_confidence", pc).join(long_enough, TRACK, "left_semi")
-    return ordered_fold(d.select(*TRACK, "seq", "frame_number", "timestamp_ms", "candidate", "pose_confidence"), TRACK, temporal_pose_step, POSE_OUT, block=block)
+    return ordered_fold(d.select(*TRACK, "seq", "frame_number", "timestamp_ms", "candidate", "pose_confidence"), TRACK, pose_machine, POSE_OUT, block=block)

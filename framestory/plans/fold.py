@@ -8,6 +8,13 @@ result is exactly the sequential one: the first block is right after round one,
 so round n fixes at least block n, and machines that forget their past settle
 after two or three rounds.  No task holds more than one block.  What a round
 gives is written once; a block's rows are those of its last run.
+
+A machine whose open state may last for many blocks would need a round for each.
+Such a step is a ``Machine``: it also says what a block does to every entry state
+at once (``survey``: a small block map from the finite part of the state, with
+carried values left symbolic) and what a map makes of a real state (``advance``).
+All maps are made in one job, a second one chains the maps of each key, a third
+one runs every block from its real entry state, whatever the number of blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +35,35 @@ FOLD_BLOCK_ROWS = 50_000
 Step = Callable[[Any, pd.DataFrame, bool], tuple[Any, list[dict]]]
 
 
+class Machine:
+    """A step with block maps: ``survey(rows)`` and ``advance(state, map)`` are JSON in and out; ``advance`` takes None at the start of a key."""
+
+    def __init__(self, step: Step, survey: Callable[[pd.DataFrame], Any], advance: Callable[[Any, Any], Any]):
+        self.step, self.survey, self.advance = step, survey, advance
+
+    def __call__(self, state: Any, rows: pd.DataFrame, last: bool) -> tuple[Any, list[dict]]:
+        return self.step(state, rows, last)
+
+
+def passed_tokens(rows: list[tuple], tokens: dict[tuple, list], move: Callable[[tuple, tuple], list[tuple[tuple, Any]]]) -> list[tuple[Any, tuple]]:
+    """``(label, exit state)`` of every entry label after all rows; states that meet go on as one.
+
+    ``move(state, row)`` gives the next states: ``(state, None)`` passes the
+    labels on, ``(state, label)`` is a branch that opens a label of its own.
+    """
+    for row in rows:
+        following: dict[tuple, list] = {}
+        for state, labels in tokens.items():
+            for nxt, branch in move(state, row):
+                held = following.setdefault(nxt, [])
+                if branch is None:
+                    held.extend(labels)
+                else:
+                    held.append(branch)
+        tokens = following
+    return [(label, state) for state, labels in tokens.items() for label in labels]
+
+
 def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructType, seq: str = "seq",
                  block: int = FOLD_BLOCK_ROWS) -> DataFrame:
     """Rows emitted by ``step(state, rows, last) -> (state, emitted)`` per key.
@@ -58,6 +94,8 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructTy
     def again(key, rows, entry):
         return ran(key, rows, entry["_entry"].iloc[0] if len(entry) else None) if len(entry) else ran(key, rows[:0], None)
 
+    if isinstance(step, Machine):
+        return _mapped(d, keys, step, seq, ran, raw).select(*keys, *names)
     along = Window.partitionBy(*keys).orderBy("_blk")
     runs = [cut_lineage(_spread(d, bkeys).groupBy(*bkeys).applyInPandas(opening, raw))]
     exits = runs[0].where(F.col("_exit").isNotNull()).select(*bkeys, "_exit", F.lit(None).cast("string").alias("_entry"), F.lit(0).alias("_run"))
@@ -83,6 +121,38 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructTy
     return out_rows
 
 
+def _mapped(d: DataFrame, keys: list[str], machine: Machine, seq: str, ran: Callable, raw: T.StructType) -> DataFrame:
+    """Rows of all blocks, each run once from its real entry state."""
+    bkeys = [*keys, "_blk"]
+
+    def opening(key, rows):
+        return ran(key, rows, None)
+
+    def entered(key, rows, entry):
+        return ran(key, rows, entry["_entry"].iloc[0] if len(entry) else None)
+
+    def mapped(key, rows):
+        return pd.DataFrame({**{k: [v] for k, v in zip(bkeys, key)}, "_map": [json.dumps(machine.survey(rows.sort_values(seq, kind="stable")))]})
+
+    def chained(key, maps):
+        maps = maps.sort_values("_blk")
+        state, entries = None, []
+        for text in maps["_map"]:
+            state = machine.advance(state, json.loads(text))
+            entries.append(json.dumps(state))
+        return pd.DataFrame({**{k: [v] * len(maps) for k, v in zip(keys, key)}, "_blk": maps["_blk"].to_numpy() + 1, "_entry": entries})
+
+    inner = d.where("NOT _last")
+    if inner.isEmpty():
+        rows = _spread(d, bkeys).groupBy(*bkeys).applyInPandas(opening, raw)
+    else:
+        kept = [T.StructField(f.name, f.dataType) for f in raw.fields[:len(bkeys)]]
+        maps = _spread(inner, bkeys).groupBy(*bkeys).applyInPandas(mapped, T.StructType([*kept, T.StructField("_map", T.StringType())]))
+        entries = cut_lineage(maps.groupBy(*keys).applyInPandas(chained, T.StructType([*kept, T.StructField("_entry", T.StringType())])))
+        rows = _spread(d, bkeys).groupBy(*bkeys).cogroup(_spread(entries, bkeys).groupBy(*bkeys)).applyInPandas(entered, raw)
+    return rows.where(F.col("_exit").isNull())
+
+
 def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash partitions by key that AQE leaves alone: Python work is heavy for its bytes."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

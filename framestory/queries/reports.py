@@ -520,7 +520,7 @@ def _(s):
 def _(s):
     """Transitions of a stream whose rows meet the tracks' known baselines."""
     d = posture.with_baseline(s.observations)
-    st = stream_fold(run.replay(d, "frame_number", ["video_id", "track_id"]), ["video_id", "track_id"], "seq", posture.posture_step(0.99), posture.POSTURE_OUT)
+    st = stream_fold(run.replay(d, "frame_number", ["video_id", "track_id"]), ["video_id", "track_id"], "seq", posture.posture_machine(0.99), posture.POSTURE_OUT)
     return run.run_to_table(st.withColumn("confidence", rounded(F.col("confidence"), 4)))
 
 

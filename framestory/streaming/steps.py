@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from framestory.operators.posture import EDGE, machine_step
+from framestory.operators.posture import EDGE, activity_machine
 from framestory.operators.sampling import SkipConfig
 
 SKIP_STREAM_OUT = T.StructType([
@@ -92,7 +92,7 @@ def machine_stream_step(fps: float = 25.0, window: int = 5):
         rows = rows.assign(smoothed_velocity=v, at_edge=(cx < EDGE) | (cx > 1.0 - EDGE) | (cy < EDGE) | (cy > 1.0 - EDGE))
         if "pose_label" not in rows:
             rows = rows.assign(pose_label=None)
-        inner, out = machine_step(inner, rows, last)
+        inner, out = activity_machine(inner, rows, last)
         return [inner, prev, speeds], out
 
     step.columns = ("frame_number", "timestamp_ms", "cx", "cy", "near_seat")

@@ -83,3 +83,58 @@ def test_walking_person_settles_in_three_rounds(spark, monkeypatch):
                               "pose_label string, at_edge boolean")
     got, rounds = rounds_of(monkeypatch, lambda: posture.activity_state_machine(d, block=20))
     assert rounds <= 3 and sorted(r["event_type"] for r in got) == ["person_entered_scene", "person_left_scene"]
+
+
+def lasting(n, kind):
+    """Rows of someone who sits, falls or crouches for nearly the whole time: (posture, activity, pose) inputs share the frame and time."""
+    out = []
+    for i in range(n):
+        down = 5 <= i < n - 5
+        out.append((1, 1, i, 5 * i, 200.0 * i, 0.5 if not down else 0.6, 0.0 if i > 3 else 0.2, down, None, False,
+                    0.5 if down else 2.0, 2.0, kind if down else "STANDING", 0.5 + (i % 7) / 1000))
+    return out
+
+
+LASTING = ("video_id long, track_id long, seq long, frame_number long, timestamp_ms double, cy double, smoothed_velocity double, near_seat boolean, pose_label string, "
+           "at_edge boolean, aspect double, baseline double, candidate string, pose_confidence double")
+
+
+@pytest.mark.parametrize("kind", ["CROUCHING", "FALLEN"])
+def test_lasting_states_take_two_rounds(spark, monkeypatch, kind):
+    from framestory.operators import posture
+    from framestory.plans.fold import ordered_fold
+
+    d = spark.createDataFrame(lasting(320, kind), LASTING)
+    cases = ((posture.posture_machine(0.55), posture.POSTURE_OUT, 2), (posture.activity_machine, posture.MACHINE_OUT, 5), (posture.pose_machine, posture.POSE_OUT, 1))
+    for machine, out, events in cases:
+        got, rounds = rounds_of(monkeypatch, lambda: ordered_fold(d, ["video_id", "track_id"], machine, out, block=20))
+        whole = ordered_fold(d, ["video_id", "track_id"], machine, out).collect()
+        assert rounds <= 3 and sorted(map(repr, got)) == sorted(map(repr, whole)) and len(got) == events
+
+
+def test_block_maps_equal_steps():
+    """A block's map gives the exit of its rows for whatever state they are entered in."""
+    import json
+    import random
+
+    import pandas as pd
+
+    from framestory.operators import posture
+
+    rng = random.Random(3)
+    for turn in range(120):
+        n, cy = rng.randrange(2, 120), 0.5
+        rows = []
+        for i in range(n):
+            cy += rng.choice([0, 0, 0.01, -0.01, 0.05, -0.05])
+            rows.append((5 * i + 5, 200.0 * i, cy, rng.choice([0.0, 0.0, 0.05, 0.1 if turn % 2 else 0.0]), rng.random() < 0.5, rng.choice([None, None, "sitting", "standing" if turn % 3 else None]),
+                         rng.random() < 0.2, rng.choice([0.5, 2.0]), 2.0, rng.choice(posture.POSE_STATES if turn % 2 else ("RUNNING", "FALLEN")), rng.random()))
+        d = pd.DataFrame(rows, columns=["frame_number", "timestamp_ms", "cy", "smoothed_velocity", "near_seat", "pose_label", "at_edge", "aspect", "baseline", "candidate", "pose_confidence"])
+        for m in (posture.posture_machine(0.55), posture.activity_machine, posture.pose_machine):
+            block = rng.choice([1, 2, 7, 30])
+            state = mapped = None
+            for i in range(0, n, block):
+                part = d.iloc[i:i + block]
+                mapped = json.loads(json.dumps(m.advance(mapped, json.loads(json.dumps(m.survey(part))))))
+                state = json.loads(json.dumps(m.step(state, part, False)[0]))
+                assert mapped == state
