@@ -18,3 +18,9 @@ def rounded(col: Column, places: int) -> Column:
 
 def clip01(col: Column) -> Column:
     return F.least(F.greatest(col, F.lit(0.0)), F.lit(1.0))
+
+
+def rounded_number(x: float, places: int) -> float:
+    """``rounded`` for a Python number."""
+    scale = 10.0 ** places
+    return round(round(x * 1e10) / 1e10 * scale) / scale + 0.0

@@ -69,7 +69,7 @@ def posture_machine(drop: float, run: int = 2, recover: float = 0.80) -> Machine
         s, at, begun, k = next(e for label, e in exits if label == [sitting, n])
         return [s, since if at == "since" else start[1] if at == HELD else at, start if begun and begun[0] == HELD else begun, k]
 
-    return Machine(step, survey, advance)
+    return Machine(step, survey, advance, columns)
 
 
 def with_baseline(obs: DataFrame, min_standing: float = 1.40, min_observations: int = 3) -> DataFrame:
@@ -370,7 +370,7 @@ def _machine_advance(state, block):
 
 
 #: Activity state machine; state is [name, height reference, rows so far up to two, last row].
-activity_machine = Machine(_machine_step, _machine_survey, _machine_advance)
+activity_machine = Machine(_machine_step, _machine_survey, _machine_advance, MACHINE_COLUMNS)
 
 
 def machine_inputs(obs: DataFrame, seats: DataFrame, poses: DataFrame | None = None, fps: float = 25.0, block: int = BLOCK_ROWS) -> DataFrame:
@@ -406,6 +406,23 @@ POSE_OUT = T.StructType([
     T.StructField("supporting", T.LongType())])
 
 
+def pose_state(aspect: float, height: float, lateral: float, lower: bool) -> str:
+    """Candidate state of one row; ``lower`` says that the row before was clearly lower than the one two rows before it."""
+    if aspect >= 1.8 and height < 0.12:
+        return "FALLEN"
+    if height < 0.15 and lateral >= 0.003:
+        return "CRAWLING"
+    if height < 0.18:
+        return "CROUCHING"
+    if lower:
+        return "LOWERING"
+    if lateral >= 0.020:
+        return "RUNNING"
+    if lateral >= 0.005:
+        return "WALKING"
+    return "STANDING" if height >= 0.20 else "UNKNOWN"
+
+
 def pose_candidates(obs: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """Candidate state of each row from its box and up to three rows before it."""
     d = obs.withColumn("_cx", F.col("x1") + g.width() / 2).withColumn("body_height", g.height()).withColumn(
@@ -505,7 +522,7 @@ def _pose_advance(state, block):
 
 
 #: Hysteresis over candidates; state is the open state, the rows of the window, and the last row.
-pose_machine = Machine(_pose_step, _pose_survey, _pose_advance)
+pose_machine = Machine(_pose_step, _pose_survey, _pose_advance, POSE_COLUMNS)
 
 
 def temporal_pose_fsm(obs: DataFrame, pose_confidence: Column | float = 0.5, min_observations: int = 3, block: int = FOLD_BLOCK_ROWS) -> DataFrame:

@@ -38,8 +38,8 @@ Step = Callable[[Any, pd.DataFrame, bool], tuple[Any, list[dict]]]
 class Machine:
     """A step with block maps: ``survey(rows)`` and ``advance(state, map)`` are JSON in and out; ``advance`` takes None at the start of a key."""
 
-    def __init__(self, step: Step, survey: Callable[[pd.DataFrame], Any], advance: Callable[[Any, Any], Any]):
-        self.step, self.survey, self.advance = step, survey, advance
+    def __init__(self, step: Step, survey: Callable[[pd.DataFrame], Any], advance: Callable[[Any, Any], Any], columns: Sequence[str] = ()):
+        self.step, self.survey, self.advance, self.columns = step, survey, advance, tuple(columns)
 
     def __call__(self, state: Any, rows: pd.DataFrame, last: bool) -> tuple[Any, list[dict]]:
         return self.step(state, rows, last)
@@ -65,11 +65,12 @@ def passed_tokens(rows: list[tuple], tokens: dict[tuple, list], move: Callable[[
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructType, seq: str = "seq",
-                 block: int = FOLD_BLOCK_ROWS) -> DataFrame:
+                 block: int = FOLD_BLOCK_ROWS, close: bool = True) -> DataFrame:
     """Rows emitted by ``step(state, rows, last) -> (state, emitted)`` per key.
 
     ``state`` is None at the start of a key and JSON-serialisable afterwards;
-    ``last`` is true for the final block of a key.
+    ``last`` is true for the final block of a key, unless ``close`` is false
+    because more rows will follow (see ``fold_states``).
     """
     keys, bkeys = list(keys), [*keys, "_blk"]
     names = [f.name for f in out.fields]
@@ -83,7 +84,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], step: Step, out: T.StructTy
         if len(rows) == 0:
             return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in raw.fields})
         state = json.loads(text) if isinstance(text, str) else None
-        state, emitted = step(state, rows.sort_values(seq, kind="stable"), bool(rows["_last"].iloc[0]))
+        state, emitted = step(state, rows.sort_values(seq, kind="stable"), close and bool(rows["_last"].iloc[0]))
         res = _frame([*emitted, {}], bkeys, key, names)
         res["_exit"] = [None] * len(emitted) + [json.dumps(state)]
         return res
@@ -131,26 +132,46 @@ def _mapped(d: DataFrame, keys: list[str], machine: Machine, seq: str, ran: Call
     def entered(key, rows, entry):
         return ran(key, rows, entry["_entry"].iloc[0] if len(entry) else None)
 
+    inner = d.where("NOT _last")
+    if inner.isEmpty():
+        rows = _spread(d, bkeys).groupBy(*bkeys).applyInPandas(opening, raw)
+    else:
+        entries = cut_lineage(_chained(inner, keys, machine, seq).withColumn("_blk", F.col("_blk") + 1))
+        rows = _spread(d, bkeys).groupBy(*bkeys).cogroup(_spread(entries, bkeys).groupBy(*bkeys)).applyInPandas(entered, raw)
+    return rows.where(F.col("_exit").isNull())
+
+
+def _chained(d: DataFrame, keys: list[str], machine: Machine, seq: str) -> DataFrame:
+    """``_entry``, the state after each block: all blocks' maps at once, then the maps of a key one after the other."""
+    bkeys = [*keys, "_blk"]
+    kept = [T.StructField(k, d.schema[k].dataType) for k in bkeys]
+
     def mapped(key, rows):
         return pd.DataFrame({**{k: [v] for k, v in zip(bkeys, key)}, "_map": [json.dumps(machine.survey(rows.sort_values(seq, kind="stable")))]})
 
     def chained(key, maps):
         maps = maps.sort_values("_blk")
-        state, entries = None, []
+        state, states = None, []
         for text in maps["_map"]:
             state = machine.advance(state, json.loads(text))
-            entries.append(json.dumps(state))
-        return pd.DataFrame({**{k: [v] * len(maps) for k, v in zip(keys, key)}, "_blk": maps["_blk"].to_numpy() + 1, "_entry": entries})
+            states.append(json.dumps(state))
+        return pd.DataFrame({**{k: [v] * len(maps) for k, v in zip(keys, key)}, "_blk": maps["_blk"].to_numpy(), "_entry": states})
 
-    inner = d.where("NOT _last")
-    if inner.isEmpty():
-        rows = _spread(d, bkeys).groupBy(*bkeys).applyInPandas(opening, raw)
-    else:
-        kept = [T.StructField(f.name, f.dataType) for f in raw.fields[:len(bkeys)]]
-        maps = _spread(inner, bkeys).groupBy(*bkeys).applyInPandas(mapped, T.StructType([*kept, T.StructField("_map", T.StringType())]))
-        entries = cut_lineage(maps.groupBy(*keys).applyInPandas(chained, T.StructType([*kept, T.StructField("_entry", T.StringType())])))
-        rows = _spread(d, bkeys).groupBy(*bkeys).cogroup(_spread(entries, bkeys).groupBy(*bkeys)).applyInPandas(entered, raw)
-    return rows.where(F.col("_exit").isNull())
+    maps = _spread(d, bkeys).groupBy(*bkeys).applyInPandas(mapped, T.StructType([*kept, T.StructField("_map", T.StringType())]))
+    return maps.groupBy(*keys).applyInPandas(chained, T.StructType([*kept, T.StructField("_entry", T.StringType())]))
+
+
+def fold_states(df: DataFrame, keys: Sequence[str], machine: Machine, seq: str = "seq", event_time: str | None = None,
+                block: int = FOLD_BLOCK_ROWS) -> DataFrame:
+    """The state of every key after its last row: ``state`` (JSON), ``position`` (its last ``seq``) and, if asked for, its last ``event_time``.
+
+    A stream that goes on with later rows takes it as its initial state.
+    """
+    keys = list(keys)
+    d = df.withColumn("_blk", F.floor(F.col(seq) / block).cast("long"))
+    states = _chained(d, keys, machine, seq).groupBy(*keys).agg(F.max_by("_entry", "_blk").alias("state"))
+    times = [F.max(event_time).alias(event_time)] if event_time else []
+    return states.join(df.groupBy(*keys).agg(F.max(seq).cast("double").alias("position"), *times), keys)
 
 
 def _spread(df: DataFrame, keys: list[str]) -> DataFrame:

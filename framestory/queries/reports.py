@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from framestory import fixed
 from framestory.functions.numbers import rounded
 from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking, validation, zones
+from framestory.plans.fold import fold_states, ordered_fold
 from framestory.queries.events import _CATEGORY, _VARIED, decision_chain, named_events, ranked_semantic, rule_events_of, varied_events
 from framestory.queries.frames import LIGHT, bright_of
 from framestory.queries.motion import tracks_of
-from framestory.queries.people import bike_tracks, features_of, seats_of, tracker_detections, zones_of
-from framestory.queries.registry import query
+from framestory.queries.people import bike_tracks, features_of, seats_of, squashed, tracker_detections, zones_of
+from framestory.queries.registry import ORACLES, query
 from framestory.queries.shape import out, outs
 from framestory.queries.sqlviews import IN, MEDIAN, ORD as _ORD, R, VIEWS, sql, view
-from framestory.session import work_folder
+from framestory.session import cut_lineage, work_folder
 from framestory.sources import files
 from framestory.sources.fixtures import Inputs
 from framestory.streaming import run, steps
@@ -472,17 +473,52 @@ def _(s):
     return run.run_to_table(stream_fold(flags.select(*key, "seq", "frame_number", "zone_type", "inside"), key, "seq", steps.zone_stream_step, steps.ZONE_STREAM_OUT))
 
 
-@query("stream_activity_machine", sql("SELECT video_id, track_id, event_type, frame_number, frame_number * 40.0E0 AS timestamp_ms, confidence FROM mwalk2 WHERE event_type IS NOT NULL", "mwalk2"))
+STREAMED_ACTIVITY = sql("""SELECT video_id, track_id, event_type, frame_number, frame_number * 40.0E0 AS timestamp_ms, confidence FROM mwalk2 WHERE event_type IS NOT NULL
+ UNION ALL SELECT video_id, track_id, 'person_left_scene', frame_number, timestamp_ms, CASE WHEN edge THEN 0.9E0 ELSE 0.75E0 END FROM mach WHERE seq = last_seq AND last_seq >= 1""", "mwalk2", "mach")
+
+
+@query("stream_activity_machine", STREAMED_ACTIVITY)
+def _(s):
+    """Activities of a stream of raw positions; tracks close, and their persons leave, when the watermark has passed their idle time."""
+    key = ["video_id", "track_id"]
+    m = posture.machine_inputs(s.observations, seats_of(s)).select(*key, "seq", "frame_number", "timestamp_ms", "cx", "cy", "near_seat")
+    st = run.replay(run.timed(m), "frame_number", key, ends=True)
+    return run.run_to_table(stream_fold(st, key, "seq", steps.machine_stream_step(), posture.MACHINE_OUT, "event_time", run.IDLE_MS))
+
+
+@query("stream_activity_resumed", STREAMED_ACTIVITY)
+def _(s):
+    """A batch fold over the first half of the rows hands its states to a stream of the others."""
+    key = ["video_id", "track_id"]
+    m = run.timed(posture.machine_inputs(s.observations, seats_of(s)).select(*key, "seq", *posture.MACHINE_COLUMNS))
+    m = cut_lineage(m)
+    cut = m.agg(F.percentile_approx("frame_number", 0.5)).first()[0] or 0
+    before, after = m.where(F.col("frame_number") < cut), m.where(F.col("frame_number") >= cut)
+    done = ordered_fold(before, key, posture.activity_machine, posture.MACHINE_OUT, close=False)
+    states = fold_states(before, key, posture.activity_machine, event_time="event_time")
+    st = run.replay(after, "frame_number", key, ends=True)
+    rest = run.run_to_table(stream_fold(st, key, "seq", posture.activity_machine, posture.MACHINE_OUT, "event_time", run.IDLE_MS, initial=cut_lineage(states)))
+    return done.unionByName(rest)
+
+
+@query("stream_temporal_pose", ORACLES["temporal_pose_fsm"])
 def _(s):
-    m = posture.machine_inputs(s.observations, seats_of(s)).select("video_id", "track_id", "seq", "frame_number", "timestamp_ms", "cx", "cy", "near_seat")
-    return run.run_to_table(stream_fold(run.replay(m, "frame_number", ["video_id", "track_id"]), ["video_id", "track_id"], "seq", steps.machine_stream_step(), posture.MACHINE_OUT))
+    """Sustained poses of a stream of raw boxes, open ones included when their track closes."""
+    key = ["video_id", "track_id"]
+    d = run.timed(squashed(s).withColumn("pose_confidence", F.lit(0.5))).select(
+        *key, "seq", "frame_number", "timestamp_ms", "x1", "y1", "x2", "y2", "pose_confidence", "event_time")
+    st = run.replay(d, "frame_number", key, ends=True)
+    got = run.run_to_table(stream_fold(st, key, "seq", steps.pose_stream_step(), posture.POSE_OUT, "event_time", run.IDLE_MS))
+    return out(got, "video_id track_id event_type start_frame end_frame supporting start_ms end_ms", "confidence", 3)
 
 
 @query("stream_tracker")
 def _(s):
+    """The tracker's log of a stream of frames; what is open when a video closes is closed."""
     d = tracker_detections(s)
-    r = d.join(tracking.frame_ranks(d), ["video_id", "frame_number"])
-    return run.run_to_table(stream_fold(run.replay(r, "frame_number", ["video_id"]), ["video_id"], "frame_rank", tracking.lifecycle_step(), tracking.LIFECYCLE_OUT))
+    r = run.timed(d.join(tracking.frame_ranks(d), ["video_id", "frame_number"]).withColumn("ms", F.col("frame_number") * 40.0), "ms").drop("ms")
+    st = run.replay(r, "frame_number", ["video_id"], ends=True)
+    return run.run_to_table(stream_fold(st, ["video_id"], "frame_rank", tracking.lifecycle_step(), tracking.LIFECYCLE_OUT, "event_time", run.IDLE_MS))
 
 
 @query("stream_dedup", sql("SELECT event_id FROM dd_walk WHERE kept", "dd_walk"))
@@ -511,9 +547,23 @@ def _(s):
 
 @query("stream_lighting", sql(f"SELECT {outs(LIGHT)} FROM light10_raw", "light10_raw"))
 def _(s):
-    b = bright_of(s).select("video_id", "seq", "frame_number", "timestamp_ms", "baseline", "smoothed", "delta")
-    st = stream_fold(run.replay(b, "frame_number", ["video_id"]), ["video_id"], "seq", quality.lighting_step(10.0, 2), quality.LIGHT_OUT)
-    return run.run_to_table(st.withColumn("confidence", rounded(F.col("confidence"), 4))).select(*LIGHT.split())
+    """Light switches of a stream of raw brightness; smoothing and baselines are part of the state."""
+    b = run.timed(s.frame_sequence.select("video_id", "seq", "frame_number", "timestamp_ms", "brightness"))
+    st = run.replay(b, "frame_number", ["video_id"], ends=True)
+    got = run.run_to_table(stream_fold(st, ["video_id"], "seq", steps.lighting_stream_step(), quality.LIGHT_OUT, "event_time", run.IDLE_MS))
+    return got.withColumn("confidence", rounded(F.col("confidence"), 4)).select(*LIGHT.split())
+
+
+@query("stream_late_rows", sql("SELECT video_id, CAST(seq AS DOUBLE) AS late_position FROM (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) - 1 AS seq FROM frames) WHERE seq % 50 = 7", "frames"))
+def _(s):
+    """Frames that arrive behind later ones of their video come out as late rows."""
+    f = s.frame_sequence.select("video_id", "seq", "frame_number", "motion_fraction")
+    late = f.where("seq % 50 = 7").withColumn("turn", F.lit(1))
+    end = f.groupBy("video_id").agg(F.max_by(F.struct("seq", "frame_number", "motion_fraction"), "seq").alias("r")).select("video_id", "r.*")
+    on_time = f.where("seq % 50 <> 7").unionByName(end.withColumn("seq", F.col("seq") + 1)).withColumn("turn", F.lit(0))
+    st = run.replay(on_time.unionByName(late), "turn", ["video_id"], parts=64, per_trigger=1)
+    got = run.run_to_table(stream_fold(st, ["video_id"], "seq", steps.skip_stream_step(), steps.SKIP_STREAM_OUT, late=True))
+    return got.where("late_position IS NOT NULL").select("video_id", "late_position")
 
 
 @query("stream_posture", sql("SELECT video_id, track_id, event_type, ev_start AS start_frame, end_frame, ev_start * 40.0E0 AS start_ms, end_frame * 40.0E0 AS end_ms, confidence, sitting_ms FROM post WHERE event_type IS NOT NULL", "post"))

@@ -18,44 +18,55 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class FoldProcessor(StatefulProcessor):
     """Keeps the fold state of a key and its last position.
 
-    Rows of a micro-batch are sorted before the step; rows before the last
-    position of an earlier batch are late, dropped and counted, while rows at that
-    very position are ties and are taken.  With an idle
-    time the key is closed by an event-time timer: the step is told the key has
-    ended and its state is removed.
+    Rows of a micro-batch are sorted before the step.  Rows before the last
+    position of an earlier batch are late: the step doesn't see them, and they
+    come out as rows of their own if ``late`` is asked for.  Rows at that very
+    position are ties and are taken; rows without a position only move the
+    watermark.  With an idle time the key is closed by an event-time timer: the
+    step is told that the key has ended and its state is removed.
     """
 
     def __init__(self, keys: Sequence[str], order: str, step: Step, out: T.StructType, event_time: str | None,
-                 idle_ms: int | None):
+                 idle_ms: int | None, late: bool):
         self.keys, self.order, self.step = list(keys), order, step
         self.names = [f.name for f in out.fields]
-        self.event_time, self.idle_ms = event_time, idle_ms
+        self.event_time, self.idle_ms, self.late = event_time, idle_ms, late
 
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("fold", T.StructType([
-            T.StructField("state", T.StringType()), T.StructField("position", T.DoubleType()), T.StructField("late", T.LongType())]))
+            T.StructField("state", T.StringType()), T.StructField("position", T.DoubleType())]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.state.update((row["state"], float(row["position"])))
+        self._wait(initialState)
+
+    def _wait(self, pdf: pd.DataFrame) -> None:
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            self.handle.registerTimer(int(pdf[self.event_time].max().timestamp() * 1000) + self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
-        state, position, late = None, None, 0
+        pdf = pdf[pdf[self.order].notna()]
+        if len(pdf) == 0:
+            return
+        state = None
         if self.state.exists():
-            text, position, late = self.state.get()
+            text, position = self.state.get()
             state = json.loads(text)
-        if position is not None:
             old = pdf[self.order].astype("float64") < position
-            late += int(old.sum())
+            if self.late and old.any():
+                yield self._frame(key, [{"late_position": float(p)} for p in pdf[self.order][old]])
             pdf = pdf[~old]
-        if len(pdf) == 0:
-            self.state.update((json.dumps(state), position, late))
-            return
+            if len(pdf) == 0:
+                return
         pdf = pdf.sort_values(self.order, kind="stable")
         state, emitted = self.step(state, pdf, False)
-        self.state.update((json.dumps(state), float(pdf[self.order].iloc[-1]), late))
-        if self.idle_ms is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-            self.handle.registerTimer(int(pdf[self.event_time].max().timestamp() * 1000) + self.idle_ms)
+        self.state.update((json.dumps(state), float(pdf[self.order].iloc[-1])))
+        self._wait(pdf)
         if emitted:
             yield self._frame(key, emitted)
 
@@ -73,7 +84,7 @@ class FoldProcessor(StatefulProcessor):
 
     def _frame(self, key, emitted) -> pd.DataFrame:
         data = {k: [v] * len(emitted) for k, v in zip(self.keys, key)}
-        for n in self.names:
+        for n in [*self.names, *(["late_position"] if self.late else [])]:
             data[n] = pd.Series([r.get(n) for r in emitted], dtype=object)
         return pd.DataFrame(data)
 
@@ -82,17 +93,21 @@ class FoldProcessor(StatefulProcessor):
 
 
 def stream_fold(stream: DataFrame, keys: Sequence[str], order: str, step: Step, out: T.StructType | str, event_time: str | None = None,
-                idle_ms: int | None = None) -> DataFrame:
+                idle_ms: int | None = None, late: bool = False, initial: DataFrame | None = None) -> DataFrame:
     """The rows ``step`` emits, as a stream in append mode.
 
     Needs the RocksDB state store.  ``idle_ms`` closes keys by event time and
-    needs a watermark on ``event_time``.
+    needs a watermark on ``event_time``.  ``late`` adds the column
+    ``late_position``: rows that have it are late rows of their key, which went
+    nowhere else.  ``initial`` holds the keys' ``state`` and ``position`` (and
+    ``event_time``) from a batch fold over earlier rows (``plans.fold.fold_states``).
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     if isinstance(out, str):
         out = T.StructType.fromDDL(out)
     key_fields = [stream.schema[k] for k in keys]
-    full = T.StructType(key_fields + list(out.fields))
-    proc = FoldProcessor(keys, order, step, out, event_time, idle_ms)
+    full = T.StructType(key_fields + list(out.fields) + ([T.StructField("late_position", T.DoubleType())] if late else []))
+    proc = FoldProcessor(keys, order, step, out, event_time, idle_ms, late)
     mode = "EventTime" if idle_ms is not None else "None"
-    return stream.groupBy(*keys).transformWithStateInPandas(proc, full, "Append", mode)
+    start = None if initial is None else initial.groupBy(*keys)
+    return stream.groupBy(*keys).transformWithStateInPandas(proc, full, "Append", mode, start)

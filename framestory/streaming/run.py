@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from framestory.session import cut_lineage, work_folder
 
 
-def replay(df: DataFrame, column: str, keys: Sequence[str], parts: int = 3) -> DataFrame:
+#: Idle time and watermark delay of replayed streams, longer than any video, so that no row is late; the end mark lies three times as far behind the last row.
+IDLE_MS = 30 * 86_400_000
+
+
+def timed(df: DataFrame, column: str = "timestamp_ms") -> DataFrame:
+    """``df`` with ``event_time``, its milliseconds as a timestamp."""
+    return df.withColumn("event_time", F.timestamp_millis(F.col(column).cast("long")))
+
+
+def replay(df: DataFrame, column: str, keys: Sequence[str], parts: int = 3, ends: bool = False, per_trigger: int | None = None) -> DataFrame:
     """A stream of ``df`` in ``parts`` pieces along ``column``, each dealt to files by ``keys``.
 
+    ``per_trigger`` sets the files of a micro-batch instead.  With ``ends`` one row of nulls follows for one of the keys, whose ``event_time`` lies so far behind
+    that the watermark it moves closes every key; the stream has that watermark.
+
     The pieces hold about equally many rows, whatever the size of ``df``.  A
     key's rows of one piece are in one file and the pieces' files come one piece
     after the other, so every key sees its rows in order; a micro-batch takes as
@@ -31,7 +43,12 @@ def replay(df: DataFrame, column: str, keys: Sequence[str], parts: int = 3) -> D
         if hi is not None:
             part = part.where(F.col(column) < hi)
         part.repartition(n, *keys).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(path)
+    if ends:
+        late = F.timestamp_millis(F.unix_millis(F.max("event_time")) + 3 * IDLE_MS).alias("event_time")
+        mark = df.agg(F.min(F.struct(*keys)).alias("_key"), late).where("_key IS NOT NULL").select("_key.*", "event_time")
+        mark.select(*[F.col(f.name) if f.name in mark.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger or n).parquet(path)
+    return stream.withWatermark("event_time", f"{IDLE_MS} milliseconds") if ends else stream
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ def test_foreign_files(spark, tmp_path):
 
 
 FAST = ["velocity", "motion_profile", "apply_rules", "confidence_dims", "story_segments", "co_occurrence_edges", "compression_policy", "adaptive_skip", "scene_segments", "interactions",
-        "zone_crossings", "classify_activity", "merge_adjacent", "nearest_frames", "temporal_quality"]
+        "zone_crossings", "classify_activity", "merge_adjacent", "nearest_frames", "temporal_quality",
+        "stream_activity_machine", "stream_activity_resumed", "stream_temporal_pose", "stream_lighting", "stream_late_rows"]
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +146,47 @@ def test_odd_histograms_and_keypoints(spark):
     assert got == {1: 127.5, 2: None, 3: None, 4: None}
     poses = spark.createDataFrame([(1, [[0.5, 0.5, 0.9]] * 5), (2, None), (3, [])], "pose_id long, keypoints array<array<double>>")
     assert posture.classify_pose(poses).count() == 3
+
+
+def test_stream_tracker_equals_the_batch_log(spark):
+    """Closing rows included."""
+    cols = ["video_id", "frame_number", "track_key", "det_id", "action", "state"]
+    batch, stream = (entry.queries()[q](spark, SF).select(cols) for q in ("track_lifecycle", "stream_tracker"))
+    rows = lambda d: sorted(repr(tuple(r)) for r in d.collect())
+    got = rows(stream)
+    assert got == rows(batch) and any("closed" in r for r in got)
+
+
+def test_lighting_stream_step_in_any_pieces():
+    """Raw brightness in pieces gives what one piece gives, and what the definition says."""
+    import random
+
+    from framestory.operators.quality import lighting_step
+    from framestory.streaming.steps import lighting_stream_step
+
+    rng = random.Random(2)
+
+    def middle(v):
+        v = sorted(v)
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+    for n in (1, 2, 3, 4, 9, 11, 60, 200):
+        b = [None if rng.random() < 0.2 else 60.0 + 90 * (i // 25 % 2) + rng.random() * 8 for i in range(n)]
+        d = pd.DataFrame({"seq": range(n), "frame_number": [5 * i for i in range(n)], "timestamp_ms": [200.0 * i * (1 if i < n - 3 else 1.5) for i in range(n)], "brightness": b})
+        raw, fill = [], 128.0
+        for x in b:
+            fill = fill if x is None else x
+            raw.append(fill)
+        smooth = [middle(raw[max(0, i - 2):i + 3]) for i in range(n)]
+        base = [[smooth[j] for j in range(n) if -2000 <= d["timestamp_ms"][j] - d["timestamp_ms"][i] < 0] for i in range(n)]
+        base = [middle(x or smooth[:10]) for x in base]
+        r2 = lambda x: round(round(x * 1e10) / 1e10 * 100) / 100
+        table = d.assign(baseline=[r2(x) for x in base], smoothed=[r2(x) for x in smooth], delta=[r2(x - y) for x, y in zip(smooth, base)])
+        want = lighting_step(10.0, 2)(None, table, True)[1] if n >= 4 else []
+        for size in (1, 3, 50, n):
+            step, state, got = lighting_stream_step(), None, []
+            for i in range(0, n, size):
+                state, out = step(state, d.iloc[i:i + size], False)
+                got += out
+            got += step(state, d.iloc[:0], True)[1]
+            assert got == want
