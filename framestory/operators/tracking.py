@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,88 @@ def iou_candidates(det: DataFrame, gap: int = 1, threshold: float = 0.25) -> Dat
     a = g.prefixed(d.withColumn("_to", F.col("frame_rank") + gap), "a_", ["video_id", "class_name", "_to"])
     b = g.prefixed(d.withColumn("_to", F.col("frame_rank")), "b_", ["video_id", "class_name", "_to"])
     j = a.join(b, ["video_id", "class_name", "_to"]).withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") >= threshold)
-    return j.select("video_id", F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"), "iou")
+    return j.select("video_id", (F.col("_to") - gap).alias("frame_rank"), F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"), "iou")
+
+
+def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of greatest total gain, each row and column in at most one; pairs without gain are left out.
+
+    Rows come in one after the other; each time the cheapest chain of swaps that
+    makes room is found with reduced costs (prices keep those at zero or above).
+    """
+    flip = gain.shape[0] > gain.shape[1]
+    cost = -(gain.T if flip else gain)
+    n, m = cost.shape
+    row_price, col_price = np.zeros(n), np.zeros(m + 1)
+    holder = np.full(m + 1, -1)  # column m stands for the row that comes in
+    for row in range(n):
+        holder[m], at = row, m
+        slack, back, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while holder[at] >= 0:
+            done[at] = True
+            i = holder[at]
+            reduced = cost[i] - row_price[i] - col_price[:m]
+            better = ~done[:m] & (reduced < slack)
+            slack[better], back[better] = reduced[better], at
+            nxt = int(np.argmin(np.where(done[:m], np.inf, slack)))
+            step = slack[nxt]
+            row_price[holder[done]] += step
+            col_price[done] -= step
+            slack[~done[:m]] -= step
+            at = nxt
+        while at != m:
+            holder[at], at = holder[back[at]], back[at]
+    pairs = [(int(holder[j]), j) for j in range(m) if holder[j] >= 0]
+    pairs = [(j, i) for i, j in pairs] if flip else pairs
+    return sorted((i, j) for i, j in pairs if gain[i, j] > 0)
+
+
+def _parts_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number per edge, equal for the edges of a connected part."""
+    part = np.arange(len(a))
+    while True:
+        least = part.copy()
+        for ends in (a, b):
+            low = np.full(ends.max() + 1, len(a))
+            np.minimum.at(low, ends, least)
+            least = np.minimum(least, low[ends])
+        if (least == part).all():
+            return part
+        part = least
+
+
+def optimal_links(cands: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """One-to-one links of the greatest total overlap between two neighbouring frames.
+
+    ``cands`` holds all overlapping pairs (``iou_candidates`` with a threshold next
+    to 0): links below ``threshold`` are dropped only afterwards, since they may
+    make room for others.  Pairs that compete with no other are taken as they
+    are; of the rest, each connected part of a frame pair is solved exactly.  A
+    task holds the competing pairs of one frame pair, so it is bounded by the
+    boxes of a frame, not by the length of the video.
+    """
+    pair = ["video_id", "frame_rank"]
+    ends = {c: Window.partitionBy(*pair, c) for c in ("a", "b")}
+    d = cands.select(*pair, "a", "b", "iou").where("iou > 0").withColumns({f"_n{c}": F.count(F.lit(1)).over(w) for c, w in ends.items()})
+    d = cut_lineage(d.withColumn("_alone", (F.col("_na") == 1) & (F.col("_nb") == 1)).drop("_na", "_nb"))
+
+    def solved(rows):
+        rows = rows.sort_values(["a", "b"], kind="stable")
+        a, b = (np.unique(rows[c].to_numpy(), return_inverse=True)[1] for c in ("a", "b"))
+        part, take = _parts_of(a, b), np.zeros(len(rows), bool)
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            i, j = (np.unique(x[at], return_inverse=True)[1] for x in (a, b))
+            gain, edge = np.zeros((i.max() + 1, j.max() + 1)), {}
+            gain[i, j] = rows["iou"].to_numpy()[at]
+            edge = {(x, y): k for x, y, k in zip(i.tolist(), j.tolist(), at)}
+            for x in best_assignment(gain):
+                take[edge[x]] = True
+        return rows[take]
+
+    links = d.where("NOT _alone").drop("_alone")
+    links = d.where("_alone").drop("_alone").unionByName(links.groupBy(*pair).applyInPandas(solved, links.schema))
+    return links.where(F.col("iou") >= threshold)
 
 
 def link_one_to_one(cands: DataFrame) -> DataFrame:
@@ -110,6 +191,7 @@ class TrackerConfig:
     max_lost: int = 15
     confirm: int = 2
     min_confidence: float = 0.25
+    optimal: bool = False
 
 
 LIFECYCLE_OUT = T.StructType([
@@ -144,6 +226,15 @@ def _greedy_pairs(boxes: list, dets: np.ndarray, track_keys: list, det_ids: np.n
     return by_track
 
 
+def _optimal_pairs(boxes: list, dets: np.ndarray, track_keys: list, det_ids: np.ndarray, threshold: float) -> dict[int, int]:
+    """Track index to detection index with the greatest total overlap; equal totals are settled by ids as far as the order of rows goes."""
+    if not boxes or not len(dets):
+        return {}
+    rows, cols = np.argsort(np.asarray(track_keys), kind="stable"), np.argsort(det_ids, kind="stable")
+    m = _iou_matrix(np.asarray(boxes)[rows], dets[cols])
+    return {int(rows[i]): int(cols[j]) for i, j in best_assignment(m) if m[i, j] >= threshold}
+
+
 def lifecycle_step(cfg: TrackerConfig = TrackerConfig()):
     """One frame after another; the state is the list of live tracks.
 
@@ -164,7 +255,7 @@ def lifecycle_step(cfg: TrackerConfig = TrackerConfig()):
             t["state"] = "lost"
 
     def one_frame(live, frame, ids, classes, confs, boxes, out):
-        match = _greedy_pairs([t["box"] for t in live], boxes, [t["key"] for t in live], ids, cfg.iou_threshold)
+        match = (_optimal_pairs if cfg.optimal else _greedy_pairs)([t["box"] for t in live], boxes, [t["key"] for t in live], ids, cfg.iou_threshold)
         taken = set(match.values())
         free = [j for j in range(len(ids)) if j not in taken]
         for i, t in enumerate(live):

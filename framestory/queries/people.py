@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framestory import fixed
 from framestory.functions import geometry as g
+from framestory.functions.numbers import rounded
 from framestory.operators import activity, detections, identity, interactions, posture, tracking, tracks, zones
 from framestory.queries.motion import profiles_of, tracks_of
 from framestory.queries.registry import query
@@ -173,6 +174,22 @@ def _(s):
     return tracking.link_one_to_one(tracking.iou_candidates(ranked_detections(s), 1, 0.05)).select("video_id", "a", "b")
 
 
+view("pairs0", VIEWS["cands"][1].replace("WHERE iou >= 0.05E0", "WHERE iou > 0"), "trk_det")
+view("edges0", "SELECT e.*, t.frame_rank AS rank, count(*) OVER (PARTITION BY e.video_id, t.frame_rank, a) AS da, count(*) OVER (PARTITION BY e.video_id, t.frame_rank, b) AS db FROM pairs0 e JOIN trk_det t ON t.video_id = e.video_id AND t.det_id = e.a", "pairs0", "trk_det")
+view("fought", "SELECT *, row_number() OVER (PARTITION BY video_id, rank ORDER BY a, b) AS i FROM edges0 WHERE da > 1 OR db > 1", "edges0")
+view("matchings", """SELECT DISTINCT video_id, rank, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub, CAST(0 AS DOUBLE) AS total FROM fought
+ UNION ALL SELECT w.video_id, w.rank, e.i, CASE WHEN t.take THEN list_append(w.ua, e.a) ELSE w.ua END, CASE WHEN t.take THEN list_append(w.ub, e.b) ELSE w.ub END, w.total + CASE WHEN t.take THEN e.iou ELSE 0 END
+ FROM matchings w JOIN fought e ON e.video_id = w.video_id AND e.rank = w.rank AND e.i = w.i + 1, (VALUES (true), (false)) t(take) WHERE NOT t.take OR NOT (list_contains(w.ua, e.a) OR list_contains(w.ub, e.b))""", "fought")
+
+
+@query("link_optimal", sql(f"""SELECT video_id, rank AS frame_rank, {R('sum(total)', 6)} AS total_iou FROM (SELECT video_id, rank, iou AS total FROM edges0 WHERE da = 1 AND db = 1
+ UNION ALL SELECT video_id, rank, max(total) FROM matchings GROUP BY ALL) GROUP BY ALL""", "edges0", "matchings"))
+def _(s):
+    """Total overlap of the best assignment of every frame pair."""
+    links = tracking.optimal_links(tracking.iou_candidates(ranked_detections(s), 1, 1e-12), 0.0)
+    return links.groupBy("video_id", "frame_rank").agg(rounded(F.sum("iou"), 6).alias("total_iou"))
+
+
 @query("track_batch")
 def _(s):
     return tracking.track_batch(tracker_detections(s)).select("video_id", "track_id", "det_id", "frame_number")

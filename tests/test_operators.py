@@ -63,6 +63,42 @@ def test_links_match_greedy(spark):
     assert {(x.a, x.b) for x in tracking.link_one_to_one(d).collect()} == want
 
 
+def test_best_assignment_equals_all_matchings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = rng.integers(1, 7, 2)
+        w = np.round(rng.random((n, m)) * (rng.random((n, m)) < 0.6), 2)
+        pairs = tracking.best_assignment(w)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        big = np.zeros((max(n, m),) * 2)
+        big[:n, :m] = w
+        best = max(sum(big[i, p[i]] for i in range(len(big))) for p in itertools.permutations(range(len(big))))
+        assert abs(sum(w[i, j] for i, j in pairs) - best) < 1e-9
+
+
+def test_optimal_links_by_parts(spark):
+    """Two boxes that greedy matching pairs badly, a lone pair, and a link that only makes room."""
+    edges = [(1, 0, 1, 11, 0.9), (1, 0, 1, 12, 0.8), (1, 0, 2, 11, 0.8), (1, 0, 3, 13, 0.5), (1, 1, 5, 15, 0.3), (1, 1, 5, 16, 0.28), (1, 1, 6, 15, 0.2), (2, 0, 1, 11, 0.1)]
+    d = spark.createDataFrame(edges, "video_id long, frame_rank long, a long, b long, iou double")
+    got = {(r["video_id"], r["a"], r["b"]) for r in tracking.optimal_links(d, 0.25).collect()}
+    assert got == {(1, 1, 12), (1, 2, 11), (1, 3, 13), (1, 5, 16)}
+    assert tracking.optimal_links(d.where("false")).collect() == []
+
+
+def test_tracks_keep_their_ids_when_boxes_compete(spark):
+    """Two walkers of whom one steps between: greedy matching swaps them, the best total doesn't."""
+    frames = [(0, 1, 0.0), (0, 2, 0.5), (5, 3, 0.3), (5, 4, 0.8)]
+    rows = [(1, f, i, "person", 0.9, x, 0.0, x + 1.0, 1.0) for f, i, x in frames]
+    d = spark.createDataFrame(rows, f"video_id long, frame_number long, det_id long, class_name string, confidence double, {BOX}")
+    owner = lambda cfg: {r["det_id"]: r["track_key"] for r in tracking.track_lifecycle(d, cfg=cfg).where("det_id is not null").collect()}
+    assert owner(tracking.TrackerConfig(optimal=True)) == {1: 1, 2: 2, 3: 1, 4: 2}
+    assert owner(tracking.TrackerConfig())[3] == 2
+
+
 def brute_tracker(frames, cfg):
     """Greedy frame-by-frame tracker on plain tuples: {det_id: key}."""
     live, owner = [], {}
