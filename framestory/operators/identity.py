@@ -3,27 +3,142 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framestory.plans.fold import ordered_fold
-from framestory.plans.sequence import index_rows
+from framestory.plans.sequence import first_n, index_rows
+from framestory.session import cut_lineage
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+#: Persons of a block, tracks of a batch, pivots of a video and the persons they are chosen from, blocks of a summary row; they set the cost, not the result.
+BLOCK_PERSONS, BATCH_TRACKS, PIVOTS, PIVOT_SAMPLE, PART_BLOCKS, CHUNK = 256, 256, 128, 2_048, 1_024, 4_096
+SPACE = ["video_id", "dims"]
+ROUNDING = 1e-9
+
+
+def _rows(packed: bytes, dims: int) -> np.ndarray:
+    return np.frombuffer(packed, np.float64).reshape(-1, dims)
+
+
+def _packed(vectors) -> bytes:
+    return np.array([np.asarray(v, dtype=np.float64) for v in vectors]).tobytes()
+
+
+def _spread_out(vectors: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the vectors, each the one at the widest angle to those before it."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(n, len(vectors)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _dealt(d: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``d`` with ``_sub``: rows of a key dealt by hash to as many groups as keep them at about ``size`` rows."""
+    n = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_groups"))
+    return d.join(n, keys).withColumn("_sub", F.pmod(F.xxhash64("id"), "_groups")).drop("_groups")
+
+
+def _gathered(d: DataFrame, pivots: DataFrame, size: int) -> DataFrame:
+    """Vectors ``(video_id, dims, id, v)`` in groups of neighbours: ids, matrix, and the group's middle vector, widest angle to it and largest length."""
+    kind = d.schema["id"].dataType.simpleString()
+
+    def chunked(key, rows):
+        return pd.DataFrame({"video_id": [key[0]], "dims": [key[1]], "ids": [rows["id"].tolist()], "m": [_packed(rows["v"])]})
+
+    def placed(frames):
+        for pdf in frames:
+            for video, dims, ids, m, p in zip(pdf["video_id"], pdf["dims"], pdf["ids"], pdf["m"], pdf["pivots"]):
+                x = _rows(m, dims)
+                near = (x @ _rows(p, dims).T).argmax(axis=1)
+                yield pd.DataFrame({"video_id": video, "dims": dims, "near": near, "id": list(ids), "v": list(x)})
+
+    def grouped(key, rows):
+        x = np.array([np.asarray(v) for v in rows["v"]])
+        length = np.linalg.norm(x, axis=1)
+        unit = x / np.maximum(length, 1e-300)[:, None]
+        mid = int((unit @ unit.mean(axis=0)).argmax())
+        wide = float(np.arccos(np.clip((unit @ unit[mid])[length > 0], -1, 1)).max(initial=0.0)) if length[mid] > 0 else np.pi
+        return pd.DataFrame({"video_id": [key[0]], "dims": [key[1]], "ids": [rows["id"].tolist()], "m": [x.tobytes()], "mid": [x[mid].tobytes()], "wide": [wide], "length": [float(length.max())]})
+
+    chunks = _dealt(d, SPACE, CHUNK).groupBy(*SPACE, "_sub").applyInPandas(chunked, f"video_id long, dims int, ids array<{kind}>, m binary")
+    near = chunks.join(pivots, SPACE).mapInPandas(placed, f"video_id long, dims int, near long, id {kind}, v array<double>")
+    near = _dealt(cut_lineage(near), [*SPACE, "near"], size)
+    groups = near.groupBy(*SPACE, "near", "_sub").applyInPandas(grouped, f"video_id long, dims int, ids array<{kind}>, m binary, mid binary, wide double, length double")
+    return cut_lineage(groups.withColumn("group", F.monotonically_increasing_id()))
+
+
+def gallery_visits(tracks: DataFrame, gallery: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Batches of tracks, blocks of persons, and the pairs ``(batch, block)`` that may hold a best match.
+
+    A block's persons lie within an angle of its middle one, so a track's
+    similarity to them is bounded by its own angle to the middle person less that.
+    The similarity to the middle persons is reached for certain; a block counts
+    only where its bound reaches the best of those, and the threshold.
+    """
+    vectors = lambda d, key: d.where("embedding IS NOT NULL AND size(embedding) > 0").select(
+        F.col("video_id").cast("long").alias("video_id"), F.size("embedding").alias("dims"), F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    people = vectors(gallery, "person_label")
+    few = first_n(people, SPACE, [F.xxhash64("id"), "id"], PIVOT_SAMPLE, "_n")
+
+    def chosen(key, rows):
+        x = _spread_out(np.array([np.asarray(v) for v in rows.sort_values("_n")["v"]]), PIVOTS)
+        return pd.DataFrame({"video_id": [key[0]], "dims": [key[1]], "pivots": [x.tobytes()]})
+
+    pivots = few.groupBy(*SPACE).applyInPandas(chosen, "video_id long, dims int, pivots binary")
+    pivots = cut_lineage(pivots)
+    blocks, batches = _gathered(people, pivots, BLOCK_PERSONS), _gathered(vectors(tracks, "track_id"), pivots, BATCH_TRACKS)
+
+    def summed(key, rows):
+        return pd.DataFrame({"video_id": [key[0]], "dims": [key[1]], "groups": [rows["group"].tolist()], "mids": [b"".join(rows["mid"])],
+                             "wides": [rows["wide"].tolist()], "lengths": [rows["length"].tolist()]})
+
+    parts = _dealt(blocks.select(*SPACE, F.col("group").alias("id"), "group", "mid", "wide", "length"), SPACE, PART_BLOCKS).groupBy(*SPACE, "_sub").applyInPandas(
+        summed, "video_id long, dims int, groups array<long>, mids binary, wides array<double>, lengths array<double>")
+
+    def bounded(frames):
+        for pdf in frames:
+            for dims, batch, m, groups, mids, wides, lengths in zip(*(pdf[c] for c in ("dims", "group", "m", "groups", "mids", "wides", "lengths"))):
+                x, y, wide, far = _rows(m, dims), _rows(mids, dims), np.asarray(wides), np.asarray(lengths)
+                sure = x @ y.T
+                own, mid = np.linalg.norm(x, axis=1)[:, None], np.linalg.norm(y, axis=1)[None, :]
+                angle = np.arccos(np.clip(sure / np.maximum(own * mid, 1e-300), -1, 1))
+                bound = own * far * np.cos(np.clip(angle - wide, 0, np.pi)) + ROUNDING * (1 + own * far)
+                hit = (bound >= np.maximum(threshold, sure.max(axis=1))[:, None]).any(axis=0)
+                yield pd.DataFrame({"batch": batch, "block": np.asarray(groups)[hit]})
+
+    pairs = batches.select(*SPACE, "group", "m").join(parts, SPACE).mapInPandas(bounded, "batch long, block long")
+    return batches, blocks, cut_lineage(pairs)
 
 
 def gallery_matches(tracks: DataFrame, gallery: DataFrame, threshold: float = 0.52) -> DataFrame:
     """Best gallery person of each track with similarity at least the threshold; the first label wins ties.
 
-    Tracks meet the persons of their own video only; the best of them is taken
-    by a partial aggregate, not by sorting.
+    An exact search that leaves out what can't matter: tracks in batches and
+    persons in blocks of neighbours meet only where bounds allow (``gallery_visits``).
+    Tracks meet the persons of their own video and of their own number of dimensions.
     """
-    g = gallery.select("video_id", "person_label", F.col("embedding").alias("_g"))
-    d = tracks.select("video_id", "track_id", "embedding").join(g, "video_id").withColumn("similarity", dot(F.col("embedding"), F.col("_g")))
-    best = d.where((F.col("similarity") > 0) & (F.col("similarity") >= threshold)).groupBy("video_id", "track_id").agg(
+    batches, blocks, pairs = gallery_visits(tracks, gallery, threshold)
+
+    def best(frames):
+        for pdf in frames:
+            for video, dims, ids, m, labels, g in zip(*(pdf[c] for c in ("video_id", "dims", "ids", "m", "labels", "g"))):
+                x, y = _rows(m, dims), _rows(g, dims)
+                s = x @ y.T
+                top = np.maximum(s.max(axis=1), threshold)
+                i, j = np.nonzero(s >= top[:, None] - ROUNDING * (1 + np.abs(top[:, None])))
+                exact = [float(np.cumsum(x[a] * y[b])[-1]) for a, b in zip(i, j)]
+                yield pd.DataFrame({"video_id": video, "track_id": np.asarray(ids)[i], "person_label": np.asarray(labels, dtype=object)[j], "similarity": exact})
+
+    met = pairs.join(batches.select(*SPACE, F.col("group").alias("batch"), "ids", "m"), "batch").join(
+        blocks.select(F.col("group").alias("block"), F.col("ids").alias("labels"), F.col("m").alias("g")), "block")
+    kind = tracks.schema["track_id"].dataType.simpleString()
+    found = met.mapInPandas(best, f"video_id long, track_id {kind}, person_label string, similarity double")
+    best = found.where((F.col("similarity") > 0) & (F.col("similarity") >= threshold)).groupBy("video_id", "track_id").agg(
         F.min(F.struct((-F.col("similarity")).alias("n"), "person_label")).alias("_b"))
     return best.select("video_id", "track_id", F.col("_b.person_label").alias("person_label"), (-F.col("_b.n")).alias("similarity"))
 

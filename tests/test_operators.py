@@ -372,3 +372,32 @@ def test_consolidated_gallery_names_every_person(spark):
     sf = "/root/testdata/sf0.001"
     named = {(r["video_id"], r["person_label"]) for r in entry.queries()["reid_assign"](spark, sf).collect()}
     assert {(r["video_id"], r["person_label"]) for r in entry.queries()["consolidate_gallery"](spark, sf).collect()} == named
+
+
+def test_gallery_matches_visit_little_of_a_hot_video(spark, monkeypatch):
+    """All best matches of a video with many persons, from a small part of the products."""
+    import numpy as np
+
+    from framestory.operators import identity
+
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    looks = unit(rng.standard_normal((60, 48)))
+    people = unit(looks[rng.integers(0, 60, 3000)] + 0.05 * rng.standard_normal((3000, 48)))
+    tracks = unit(people[rng.integers(0, 3000, 2000)] + 0.02 * rng.standard_normal((2000, 48))) * rng.uniform(0.5, 2, (2000, 1))
+    people[17] = people[16]  # a tie
+    t = [(1, i, v.tolist()) for i, v in enumerate(tracks)] + [(2, 0, [1.0, 0.0]), (2, 1, None), (2, 2, []), (2, 3, [0.0, 0.0]), (3, 0, [1.0, 0.0])]
+    g = [(1, f"P{i:04d}", v.tolist()) for i, v in enumerate(people)] + [(2, "A", [0.0, 1.0]), (2, "B", [0.8, 0.6]), (2, "C", [1.0]), (2, "D", None)]
+    td = spark.createDataFrame(t, "video_id long, track_id long, embedding array<double>").repartition(4)
+    gd = spark.createDataFrame(g, "video_id long, person_label string, embedding array<double>").repartition(4)
+    monkeypatch.setattr(identity, "BLOCK_PERSONS", 64)
+    monkeypatch.setattr(identity, "BATCH_TRACKS", 64)
+    got = {(r["video_id"], r["track_id"]): (r["person_label"], r["similarity"]) for r in identity.gallery_matches(td, gd, 0.5).collect()}
+    s = tracks @ people.T
+    want = {(1, i): int(s[i].argmax()) for i in range(2000) if s[i].max() >= 0.5}
+    assert {k: v[0] for k, v in got.items() if k[0] == 1} == {k: f"P{j:04d}" for k, j in want.items()}
+    assert got[2, 0] == ("B", 0.8) and {k for k in got if k[0] != 1} == {(2, 0)}
+    batches, blocks, pairs = identity.gallery_visits(td, gd, 0.5)
+    n = (pairs.join(batches.selectExpr("group AS batch", "size(ids) AS b"), "batch").join(blocks.selectExpr("group AS block", "size(ids) AS p"), "block")
+         .selectExpr("sum(b * p)").first()[0])
+    assert n < 0.15 * 2000 * 3000
