@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framestory.llm.setjoin import ENTRY, classes, common_lists, held_sets, mixed, set_links, set_prints, set_vertices, texts_of
+from framestory.llm.common import maybe_in, removed
+from framestory.llm.setjoin import SKETCH, classes, common_lists, held_sets, may_be_near, mixed, set_links, set_prints, set_vertices, texts_of
 from framestory.session import cut_lineage
 
 WHOLE, SHORTENED = 1, 2
+LEAST_ELEMENTS = 3
 
 
 class Bands:
@@ -65,17 +67,10 @@ def signature(sums: np.ndarray, segment: np.ndarray, band: int, kind: int) -> np
 
 
 def segment_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of all segments in the set's own band and the one below; ``at`` is twice the segment, one more in the band below."""
+    """Keys of all segments in the set's own band, then of those in the band below if that has partners."""
     if not len(grams):
-        return np.zeros(0, ENTRY)
-    out = []
-    for role, b in enumerate(bands.probed(len(grams))):
-        m = bands.segments(b)
-        own = np.zeros(m, ENTRY)
-        number = np.arange(m)
-        own["key"], own["at"] = signature(cut(grams, m)[0], number, b, WHOLE), 2 * number + role
-        out.append(own)
-    return np.concatenate(out)
+        return np.zeros(0, np.int64)
+    return np.concatenate([signature(cut(grams, m)[0], np.arange(m), b, WHOLE) for b in bands.probed(len(grams)) for m in [bands.segments(b)]])
 
 
 def allocation(sizes: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,14 +78,15 @@ def allocation(sizes: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.nda
 
     ``costs`` are the lengths of crowded lists, 0 for others.  A skipped segment
     gives up one permitted difference, so another one takes it over: a segment
-    without a crowded list, the smallest first, whose one-deletion neighbourhood
-    costs an entry per element.  Crowded lists go by falling length as long as
+    without a crowded list, whose one-deletion neighbourhood costs an entry per
+    element; the smallest come first, but those of one or two elements last, as
+    what is left of these is common.  Crowded lists go by falling length as long as
     that is cheaper; the rest is kept.
     """
     crowded = np.flatnonzero(costs)
     crowded = crowded[np.argsort(-costs[crowded], kind="stable")]
     free = np.flatnonzero(costs == 0)
-    free = free[np.argsort(sizes[free], kind="stable")]
+    free = free[np.lexsort((sizes[free], sizes[free] < LEAST_ELEMENTS))]
     k = min(len(crowded), len(free))
     worth = costs[crowded[:k]] > 1 + sizes[free[:k]]
     k = k if worth.all() else int(np.argmin(worth))
@@ -102,46 +98,51 @@ def reallocated_pairs(lists: DataFrame, sets: DataFrame, bands: Bands) -> DataFr
 
     If all segments that two near sets have in common are crowded, both are in
     these lists.  So only their members index whole segments and one-deletion
-    neighbourhoods, and each probes with its own allocation.
+    neighbourhoods, and each probes with its own allocation.  Of two sets that
+    aren't connected one is outside the largest connected part of every list they
+    share, so who is in that part of all its lists needs not probe.
     """
-    crowded = lists.groupBy("v").agg(F.collect_list(F.struct("at", "m")).alias("crowd"), F.first("root").alias("root"))
-    d = crowded.join(sets.select(F.col("v").alias("_v"), "s"), F.col("v") == F.col("_v")).select("v", "root", "crowd.at", "crowd.m", "s")
+    parts = lists.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy(F.col("key").alias("_k")).agg(F.max_by("root", F.struct("_c", "root")).alias("_big"))
+    d = lists.join(parts, F.col("key") == F.col("_k"))
+    crowded = d.groupBy("v").agg(F.collect_list(F.struct("at", "m")).alias("crowd"), F.max(F.col("root") != F.col("_big")).alias("asks"))
+    d = crowded.join(sets.select(F.col("v").alias("_v"), "s"), F.col("v") == F.col("_v")).select("v", "asks", "crowd.at", "crowd.m", "s")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for v, root, at, m, s in zip(pdf["v"].tolist(), pdf["root"].tolist(), pdf["at"], pdf["m"], pdf["s"]):
+            for v, asks, at, m, s in zip(pdf["v"].tolist(), pdf["asks"].tolist(), pdf["at"], pdf["m"], pdf["s"]):
                 grams, at, m = np.frombuffer(s, np.uint64), np.asarray(at), np.asarray(m)
-                for role, b in enumerate(bands.probed(len(grams))):
-                    mine = at % 2 == role
+                before = 0
+                for b in bands.probed(len(grams)):
+                    count = bands.segments(b)
+                    mine = (at >= before) & (at < before + count)
+                    costs = np.zeros(count, np.int64)
+                    costs[at[mine] - before] = m[mine]
+                    before += count
                     if not mine.any():
                         continue
-                    count = bands.segments(b)
                     sums, edges = cut(grams, count)
-                    costs = np.zeros(count, np.int64)
-                    costs[at[mine] // 2] = m[mine]
                     _, kept, widened = allocation(np.diff(edges), costs)
                     every = np.arange(count)
                     segment = np.repeat(every, np.diff(edges))
                     less = sums[segment] - mixed(grams)
                     wide = np.isin(segment, widened)
-                    sig = [signature(sums, every, b, WHOLE), signature(less, segment, b, SHORTENED),
-                           signature(sums[widened], widened, b, SHORTENED), signature(less[wide], segment[wide], b, WHOLE), signature(sums[kept], kept, b, WHOLE)]
-                    probe = np.repeat([False, False, True, True, True], [len(x) for x in sig])
-                    yield pd.DataFrame({"sig": np.concatenate(sig), "v": v, "root": root, "probe": probe})
-
-    rows = cut_lineage(d.mapInPandas(run, "sig long, v long, root long, probe boolean"))
-    p = rows.where("probe").select("sig", F.col("v").alias("a"), F.col("root").alias("_ra"))
-    i = rows.where("NOT probe").select(F.col("sig").alias("_s"), F.col("v").alias("b"), F.col("root").alias("_rb"))
-    met = p.join(i, (F.col("sig") == F.col("_s")) & (F.col("_ra") != F.col("_rb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                    own = np.concatenate([signature(sums, every, b, WHOLE), signature(less, segment, b, SHORTENED)])
+                    asked = np.concatenate([signature(sums[widened], widened, b, SHORTENED), signature(less[wide], segment[wide], b, WHOLE), signature(sums[kept], kept, b, WHOLE)])
+                    asked = asked if asks else asked[:0]
+                    yield pd.DataFrame({"sig": np.concatenate([own, asked]), "v": v, "probe": np.repeat([False, True], [len(own), len(asked)])})
 
+    rows = cut_lineage(d.mapInPandas(run, "sig long, v long, probe boolean"))
+    probes = rows.where("probe").select("sig", "v")
+    index = maybe_in(rows.where("NOT probe").select("sig", "v"), F.col("sig"), probes, F.col("sig"))
+    known = ["n", *SKETCH, "root"]
+    members = cut_lineage(lists.groupBy("v").agg(*[F.first(c).alias(c) for c in known]))
 
-def size_filter(percent: int):
-    """Whether sizes allow the share at all."""
-    def possible(a: str, b: str) -> Column:
-        return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n)")
+    def side(d: DataFrame, p: str) -> DataFrame:
+        m = members.select(F.col("v").alias("_v"), *known)
+        return d.join(m, F.col("v") == F.col("_v")).select(F.col("sig").alias(f"{p}sig"), F.col("v").alias(f"{p}v"), *[F.col(c).alias(p + c) for c in known])
 
-    return possible
+    met = side(probes, "a_").join(side(index, "b_"), F.expr("a_sig = b_sig AND a_root <> b_root") & may_be_near(bands.percent, "a_", "b_"))
+    return met.select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b")).distinct()
 
 
 def similar_briefs(briefs: DataFrame, key: str = "video_id", text: str = "brief", words: int = 3, percent: int = 90) -> DataFrame:
@@ -166,11 +167,13 @@ def similar_briefs(briefs: DataFrame, key: str = "video_id", text: str = "brief"
     """
     bands = Bands(percent)
     texts = texts_of(briefs, key, text)
-    prints = set_prints(texts, words, lambda g: segment_keys(g, bands))
+    prints, folder = set_prints(texts, words, lambda g: segment_keys(g, bands))
+    lists = common_lists(prints.where("n > 0"))
+    prints = cut_lineage(prints.drop("keys"))
+    removed(prints, folder)
     vertices = set_vertices(prints.where("n > 0"))
-    lists = common_lists(vertices)
-    sets = held_sets(texts, vertices, lists, words)
-    links = set_links(lists, sets, percent, size_filter(percent), lambda rest, s: reallocated_pairs(rest, s, bands))
+    hold = lambda wanted: held_sets(texts, vertices, wanted, words)
+    links = set_links(lists, hold, vertices, percent, crowded=lambda rest: reallocated_pairs(rest, hold(rest), bands))
     found = classes(prints.where("n > 0"), vertices, links).select("_id", "n", "component")
     bare = prints.where("n = 0").select("_id", "n", F.col("_id").alias("component"))
     return found.unionByName(bare).select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component")

@@ -14,18 +14,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framestory.llm.common import text_rows
+from framestory.llm.common import maybe_in, text_rows, written
 from framestory.llm.graph import components
 from framestory.llm.simhash import SEED, UPPER
 from framestory.session import cut_lineage
 
-#: Lists up to this length give all their pairs; longer ones are first thinned, so many times, by pairs with one member.
-SHORT_LIST, STAR_ROUNDS = 16, 2
+#: Lists up to this length give all their pairs; the members of longer ones first meet so many further ones of them.
+SHORT_LIST, CENTRES = 16, 3
 #: Pairs of one set that a task compares in a row.
 PAIR_RUN = 1024
 #: Words and set numbers that a task remembers.
 KNOWN_WORDS, SEEN_SETS = 300_000, 100_000
-ENTRY = np.dtype([("key", "<i8"), ("at", "<i4")])
+#: Columns of a set's sketch, 64 bits each.
+SKETCH = ("k0", "k1", "k2", "k3")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,52 +68,82 @@ def set_number(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63)
 
 
+def sketch_of(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements by their last byte; two sets' sketches differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+
+
+def may_be_near(percent: int, a: str, b: str) -> Column:
+    """Whether sizes and sketches of two sets (columns with these prefixes) allow the share."""
+    apart = " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in SKETCH)
+    return F.expr(f"({apart}) * {100 + percent} <= ({a}n + {b}n) * {100 - percent} AND 100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n)")
+
+
 def texts_of(records: DataFrame, key: str, text: str) -> DataFrame:
     """``_id``, ``_text`` and the text's hashes, which tell rows of one id apart."""
     return text_rows(records, key, text).withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64("_text", F.lit(1))})
 
 
-def set_prints(texts: DataFrame, words: int, entries: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``_id``, ``_t1``, ``_t2``, ``v`` (set number), ``n`` (size) and ``entries`` (the set's keys, packed) of each text, in one pass."""
+def set_prints(texts: DataFrame, words: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> tuple[DataFrame, str]:
+    """``_id``, ``_t1``, ``_t2``, ``v`` (set number), ``n`` (size), sketch and ``keys`` (the set's keys, packed) of each text, in one pass; and their folder.
+
+    A task that has given the keys of a set leaves them out of its copies.
+    """
     kind = texts.schema["_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
+        shingler, seen = Shingler(words), set()
         for pdf in frames:
-            sets = [shingler.grams(t) for t in pdf["_text"]]
-            yield pd.DataFrame({"_id": pdf["_id"], "_t1": pdf["_t1"], "_t2": pdf["_t2"], "v": [set_number(g) for g in sets], "n": [len(g) for g in sets],
-                                "entries": [entries(g).tobytes() for g in sets]})
+            rows = []
+            for t in pdf["_text"]:
+                g = shingler.grams(t)
+                v = set_number(g)
+                rows.append((v, len(g), *sketch_of(g).tolist(), b"" if v in seen else keys_of(g).astype(np.int64).tobytes()))
+                if len(seen) < SEEN_SETS:
+                    seen.add(v)
+            out = pd.DataFrame(rows, columns=["v", "n", *SKETCH, "keys"])
+            yield pd.concat([pdf[["_id", "_t1", "_t2"]].reset_index(drop=True), out], axis=1)
 
-    return cut_lineage(texts.mapInPandas(run, f"_id {kind}, _t1 long, _t2 long, v long, n int, entries binary"))
+    sketch = ", ".join(f"{k} long" for k in SKETCH)
+    return written(texts.mapInPandas(run, f"_id {kind}, _t1 long, _t2 long, v long, n int, {sketch}, keys binary"), "sets")
 
 
 def set_vertices(prints: DataFrame) -> DataFrame:
-    """One row per distinct set: its smallest id, the place of one text, size and keys."""
-    return cut_lineage(prints.groupBy("v").agg(
-        F.min("_id").alias("_least"), F.min(F.struct("_id", "_t1", "_t2")).alias("_place"), F.first("n").alias("n"), F.first("entries").alias("entries")))
+    """One row per distinct set: its smallest id, the place of one of its texts, size and sketch."""
+    return cut_lineage(prints.groupBy("v").agg(F.min("_id").alias("_least"), F.min(F.struct("_id", "_t1", "_t2")).alias("_place"), *[F.min(c).alias(c) for c in ("n", *SKETCH)]))
+
 
+def common_lists(prints: DataFrame) -> DataFrame:
+    """``(key, v, n, at, m, met)`` of every key that ``m`` > 1 sets have; ``at`` is the key's place among the set's keys.
 
-def common_lists(vertices: DataFrame) -> DataFrame:
-    """``(key, v, n, at, m, c)`` of every key that ``m`` > 1 sets have; ``c`` is one of them."""
+    ``met`` holds members that all others shall meet: one, and ``CENTRES`` more on long lists.
+    """
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            held = [np.frombuffer(e, ENTRY) for e in pdf["entries"]]
-            sizes = [len(e) for e in held]
-            flat = np.concatenate(held) if held else np.zeros(0, ENTRY)
-            v, n = np.repeat(pdf["v"].to_numpy(), sizes), np.repeat(pdf["n"].to_numpy(), sizes)
-            for i in range(0, len(flat), 1 << 17):
+            held = [np.frombuffer(k, np.int64) for k in pdf["keys"]]
+            sizes = [len(k) for k in held]
+            key = np.concatenate(held) if held else np.zeros(0, np.int64)
+            v, n = np.repeat(pdf["v"].to_numpy(), sizes), np.repeat(pdf["n"].to_numpy(np.int64), sizes)
+            place = (n << 32) | (np.concatenate([np.arange(k) for k in sizes]) if held else key)
+            for i in range(0, len(key), 1 << 17):
                 part = slice(i, i + (1 << 17))
-                yield pd.DataFrame({"key": flat["key"][part], "v": v[part], "n": n[part], "at": flat["at"][part]})
+                yield pd.DataFrame({"key": key[part], "v": v[part], "place": place[part]})
 
     w = Window.partitionBy("key")
-    d = vertices.select("v", "n", "entries").mapInPandas(unpack, "key long, v long, n int, at int")
-    return cut_lineage(d.withColumns({"m": F.count(F.lit(1)).over(w), "c": F.min(F.struct("v", "n", "at")).over(w)}).where("m > 1"))
+    one = prints.groupBy("v").agg(F.max("n").alias("n"), F.max("keys").alias("keys"))
+    d = one.select("v", "n", "keys").mapInPandas(unpack, "key long, v long, place long")
+    some = [F.min(F.struct(F.col("v").alias("h"), "v", "place")).over(w), *[F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), "v", "place")).over(w) for i in range(CENTRES)]]
+    d = d.withColumns({"m": F.count(F.lit(1)).over(w), "met": F.array(*some)}).where("m > 1")
+    size, at = (lambda p: F.shiftright(p, 32).cast("int")), (lambda p: F.col(p).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    met = F.when(F.col("m") > SHORT_LIST, F.col("met")).otherwise(F.slice("met", 1, 1))
+    return cut_lineage(d.select("key", "v", size("place").alias("n"), at("place").alias("at"), "m", met.alias("met")))
 
 
 def held_sets(texts: DataFrame, vertices: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(v, s)``: the whole sets of the wanted vertices."""
-    places = vertices.join(wanted.select(F.col("v").alias("_w")).distinct(), F.col("v") == F.col("_w")).select(
-        "v", F.col("_place._id").alias("_pi"), F.col("_place._t1").alias("_p1"), F.col("_place._t2").alias("_p2"))
+    """``(v, s)``: the whole sets of the wanted vertices (column ``v``), from their texts."""
+    wanted = wanted.select(F.col("v").alias("_w")).distinct()
+    places = cut_lineage(vertices.join(wanted, F.col("v") == F.col("_w")).select(
+        "v", F.col("_place._id").alias("_pi"), F.col("_place._t1").alias("_p1"), F.col("_place._t2").alias("_p2")))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(words), set()
@@ -125,22 +156,24 @@ def held_sets(texts: DataFrame, vertices: DataFrame, wanted: DataFrame, words: i
                         seen.add(v)
             yield pd.DataFrame(out, columns=["v", "s"])
 
-    d = texts.join(places, (F.col("_t1") == F.col("_p1")) & (F.col("_t2") == F.col("_p2")) & F.col("_id").eqNullSafe(F.col("_pi")))
+    d = maybe_in(texts, F.col("_t1"), places, F.col("_p1"))
+    d = d.join(places, (F.col("_t1") == F.col("_p1")) & (F.col("_t2") == F.col("_p2")) & F.col("_id").eqNullSafe(F.col("_pi")))
     return cut_lineage(d.select("v", "_text").mapInPandas(sets, "v long, s binary"))
 
 
-def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``(a, b)`` whose sets share ``percent`` of their union, by the sets themselves.
+def near_enough(pairs: DataFrame, hold: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Those pairs ``(a, b)`` whose sets share ``percent`` of their union, by the sets themselves, which ``hold`` gives for vertices.
 
     The sets of all ``b`` of an ``a`` pass by that of ``a``, which a task holds
     alone; an ``a`` with very many partners is dealt to several tasks.
     """
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut_lineage(pairs.distinct())
     turns = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / PAIR_RUN).alias("_turns"))
-    heads = turns.join(sets, F.col("_a") == F.col("v")).select(
-        F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_turns") - 1)).alias("turn"), F.lit(0).alias("member"), F.lit(0).cast("long").alias("b"), "s")
-    others = pairs.join(turns, F.col("a") == F.col("_a")).join(sets, F.col("b") == F.col("v")).select("a", F.pmod(F.xxhash64("b"), "_turns").alias("turn"), F.lit(1).alias("member"), "b", "s")
+    heads = turns.select(F.col("_a").alias("w"), F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_turns") - 1)).alias("turn"), F.lit(0).alias("member"))
+    others = pairs.join(turns, F.col("a") == F.col("_a")).select(F.col("b").alias("w"), "a", F.pmod(F.xxhash64("b"), "_turns").alias("turn"), F.lit(1).alias("member"))
+    asked = cut_lineage(heads.unionByName(others))
+    sets = hold(asked.select(F.col("w").alias("v")))
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(0, np.uint64)
@@ -158,7 +191,8 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     good.append((a, b))
             yield pd.DataFrame(good, columns=["a", "b"])
 
-    met = heads.unionByName(others).repartition(n, "a", "turn").sortWithinPartitions("a", "turn", "member")
+    met = asked.join(sets, F.col("w") == F.col("v")).select("a", "turn", "member", F.col("w").alias("b"), "s")
+    met = met.repartition(n, "a", "turn").sortWithinPartitions("a", "turn", "member")
     return cut_lineage(met.select("a", "member", "b", "s").mapInPandas(verified, "a long, b long").distinct())
 
 
@@ -166,55 +200,52 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+MEMBER = ("v", "n", *SKETCH, "at", "root")
+
+
 def all_pairs(rows: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs of members of each list that can be near and aren't connected yet."""
-    cols = ("v", "n", "at", "root")
-    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = rows.select(F.col("key").alias("_k"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    """Pairs of members of each list that can be near and aren't connected yet; the rest is left out within the join."""
+    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in MEMBER])
+    b = rows.select(F.col("key").alias("_k"), *[F.col(c).alias(f"b_{c}") for c in MEMBER])
     met = a.join(b, (F.col("key") == F.col("_k")) & (F.col("a_v") < F.col("b_v")) & (F.col("a_root") != F.col("b_root")) & possible("a_", "b_"))
     return met.select(F.col("a_v").alias("a"), F.col("b_v").alias("b"))
 
 
-def parted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists whose members aren't all connected, with each member's ``root``."""
+def parted(lists: DataFrame, roots: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Lists whose members aren't all connected, with each member's ``root`` and sketch."""
     cols = ["key", "v", "n", "at", "m"]
     d = lists.select(*cols).join(roots, F.col("v") == F.col("node"), "left").select(*cols, F.coalesce("root", "v").alias("root"))
     torn = d.groupBy(F.col("key").alias("_k")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("_k")
-    return cut_lineage(d.join(torn, F.col("key") == F.col("_k")).drop("_k"))
+    sketches = vertices.select(F.col("v").alias("_v"), *SKETCH)
+    return cut_lineage(d.join(torn, F.col("key") == F.col("_k")).join(sketches, F.col("v") == F.col("_v")).drop("_k", "_v"))
 
 
-def set_links(lists: DataFrame, sets: DataFrame, percent: int, possible: Callable[[str, str], Column],
-              crowded: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def set_links(lists: DataFrame, hold: Callable[[DataFrame], DataFrame], vertices: DataFrame, percent: int, possible: Callable[[str, str], Column] | None = None,
+              crowded: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links that connect all near sets which meet on a list.
 
-    Every member of a list meets one of them first; members already connected
-    need not meet any more.  Short lists then give all the pairs that are left.
-    Long ones are thinned by meetings with further members, and what is still
-    apart on them is left to ``crowded`` (lists, sets: pairs), or gives all pairs.
+    Every member of a list meets a few of them first; members already connected
+    need not meet any more.  Short lists then give all the pairs that are left;
+    what is still apart on long ones is left to ``crowded`` (lists: pairs), or
+    gives all pairs.  Pairs that sizes, sketches or ``possible`` rule out are
+    never made.
     """
-    met = lists.where("v <> c.v").withColumns({"a_n": F.col("n"), "a_at": F.col("at"), "b_n": F.col("c.n"), "b_at": F.col("c.at")})
-    links = near_enough(met.where(possible("a_", "b_")).select(*_pair("v", "c.v")), sets, percent)
-    roots = components(links)
-    rest = parted(lists.where("m > 2"), roots)
-    for turn in range(STAR_ROUNDS + 1):
-        if rest.isEmpty():
-            break
-        short, long = rest.where(F.col("m") <= SHORT_LIST), rest.where(F.col("m") > SHORT_LIST)
-        if turn < STAR_ROUNDS:
-            w = Window.partitionBy("key")
-            one = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "at", "root")).over(w)
-            met = long.withColumn("c", one).where(F.col("root") != F.col("c.root"))
-            met = met.withColumns({"a_n": F.col("n"), "a_at": F.col("at"), "b_n": F.col("c.n"), "b_at": F.col("c.at")})
-            pairs = met.where(possible("a_", "b_")).select(*_pair("v", "c.v"))
-            if turn == 0:
-                pairs = pairs.unionByName(all_pairs(short, possible))
-        else:
-            pairs = crowded(long, sets) if crowded else all_pairs(long, possible)
-        links = links.unionByName(near_enough(pairs, sets, percent))
-        if turn < STAR_ROUNDS:
-            roots = components(links)
-            rest = parted(long.drop("root"), roots)
-    return links
+    def allowed(a: str, b: str) -> Column:
+        return may_be_near(percent, a, b) & possible(a, b) if possible else may_be_near(percent, a, b)
+
+    o = F.col("o.place")
+    met = lists.withColumn("o", F.explode("met")).where("v <> o.v").select(
+        "v", F.col("o.v").alias("w"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.shiftright(o, 32).cast("int").alias("b_n"),
+        o.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b_at"))
+    met = met.where(F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"))
+    met = (met.where(possible("a_", "b_")) if possible else met).select(*_pair("v", "w")).distinct()
+    for side in ("a", "b"):
+        met = met.join(vertices.select(F.col("v").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH)]), F.col(side) == F.col(f"_{side}"))
+    links = near_enough(met.where(may_be_near(percent, "a_", "b_")).select("a", "b"), hold, percent)
+    rest = parted(lists.where("m > 2"), components(links), vertices)
+    short, long = rest.where(F.col("m") <= SHORT_LIST), rest.where(F.col("m") > SHORT_LIST)
+    pairs = all_pairs(short, allowed).unionByName(crowded(long) if crowded else all_pairs(long, allowed))
+    return links.unionByName(near_enough(pairs, hold, percent))
 
 
 def classes(prints: DataFrame, vertices: DataFrame, links: DataFrame) -> DataFrame:

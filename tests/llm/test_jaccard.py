@@ -61,7 +61,7 @@ def brief_rows(rng):
 def test_similar_briefs_equals_all_pairs(spark, monkeypatch, words, percent, short, stars):
     rows = brief_rows(random.Random(words + percent))
     monkeypatch.setattr(setjoin, "SHORT_LIST", short)
-    monkeypatch.setattr(setjoin, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(setjoin, "CENTRES", stars)
     monkeypatch.setattr(setjoin, "PAIR_RUN", 8)
     d = spark.createDataFrame([(*r, 1) for r in rows], "video_id long, brief string, component long").repartition(5)
     got = pigeonhole.similar_briefs(d, words=words, percent=percent)
