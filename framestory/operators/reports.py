@@ -24,6 +24,13 @@ def stage_funnel(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def real_time_factor(stage_runs: DataFrame, videos: DataFrame) -> DataFrame:
+    """Processing seconds of every video over its length: below 1 it is worked off faster than it plays; null without runs or length."""
+    spent = stage_runs.groupBy("video_id").agg((F.sum("duration_ms") / 1000.0).alias("processing_seconds"))
+    d = videos.select("video_id", "duration_seconds").join(spent, "video_id", "left")
+    return d.withColumn("real_time_factor", F.when(F.col("duration_seconds") > 0, F.col("processing_seconds") / F.col("duration_seconds")))
+
+
 def trace_tracks(tracks: DataFrame, events: DataFrame, fused: DataFrame, segments: DataFrame, ranked: DataFrame, decisions: DataFrame) -> DataFrame:
     """Lineage of every track through the pipeline with the first break named.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framestory import fixed
 from framestory.functions.numbers import rounded
-from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, scenes, story, tracking, validation, zones
+from framestory.operators import activity, compression, evaluation, identity, interactions, posture, quality, reports, sampling, scenes, story, tracking, validation, zones
 from framestory.plans.fold import fold_states, ordered_fold
 from framestory.queries.events import _CATEGORY, _VARIED, decision_chain, named_events, ranked_semantic, rule_events_of, varied_events
 from framestory.queries.frames import LIGHT, bright_of
@@ -146,7 +146,7 @@ def _(s):
 
 
 view("tmatch", """SELECT p.video_id, p.event_id, t.truth_id FROM sem p JOIN truth t ON p.video_id = t.video_id AND p.event_type = t.event_type AND p.start_ms <= t.truth_end AND t.truth_start <= p.end_ms JOIN b_uni u ON u.event_id = p.event_id""", "sem", "truth", "b_uni")
-view("tchain", "SELECT video_id, track_id AS chain_id, event_id AS truth_id FROM sem WHERE event_id % 5 <> 0", "sem")
+view("tchain", "SELECT video_id, track_id AS chain_id, event_id AS truth_id FROM sem", "sem")
 
 
 @query("temporal_quality", sql(f"""SELECT video_id, predicted, relevant, matched_pred, matched_truth, chains, whole_chains, {R('matched_pred / predicted', 6)} AS precision, {R('matched_truth / relevant', 6)} AS recall, {R('2.0E0 * (matched_pred / predicted) * (matched_truth / relevant) / (matched_pred / predicted + matched_truth / relevant)', 6)} AS f1,
@@ -155,7 +155,7 @@ view("tchain", "SELECT video_id, track_id AS chain_id, event_id AS truth_id FROM
  JOIN (SELECT video_id, count(DISTINCT event_id) AS matched_pred, count(DISTINCT truth_id) AS matched_truth FROM tmatch GROUP BY ALL) USING (video_id)
  JOIN (SELECT video_id, count(*) AS chains, count(*) FILTER (WHERE w) AS whole_chains FROM (SELECT video_id, chain_id, bool_and(truth_id IN (SELECT truth_id FROM tmatch)) AS w FROM tchain GROUP BY ALL) GROUP BY ALL) USING (video_id)""", "tmatch", "tchain", "sem", "truth", "b_uni"))
 def _(s):
-    chains = s.semantic_events.where("event_id % 5 <> 0").select("video_id", F.col("track_id").alias("chain_id"), F.col("event_id").alias("truth_id"))
+    chains = s.semantic_events.select("video_id", F.col("track_id").alias("chain_id"), F.col("event_id").alias("truth_id"))
     pred = s.stage("uniform_events", lambda: s.semantic_events.join(evaluation.baseline_uniform(s.semantic_events), ["video_id", "event_id"], "left_semi"))
     return out(evaluation.temporal_quality(pred, s.truth_events, chains), "video_id predicted relevant matched_pred matched_truth chains whole_chains",
                "precision recall f1 event_coverage false_positive_rate narrative_score compression_ratio")
@@ -220,14 +220,28 @@ def _(s):
 
 
 # Reports -----------------------------------------------------------------------------------------
-_FUNNEL = [("observations", "obs"), ("tracks", "tracks"), ("rule_events", "rule_events"), ("fused_events", "fev"), ("segments", "fev_seg0"), ("kept_segments", "fev_kept")]
+_FUNNEL = [("frames", "frames"), ("selected_frames", "frames_taken"), ("detections", "trk_det"), ("observations", "obs"), ("tracks", "tracks"), ("rule_events", "rule_events"),
+           ("fused_events", "fev"), ("segments", "fev_seg0"), ("kept_segments", "fev_kept"), ("exported_events", "fev_out")]
 view("fev_kept", "SELECT * FROM fev_pol WHERE keep", "fev_pol")
+view("fev_out", "SELECT e.video_id FROM fev e SEMI JOIN fev_kept k USING (video_id, track_id)", "fev", "fev_kept")
+view("frames_taken", "SELECT * FROM plain_adapt WHERE selected", "plain_adapt")
 
 
 @query("stage_funnel", sql(" UNION ALL ".join(f"SELECT {i} AS step_no, '{n}' AS step, video_id, count(*) AS rows FROM {v} GROUP BY ALL" for i, (n, v) in enumerate(_FUNNEL)), *[v for _n, v in _FUNNEL]))
 def _(s):
     kept, ranked, dec = decision_chain(s)
-    return reports.stage_funnel({"observations": s.observations, "tracks": tracks_of(s), "rule_events": rule_events_of(s), "fused_events": kept, "segments": ranked, "kept_segments": dec.where("keep")})
+    chosen = dec.where("keep")
+    return reports.stage_funnel({
+        "frames": s.frames, "selected_frames": sampling.adaptive_skip(s.frame_sequence).where("selected"), "detections": tracker_detections(s), "observations": s.observations,
+        "tracks": tracks_of(s), "rule_events": rule_events_of(s), "fused_events": kept, "segments": ranked, "kept_segments": chosen,
+        "exported_events": kept.join(chosen.select("video_id", "track_id"), ["video_id", "track_id"], "left_semi")})
+
+
+@query("real_time_factor", sql(f"""SELECT video_id, {R('ms / 1000.0E0', 4)} AS processing_seconds, {R('CASE WHEN duration_seconds > 0 THEN ms / 1000.0E0 / duration_seconds END', 6)} AS real_time_factor
+ FROM videos LEFT JOIN (SELECT video_id, CAST(sum(duration_ms) AS DOUBLE) AS ms FROM stage_runs GROUP BY ALL) USING (video_id)""", "videos", "stage_runs"))
+def _(s):
+    d = reports.real_time_factor(s.stage_runs, s.videos)
+    return d.select("video_id", rounded(F.col("processing_seconds"), 4).alias("processing_seconds"), rounded(F.col("real_time_factor"), 6).alias("real_time_factor"))
 
 
 @query("trace_tracks", sql("""SELECT t.video_id, t.track_id, t.class_name, t.n_obs, coalesce(e.n, 0) AS events, coalesce(f.n, 0) AS fused_events, p.completeness, p.rank, p.keep, CASE WHEN NOT is_confirmed THEN 'not_confirmed' WHEN e.n IS NULL THEN 'no_events' WHEN f.n IS NULL THEN 'fusion_discarded'
@@ -292,7 +306,7 @@ _MAN = "video_id % 3 = 0"
 @query("video_summary", sql(f"""SELECT v.video_id, {R('coalesce(CASE WHEN v.video_id % 3 = 0 THEN (v.video_id % 100) / 100.0E0 END, stage_ratio, CASE WHEN duration_seconds > 0 THEN retained_ms / 1000.0E0 / duration_seconds END)', 6)} AS compression_ratio, CASE WHEN v.video_id % 3 = 0 THEN v.video_id % 17 END AS clip_count, coalesce(n, 0) AS story_count
  FROM videos v LEFT JOIN (SELECT video_id, min_by(CASE WHEN frames > 25 THEN ratio END, (stage_no, job_id)) FILTER (WHERE frames > 25) AS stage_ratio, sum(duration_ms) AS retained_ms FROM stage_runs GROUP BY ALL) s USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS n FROM sem_seg0 GROUP BY ALL) g USING (video_id)""", "videos", "stage_runs", "sem_seg0"))
 def _(s):
-    man = s.videos.where(_MAN).selectExpr("video_id", "(video_id % 100) / 100.0D AS manifest_ratio", "video_id % 17 AS clip_count")
+    man = s.videos.selectExpr("video_id", f"CASE WHEN {_MAN} THEN (video_id % 100) / 100.0D END AS manifest_ratio", f"CASE WHEN {_MAN} THEN video_id % 17 END AS clip_count")
     runs_ = s.stage_runs.selectExpr("video_id", "job_id", "stage_no", "CASE WHEN frames > 25 THEN ratio END AS stage_ratio", "duration_ms AS retained_ms")
     return out(reports.video_summary(s.videos, man, runs_, s.stage("segments", lambda: story.story_segments(s.semantic_events))), "video_id clip_count story_count", "compression_ratio")
 

@@ -104,8 +104,8 @@ view("videos", """
   CASE WHEN p_size % 19 = 0 THEN 0.0E0 WHEN p_size % 17 = 0 THEN 480.0E0 ELSE 25.0E0 END AS fps,
   CASE WHEN p_size % 13 = 0 THEN CAST(7 AS BIGINT) END AS frame_skip_setting
  FROM part""")
-view("truth", """SELECT video_id, event_id AS truth_id, event_type, start_ms + 1000.0E0 AS truth_start, end_ms + 1000.0E0 AS truth_end
- FROM sem WHERE event_id % 5 <> 0""", "sem")
+view("truth", """SELECT video_id, event_id AS truth_id, event_type, start_ms + apart AS truth_start, end_ms + apart AS truth_end
+ FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 90000000.0E0 ELSE 1000.0E0 END AS apart FROM sem)""", "sem")
 
 # Motion ----------------------------------------------------------------------
 view("pairs", """
