@@ -15,8 +15,8 @@ IDLE_MS = 30 * 86_400_000
 
 
 def timed(df: DataFrame, column: str = "timestamp_ms") -> DataFrame:
-    """``df`` with ``event_time``, its milliseconds as a timestamp."""
-    return df.withColumn("event_time", F.timestamp_millis(F.col(column).cast("long")))
+    """``df`` with ``event_time``, its milliseconds as a timestamp, a day on: a stream takes time 0 as passed before it begins."""
+    return df.withColumn("event_time", F.timestamp_millis(F.col(column).cast("long") + 86_400_000))
 
 
 def replay(df: DataFrame, column: str, keys: Sequence[str], parts: int = 3, ends: bool = False, per_trigger: int | None = None) -> DataFrame:
