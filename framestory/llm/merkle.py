@@ -16,12 +16,13 @@ LEAF_CHARS = 64
 def brief_tree(text: Column) -> Column:
     """The text's tree as an array (sections) of structs (hash, array of paragraphs (hash, leaves)).
 
-    Sections are parted by empty lines, paragraphs by line ends; a leaf is a
-    paragraph or a piece of at most ``LEAF_CHARS`` code points of it.
+    Sections are parted by an empty line, paragraphs by line ends; a further empty
+    line is a section or paragraph without text, so texts of one tree are equal.
+    A leaf is a paragraph or a piece of at most ``LEAF_CHARS`` code points of it.
     """
     leaf = lambda p: F.sha2(p, 256)
     pieces = lambda p: F.transform(F.regexp_extract_all(p, F.lit("(?s).{1,%d}" % LEAF_CHARS), F.lit(0)), leaf)
-    return F.transform(F.split(text, "\n\n+", -1), lambda s: F.transform(F.split(s, "\n", -1), pieces))
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), pieces))
 
 
 def _hash(hashes: Column) -> Column:

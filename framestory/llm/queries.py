@@ -155,7 +155,7 @@ FROM d LEFT JOIN gx ON d.doc_id = gx.doc_id LEFT JOIN gl ON d.doc_id = gl.doc_id
 
 def _merkle_sql() -> str:
     leaves = f"list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.LEAF_CHARS}}}'), lambda x: sha256(x))"
-    tree = lambda c: f"list_transform(string_split_regex({c}, '\\n\\n+'), lambda s: list_transform(string_split(s, chr(10)), lambda p: {leaves}))"
+    tree = lambda c: f"list_transform(string_split({c}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {leaves}))"
     up = lambda c: f"sha256(coalesce(list_aggregate({c}, 'string_agg', ''), ''))"
     branch = lambda c: f"list_transform({c}, lambda s: list_transform(s, lambda p: {up('p')}))"
     root = lambda c: up(f"list_transform({branch(c)}, lambda s: {up('s')})")

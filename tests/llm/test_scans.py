@@ -131,3 +131,13 @@ def test_first_difference_locates_an_edit(spark):
     d = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX"), ("a\nb", "a\nb"), ("a", "a\n\nb")], "x string, y string")
     d = merkle.with_tree(merkle.with_tree(d, "x", "x_"), "y", "y_").select(merkle.first_difference(F.col("x_parts"), F.col("y_parts")).alias("at"))
     assert [r["at"] and tuple(r["at"]) for r in d.collect()] == [(1, 1), None, (1, 0)]
+
+
+def test_blank_lines_are_part_of_the_tree(spark):
+    """Equal roots mean equal texts, however many blank lines part the paragraphs."""
+    from framestory.llm import merkle
+
+    texts = ["a\n\nb", "a\n\n\nb", "a\n\n\n\nb", "a\nb", "a\n\nb\n", "\na\n\nb", "", "\n", "\n\n", "\n\n\n", "a", "ab"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "video_id long, brief string")
+    got = merkle.fingerprint_briefs(d).collect()
+    assert len({r["fingerprint"] for r in got}) == len(texts)
