@@ -9,8 +9,9 @@ from framestory.llm.common import same, text_rows
 from framestory.llm.graph import components
 from framestory.session import cut_lineage
 
-#: One edit, so a line has two segments, and shorter lines than two characters have an empty one: they link where equal.
-EDITS, MIN_CHARS = 1, 2
+#: One edit, so a line has two segments.  In a line of fewer characters one edit is another word or number, not another
+#: spelling, so shorter lines link where they are equal.
+EDITS, MIN_CHARS = 1, 10
 SHORT_LIST = 64
 UID = ["_h1", "_h2"]
 

@@ -24,7 +24,7 @@ def classes(rows):
 def test_short_lines_are_compared(spark, monkeypatch, short):
     monkeypatch.setattr(lines, "SHORT_LIST", short)
     places, line, r = classes(SHORT)
-    got = lines.line_classes(spark.createDataFrame(SHORT, "job_id long, log string")).collect()
+    got = lines.line_classes(spark.createDataFrame(SHORT, "job_id long, log string"), min_chars=2).collect()
     want = [(k, n, len(line[i]), places[r[i]][0], places[r[i]][2], r[i] == i) for i, (k, _, n) in enumerate(places)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert sum(not w[-1] for w in want) >= 9 and all(w[-1] for w in want if w[2] == 0)
@@ -50,3 +50,10 @@ def test_rows_that_share_a_key_keep_their_own_lines(spark, monkeypatch):
         assert got == sorted(((k, left[k, t]) for k, t in SHARED), key=str)
     kept = lines.line_classes(d.where("job_id IS NULL"))
     assert kept.columns == ["job_id", "line_no", "n_chars", "class_key", "class_line", "kept"] and kept.where("kept").count() == 5
+
+
+def test_counts_and_short_words_stay(spark):
+    """Lines of fewer than ten characters are other lines unless they are equal; longer ones link at one edit."""
+    text = "Total: 10\nTotal: 12\nTotal: 95\nin\non\nno\nok\n- a\n- b\nok\nTotal items: 10\nTotal items: 12"
+    d = spark.createDataFrame([(1, text)], "job_id long, log string")
+    assert lines.dedup_lines(d).first()["log"] == "Total: 10\nTotal: 12\nTotal: 95\nin\non\nno\nok\n- a\n- b\nTotal items: 10"
