@@ -18,7 +18,6 @@ from framestory.session import cut_lineage
 SEED = 42
 UPPER = bytes(range(256)).lower()
 HASH_RUN = 1 << 16
-LIST_RUN = 4096
 
 
 def text_fingerprint(text: str, words: int, bits: int) -> bytes:
@@ -57,18 +56,15 @@ def position_sets(bits: int, max_bits: int) -> list[tuple[int, ...]]:
     """Sets of byte positions to index.
 
     ``max_bits`` differing bits touch at most as many bytes, so a pair shares at
-    least ``bits / 8 - max_bits`` positional bytes, and some set of that size in
-    full.  Where that count is large enough to be selective (4 or more) all sets
-    of that size are taken and no pair is missed; otherwise sets of three
-    positions, each position equally often, of which near pairs share one with
-    high probability.
+    least ``bits / 8 - max_bits`` positional bytes, some set of that size in full.
+    All sets of that size are taken, so no pair is missed.  That is for fingerprints
+    that are nearly equal: beyond three bits a set would hold too little to tell
+    fingerprints apart, and texts are compared by their shingles instead (``overlap``).
     """
+    if not 0 <= max_bits <= 3:
+        raise ValueError("fingerprints link at up to three differing bits")
     n = bits // 8
-    if n - max_bits >= 4:
-        return list(combinations(range(n), n - max_bits))
-    steps = [(a, b) for a in range(1, n // 2) for b in range(a + 1, n // 2 + 2)]
-    chosen = [tuple(sorted({i, (i + a) % n, (i + b) % n})) for a, b in steps for i in range(n)]
-    return [s for s in dict.fromkeys(chosen) if len(s) == 3][:8 * n]
+    return list(combinations(range(n), n - max_bits))
 
 
 def posting_lists(distinct: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
@@ -81,7 +77,7 @@ def posting_lists(distinct: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame
             for i, s in enumerate(sets):
                 value = np.full(len(raw), i, np.int64)
                 for p in s:
-                    value = (value << 8) | raw[:, p]
+                    value = (value << 8) | raw[:, p] if len(s) < 8 else value * 1_000_003 ^ raw[:, p]
                 yield pd.DataFrame({"posting": value, "fingerprint": pdf["fingerprint"]})
 
     return distinct.select("fingerprint").mapInPandas(run, "posting long, fingerprint binary")
@@ -108,26 +104,15 @@ def _forest(raw: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block_pairs(lists: DataFrame) -> DataFrame:
-    """Lists of over ``LIST_RUN`` members cut into blocks of half of that by hash, each pair of blocks a list of its own."""
-    size = lists.groupBy(F.col("posting").alias("_p")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > LIST_RUN)
-    size = size.select("_p", F.ceil(2 * F.col("_m") / LIST_RUN).alias("_n"))
-    d = lists.join(size, F.col("posting") == F.col("_p"), "left").withColumn("_b", F.pmod(F.xxhash64("fingerprint"), F.col("_n")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda c: F.xxhash64("posting", F.least("_b", c), F.greatest("_b", c)))
-    return d.select(F.explode(F.coalesce(pairs, F.array("posting"))).alias("posting"), "fingerprint")
-
-
 def near_links(distinct: DataFrame, bits: int, max_bits: int) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, enough to connect all near pairs of each posting list.
 
     A posting list holds the fingerprints that share the guaranteed number of
     positional bytes, so the count filter is met by being on one; members are
-    verified by their differing bits.  With full sets a list has at most
-    256^max_bits members, whatever the input.  A longer list of partial sets is
-    dealt to groups that hold two of its blocks each, so every pair is compared.
+    verified by their differing bits.  A list has at most 256^max_bits members,
+    whatever the input.
     """
     sets = position_sets(bits, max_bits)
-    exact = bits // 8 - max_bits >= 4
 
     def run(frames):
         held_k, held_f = np.zeros(0, np.int64), np.zeros((0, bits // 8), np.uint8)
@@ -157,10 +142,7 @@ def near_links(distinct: DataFrame, bits: int, max_bits: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["a", "b"])
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = posting_lists(distinct, sets)
-    if not exact:
-        lists = _block_pairs(lists)
-    lists = lists.repartition(n, "posting").sortWithinPartitions("posting", "fingerprint")
+    lists = posting_lists(distinct, sets).repartition(n, "posting").sortWithinPartitions("posting", "fingerprint")
     return lists.mapInPandas(run, "a binary, b binary").distinct()
 
 

@@ -3,8 +3,7 @@
 import random
 
 import corpus_pipeline
-from framestory.llm import overlap, simhash
-from framestory.llm.graph import components
+from framestory.llm import overlap, setjoin
 
 
 def shingles(text):
@@ -65,32 +64,9 @@ def test_near_stage_equals_all_pairs(spark, monkeypatch):
     d = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, source string, v long").repartition(5)
     want = plain_kept(rows)
     for short, rounds, sample in ((32, 3, 2), (1, 1, 32), (1, 0, 1)):
-        monkeypatch.setattr(overlap, "SHORT_LIST", short)
-        monkeypatch.setattr(overlap, "STAR_ROUNDS", rounds)
+        monkeypatch.setattr(setjoin, "SHORT_LIST", short)
+        monkeypatch.setattr(setjoin, "CENTRES", rounds)
         monkeypatch.setattr(overlap, "ORDER_SAMPLE", sample)
         got = corpus_pipeline.near_stage(spark, d, "")
         assert got.columns == d.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == want
     assert corpus_pipeline.near_stage(spark, d.where("false"), "").collect() == []
-
-
-def test_long_partial_lists_compare_all_pairs(spark, monkeypatch):
-    """Near fingerprints far apart in sort order, on one list only: the three bytes of the first set are common to all."""
-    rng = random.Random(6)
-    first = set(simhash.position_sets(128, 19)[0])
-    monkeypatch.setattr(simhash, "position_sets", lambda bits, max_bits: [tuple(sorted(first))])
-    monkeypatch.setattr(simhash, "LIST_RUN", 8)
-    early = min(set(range(16)) - first)
-    values = []
-    for _ in range(60):
-        v = bytearray(7 if p in first else rng.randrange(128) for p in range(16))
-        w = bytearray(v)
-        w[early] ^= 128
-        values += [bytes(v), bytes(w)]
-    d = spark.createDataFrame([(bytearray(v),) for v in values], "fingerprint binary")
-    far = lambda a, b: bin(int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).count("1")
-    assert sum(far(a, b) <= 19 for a in values for b in values if a < b) == 60
-    for rows in (7, 10_000):  # whatever the size of a batch
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        got = {bytes(n): bytes(r) for n, r in components(simhash.near_links(d, 128, 19)).collect()}
-        assert got == {v: min(v, w) for i in range(0, 120, 2) for v, w in ((values[i], values[i + 1]), (values[i + 1], values[i]))}
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import numpy as np
 import xxhash
 
@@ -105,19 +107,18 @@ def test_no_near_pair_is_missed(spark):
     assert {bytes(k): bytes(v) for k, v in got.items()} == want
 
 
-def test_wide_fingerprints_find_near_texts(spark):
+def test_wide_fingerprints(spark):
+    """128 bits link at two differing bits or fewer, all pairs of them; wider limits are refused."""
     rng = random.Random(2)
-    rows, n = [], 0
-    for g in range(60):
-        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        other = list(words)
-        for i in rng.sample(range(300), 2):
-            other[i] = f"v{rng.randrange(5000)}"
-        rows += [(n, " ".join(words)), (n + 1, " ".join(other))]
-        n += 2
-    got = simhash.near_failures(spark.createDataFrame(rows, "failure_id long, description string"), words=5, bits=128, max_bits=19).collect()
-    found = sum(r["component"] == r["failure_id"] - 1 for r in got if r["failure_id"] % 2)
-    assert found >= 55 and all(r["component"] // 2 == r["failure_id"] // 2 for r in got)
+    values = {rng.getrandbits(128) for _ in range(30)}
+    values |= {v ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)) for v in values}
+    values = sorted(values)
+    d = spark.createDataFrame([(bytearray(v.to_bytes(16, "big")),) for v in values], "fingerprint binary")
+    got = {bytes(k): bytes(v) for k, v in components(simhash.near_links(d, 128, 2)).collect()}
+    r = roots(len(values), [(a, b) for a in range(len(values)) for b in range(a) if bin(values[a] ^ values[b]).count("1") <= 2])
+    assert got == {v.to_bytes(16, "big"): values[r[i]].to_bytes(16, "big") for i, v in enumerate(values) if sum(x == r[i] for x in r) > 1}
+    with pytest.raises(ValueError):
+        simhash.near_failures(spark.createDataFrame([(1, "a")], "failure_id long, description string"), bits=128, max_bits=19)
 
 
 def distance_at_most_one(a, b):
