@@ -186,3 +186,52 @@ def test_pipeline_run_and_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()}
     assert {5, 3} <= got and 4 not in got
+
+
+def test_mix_stage_counts_rows_without_ids_one_by_one(spark):
+    """A source of a thousand documents without ids meets its target as one with ids does; equal rows share what they get."""
+    import corpus_pipeline
+
+    rows = [(None, " ".join(f"w{i}_{j}" for j in range(10 + i % 21)), "a", 1) for i in range(1000)] + [(i, f"x{i} " * 20, "b", 1) for i in range(300)] + [(None, "twice the same text", "b", 2)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.mix_stage(spark, d, "")
+    assert out.columns == d.columns
+    words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    targets = {r["source"]: r["target"] for r in mixing.mix_domains(
+        d.withColumns({"size": F.size(F.split(F.trim("text"), " ")).cast("long"), "k": F.monotonically_increasing_id()}), "k", "source", "size").select(
+        F.col("source_domain").alias("source"), "target").distinct().collect()}
+    for s, target in targets.items():
+        assert abs(words[s] - target) < 0.1 * target, (words, targets)
+
+
+def test_word_ids_of_odd_texts():
+    """Every text has the ids that the tokenizer gives it as a whole."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole, rng = tokens.WordEncoder(path), Tokenizer.from_file(path), random.Random(1)
+    odd = "abzÀÉéñß'sT'RE0 ½²\n\t\xa0\x85.,;!?-<>|İıŉǅdžΣς ſ㎏ﬁ́̈‍中ａ１𝔸😀\x1c\x00ÿĀ'"
+    for i in range(1500):
+        t = "".join(rng.choice(odd) if rng.random() < 0.8 else chr(rng.randrange(1, 0x2FFF)) for _ in range(rng.randrange(1, 30)))
+        t += "<|endoftext|>" if i % 50 == 0 else "<|EndOfText|> it's" if i % 50 == 1 else ""
+        assert encoder.ids(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_tokenizers_prepared_otherwise_encode_whole_texts(tmp_path):
+    import json
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    made["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(made), encoding="utf-8")
+    t = "Some Words, with Capitals\nand A line"
+    encoder = tokens.WordEncoder(str(other))
+    assert not encoder.by_word and encoder.ids(t) == np.array(Tokenizer.from_file(str(other)).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
