@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framestory.llm.common import maybe_in, removed
-from framestory.llm.setjoin import SKETCH, classes, common_lists, held_sets, may_be_near, mixed, set_links, set_prints, set_vertices, texts_of
+from framestory.llm.setjoin import SKETCH, TextSets, classes, common_lists, may_be_near, mixed, set_links, set_prints, set_vertices, texts_of
 from framestory.session import cut_lineage
 
 WHOLE, SHORTENED = 1, 2
@@ -172,8 +172,8 @@ def similar_briefs(briefs: DataFrame, key: str = "video_id", text: str = "brief"
     prints = cut_lineage(prints.drop("keys"))
     removed(prints, folder)
     vertices = set_vertices(prints.where("n > 0"))
-    hold = lambda wanted: held_sets(texts, vertices, wanted, words)
-    links = set_links(lists, hold, vertices, percent, crowded=lambda rest: reallocated_pairs(rest, hold(rest), bands))
+    sets = TextSets(texts, vertices, words)
+    links = set_links(lists, sets, percent, crowded=lambda rest: reallocated_pairs(rest, sets.held(rest), bands))
     found = classes(prints.where("n > 0"), vertices, links).select("_id", "n", "component")
     bare = prints.where("n = 0").select("_id", "n", F.col("_id").alias("component"))
     return found.unionByName(bare).select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component")

@@ -25,6 +25,8 @@ SHORT_LIST, CENTRES = 16, 3
 PAIR_RUN = 1024
 #: Words and set numbers that a task remembers.
 KNOWN_WORDS, SEEN_SETS = 300_000, 100_000
+#: Sets go out in batches of about this size.
+SHIPPED_BYTES = 1 << 25
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = ("k0", "k1", "k2", "k3")
 
@@ -130,39 +132,58 @@ def common_lists(prints: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": key[part], "v": v[part], "place": place[part]})
 
     w = Window.partitionBy("key")
-    one = prints.groupBy("v").agg(F.max("n").alias("n"), F.max("keys").alias("keys"))
-    d = one.select("v", "n", "keys").mapInPandas(unpack, "key long, v long, place long")
+    d = prints.select("v", "n", "keys").mapInPandas(unpack, "key long, v long, place long")
+    # copies of a set come from several tasks; they share the exchange by key and go within it
+    d = d.withColumns({"_lo": F.min("v").over(w), "_hi": F.max("v").over(w)}).where("_lo < _hi").dropDuplicates(["key", "v"]).select("key", "v", "place")
+    d = d.withColumn("m", F.count(F.lit(1)).over(w))
     some = [F.min(F.struct(F.col("v").alias("h"), "v", "place")).over(w), *[F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), "v", "place")).over(w) for i in range(CENTRES)]]
-    d = d.withColumns({"m": F.count(F.lit(1)).over(w), "met": F.array(*some)}).where("m > 1")
+    d = d.withColumn("met", F.array(*some))
     size, at = (lambda p: F.shiftright(p, 32).cast("int")), (lambda p: F.col(p).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
     met = F.when(F.col("m") > SHORT_LIST, F.col("met")).otherwise(F.slice("met", 1, 1))
     return cut_lineage(d.select("key", "v", size("place").alias("n"), at("place").alias("at"), "m", met.alias("met")))
 
 
-def held_sets(texts: DataFrame, vertices: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(v, s)``: the whole sets of the wanted vertices (column ``v``), from their texts."""
-    wanted = wanted.select(F.col("v").alias("_w")).distinct()
-    places = cut_lineage(vertices.join(wanted, F.col("v") == F.col("_w")).select(
-        "v", F.col("_place._id").alias("_pi"), F.col("_place._t1").alias("_p1"), F.col("_place._t2").alias("_p2")))
-
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, seen = Shingler(words), set()
-        for pdf in frames:
-            out = []
-            for v, t in zip(pdf["v"].tolist(), pdf["_text"]):
-                if v not in seen:
-                    out.append((v, shingler.grams(t).tobytes()))
-                    if len(seen) < SEEN_SETS:
-                        seen.add(v)
-            yield pd.DataFrame(out, columns=["v", "s"])
-
-    d = maybe_in(texts, F.col("_t1"), places, F.col("_p1"))
-    d = d.join(places, (F.col("_t1") == F.col("_p1")) & (F.col("_t2") == F.col("_p2")) & F.col("_id").eqNullSafe(F.col("_pi")))
-    return cut_lineage(d.select("v", "_text").mapInPandas(sets, "v long, s binary"))
-
-
-def near_enough(pairs: DataFrame, hold: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Those pairs ``(a, b)`` whose sets share ``percent`` of their union, by the sets themselves, which ``hold`` gives for vertices.
+class TextSets:
+    """The sets of vertices, made again from their texts where they are asked for."""
+
+    def __init__(self, texts: DataFrame, vertices: DataFrame, words: int):
+        self.texts, self.vertices, self.words = texts, vertices, words
+
+    def shipped(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (column ``v`` and whole-numbered others) with ``s``, the whole set of ``v``; rows may repeat."""
+        asked = asked.select("v", *[c for c in asked.columns if c != "v"])
+        words, own = self.words, asked.columns
+        places = cut_lineage(asked.join(self.vertices.select(F.col("v").alias("_v"), "_place"), F.col("v") == F.col("_v")).select(
+            *own, F.col("_place._id").alias("_pi"), F.col("_place._t1").alias("_p1"), F.col("_place._t2").alias("_p2")))
+
+        def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingler, last, held, done = Shingler(words), None, b"", set()
+            for pdf in frames:
+                rows, size = [], 0
+                for row, t in zip(pdf[own].itertuples(index=False, name=None), pdf["_text"]):
+                    if row[0] != last:
+                        last, held, done = row[0], shingler.grams(t).tobytes(), set()
+                    if row not in done:  # equal texts of one id stand together and are one
+                        done.add(row)
+                        rows.append((*row, held))
+                        size += len(held)
+                    if size > SHIPPED_BYTES:
+                        yield pd.DataFrame(rows, columns=[*own, "s"])
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=[*own, "s"])
+
+        d = maybe_in(self.texts, F.col("_t1"), places, F.col("_p1"))
+        d = d.join(places, (F.col("_t1") == F.col("_p1")) & (F.col("_t2") == F.col("_p2")) & F.col("_id").eqNullSafe(F.col("_pi")))
+        fields = ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in own)
+        return d.select(*own, "_text").mapInPandas(sets, f"{fields}, s binary")
+
+    def held(self, wanted: DataFrame) -> DataFrame:
+        """``(v, s)`` once for every wanted vertex (column ``v``)."""
+        return cut_lineage(self.shipped(wanted.select("v").distinct()).dropDuplicates(["v"]))
+
+
+def near_enough(pairs: DataFrame, sets: TextSets, percent: int) -> DataFrame:
+    """Those pairs ``(a, b)`` whose sets share ``percent`` of their union, by the sets themselves.
 
     The sets of all ``b`` of an ``a`` pass by that of ``a``, which a task holds
     alone; an ``a`` with very many partners is dealt to several tasks.
@@ -170,16 +191,14 @@ def near_enough(pairs: DataFrame, hold: Callable[[DataFrame], DataFrame], percen
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut_lineage(pairs.distinct())
     turns = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / PAIR_RUN).alias("_turns"))
-    heads = turns.select(F.col("_a").alias("w"), F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_turns") - 1)).alias("turn"), F.lit(0).alias("member"))
-    others = pairs.join(turns, F.col("a") == F.col("_a")).select(F.col("b").alias("w"), "a", F.pmod(F.xxhash64("b"), "_turns").alias("turn"), F.lit(1).alias("member"))
-    asked = cut_lineage(heads.unionByName(others))
-    sets = hold(asked.select(F.col("w").alias("v")))
+    heads = turns.select(F.col("_a").alias("v"), F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_turns") - 1)).alias("turn"), F.lit(0).alias("member"))
+    others = pairs.join(turns, F.col("a") == F.col("_a")).select(F.col("b").alias("v"), "a", F.pmod(F.xxhash64("b"), "_turns").alias("turn"), F.lit(1).alias("member"))
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(0, np.uint64)
         for pdf in frames:
             good = []
-            for a, b, member, s in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["member"].tolist(), pdf["s"]):
+            for a, b, member, s in zip(pdf["a"].tolist(), pdf["v"].tolist(), pdf["member"].tolist(), pdf["s"]):
                 s = np.frombuffer(s, np.uint64)
                 if not member:
                     held = s
@@ -191,9 +210,8 @@ def near_enough(pairs: DataFrame, hold: Callable[[DataFrame], DataFrame], percen
                     good.append((a, b))
             yield pd.DataFrame(good, columns=["a", "b"])
 
-    met = asked.join(sets, F.col("w") == F.col("v")).select("a", "turn", "member", F.col("w").alias("b"), "s")
-    met = met.repartition(n, "a", "turn").sortWithinPartitions("a", "turn", "member")
-    return cut_lineage(met.select("a", "member", "b", "s").mapInPandas(verified, "a long, b long").distinct())
+    met = sets.shipped(heads.unionByName(others)).repartition(n, "a", "turn").sortWithinPartitions("a", "turn", "member")
+    return cut_lineage(met.select("a", "member", "v", "s").mapInPandas(verified, "a long, b long").distinct())
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -220,7 +238,7 @@ def parted(lists: DataFrame, roots: DataFrame, vertices: DataFrame) -> DataFrame
     return cut_lineage(d.join(torn, F.col("key") == F.col("_k")).join(sketches, F.col("v") == F.col("_v")).drop("_k", "_v"))
 
 
-def set_links(lists: DataFrame, hold: Callable[[DataFrame], DataFrame], vertices: DataFrame, percent: int, possible: Callable[[str, str], Column] | None = None,
+def set_links(lists: DataFrame, sets: TextSets, percent: int, possible: Callable[[str, str], Column] | None = None,
               crowded: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links that connect all near sets which meet on a list.
 
@@ -240,12 +258,12 @@ def set_links(lists: DataFrame, hold: Callable[[DataFrame], DataFrame], vertices
     met = met.where(F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"))
     met = (met.where(possible("a_", "b_")) if possible else met).select(*_pair("v", "w")).distinct()
     for side in ("a", "b"):
-        met = met.join(vertices.select(F.col("v").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH)]), F.col(side) == F.col(f"_{side}"))
-    links = near_enough(met.where(may_be_near(percent, "a_", "b_")).select("a", "b"), hold, percent)
-    rest = parted(lists.where("m > 2"), components(links), vertices)
+        met = met.join(sets.vertices.select(F.col("v").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH)]), F.col(side) == F.col(f"_{side}"))
+    links = near_enough(met.where(may_be_near(percent, "a_", "b_")).select("a", "b"), sets, percent)
+    rest = parted(lists.where("m > 2"), components(links), sets.vertices)
     short, long = rest.where(F.col("m") <= SHORT_LIST), rest.where(F.col("m") > SHORT_LIST)
     pairs = all_pairs(short, allowed).unionByName(crowded(long) if crowded else all_pairs(long, allowed))
-    return links.unionByName(near_enough(pairs, hold, percent))
+    return links.unionByName(near_enough(pairs, sets, percent))
 
 
 def classes(prints: DataFrame, vertices: DataFrame, links: DataFrame) -> DataFrame:
